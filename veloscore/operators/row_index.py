@@ -1,0 +1,130 @@
+"""P5: a gap-free 1-based row number in key order, without a single-partition window.
+
+``Window.orderBy`` with no partition moves every row into one task. Instead:
+
+1. draw a bounded sample of the ordering key, sort it in Spark, take ``B - 1`` bounds;
+2. give each row a bucket with a balanced binary search over those literal bounds
+   (``CASE WHEN key < bound ...``, depth log2(B), whole-stage codegen, deterministic);
+3. count rows per bucket (partial aggregation, B numbers reach the driver) and turn the counts
+   into offsets, kept as a literal array;
+4. ``row_number()`` over ``partitionBy(bucket).orderBy(key)`` plus the bucket's offset.
+
+The key is the caller's columns followed by two tie-breakers: a hash of the whole row and the
+id of the input split the row was read from. Rows tied on the caller's key are interchangeable
+for the contract, and the tie-breakers make a hot key - even a third of the table made of exact
+copies - spread over many buckets instead of landing in one task: the sampled bounds fall
+inside the hot key, split by row hash and then by input split, so the largest possible bucket
+is about one input split's worth of a single row value.
+
+Bounds, counts and the final numbering all see the same deterministic bucket expression, so the
+offsets always match the rows (unlike a bucket read from ``spark_partition_id`` after a range
+shuffle, which is only valid while both branches share one exchange). Index before scoring:
+the input is read three times (sample, counts, rows), so it must be cheap and deterministic.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_H = "__ri_hash"
+_P = "__ri_split"
+_B = "__ri_bucket"
+
+
+def _hashable(field: T.StructField) -> bool:
+    def ok(dt: T.DataType) -> bool:
+        if isinstance(dt, T.MapType):
+            return False
+        if isinstance(dt, T.ArrayType):
+            return ok(dt.elementType)
+        if isinstance(dt, T.StructType):
+            return all(ok(f.dataType) for f in dt.fields)
+        return True
+    return ok(field.dataType)
+
+
+def _to_driver(name: str, dt: T.DataType) -> Column:
+    """Sample column in a form whose Python value turns back into the exact same literal."""
+    c = F.col(name)
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c).alias(name)
+    if isinstance(dt, T.TimestampNTZType):
+        return c.cast("string").alias(name)
+    return c
+
+
+def _literal(value, dt: T.DataType) -> Column:
+    if value is None:
+        return F.lit(None).cast(dt)
+    if isinstance(dt, T.TimestampType):
+        return F.timestamp_micros(F.lit(value))
+    return F.lit(value).cast(dt)
+
+
+def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
+    """Bucket j holds keys with bounds[j-1] <= key < bounds[j]; binary search over literals."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi + 1) // 2
+    return F.when(key < bounds[mid - 1], _bucket_expr(key, bounds, lo, mid - 1)) \
+            .otherwise(_bucket_expr(key, bounds, mid, hi))
+
+
+def row_index(df: DataFrame, order_by: list[str] | tuple[str, ...], col: str = "row_no", *,
+              rows_per_bucket: int = 2_000_000, max_buckets: int = 2048,
+              sample_per_bucket: int = 40, seed: int = 7) -> DataFrame:
+    """Add ``col`` (BIGINT, 1..n) numbering the rows in ascending ``order_by`` order
+    (NULLs first, NaN last, as Spark sorts).
+
+    The number of buckets grows with the row count (``rows_per_bucket``) up to ``max_buckets``
+    and is at least four per shuffle partition, so buckets spread evenly over tasks.
+    Three small jobs run when this is called: a row count (metadata only for Parquet), the
+    bounded key sample, and the per-bucket counts.
+    """
+    order_by = list(order_by)
+    missing = [c for c in order_by if c not in df.columns]
+    if missing:
+        raise ValueError(f"order columns {missing} not in {df.columns}")
+    spark = df.sparkSession
+    hash_cols = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f)]
+    keyed = df.select("*", F.xxhash64(*hash_cols).alias(_H),
+                      F.spark_partition_id().alias(_P))
+    key_names = order_by + [_H, _P]
+    key_types = {f.name: f.dataType for f in keyed.schema.fields}
+
+    n = df.count()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = 1 if n == 0 else min(max_buckets, max(4 * parts, math.ceil(n / rows_per_bucket)))
+
+    bounds: list[Column] = []
+    if n_buckets > 1:
+        fraction = min(1.0, sample_per_bucket * n_buckets / n)
+        # Bounded: about sample_per_bucket * n_buckets keys reach the driver, sorted by Spark
+        # so the bounds follow Spark's own ordering of every key type.
+        sample = (keyed.select(*key_names).sample(False, fraction, seed)
+                  .orderBy(*key_names)
+                  .select(*[_to_driver(c, key_types[c]) for c in key_names]).collect())
+        if len(sample) > 4 * sample_per_bucket * n_buckets:
+            sample = sample[::math.ceil(len(sample) / (2 * sample_per_bucket * n_buckets))]
+        picks = sorted({min(len(sample) - 1, (i * len(sample)) // n_buckets)
+                        for i in range(1, n_buckets)}) if sample else []
+        for i in picks:
+            row = sample[i]
+            bounds.append(F.struct(*[_literal(row[c], key_types[c]).alias(c) for c in key_names]))
+    key = F.struct(*[F.col(c) for c in key_names])
+    keyed = keyed.withColumn(_B, _bucket_expr(key, bounds, 0, len(bounds)))
+
+    counts = dict(keyed.groupBy(_B).count().collect())  # <= len(bounds) + 1 rows
+    offsets, total = [], 0
+    for b in range(len(bounds) + 1):
+        offsets.append(total)
+        total += counts.get(b, 0)
+    offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col(_B) + 1)
+
+    w = Window.partitionBy(_B).orderBy(*[F.col(c).asc_nulls_first() for c in key_names])
+    return (keyed.withColumn(col, (F.row_number().over(w) + offset).cast("bigint"))
+            .drop(_H, _P, _B))

@@ -1,0 +1,159 @@
+"""Score features with a feed-forward network, prediction beside the input row.
+
+Two routes with the same results:
+
+* Route B, :func:`score_native` - every layer is column arithmetic built from the model's
+  weights (literals in the plan). No Python worker; narrow layers stay in whole-stage codegen,
+  wide ones use higher-order array functions.
+* Route A, :func:`score_batched` - ``predict_batch_udf``: Arrow batches to a Python worker, the
+  network runs in numpy on mini-batches of ``batch_size`` rows. Any predictor fits here.
+
+Both are narrow: no shuffle, rows keep all their columns (P3), partitioning is the input's.
+A row whose features are NULL, hold a NULL or hold a NaN gets a NULL prediction on both routes;
+a vector whose width differs from the network's input fails the job.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from veloscore.functions.columns import activation, any_missing, is_missing
+from veloscore.sources.model_table import Model
+
+#: Up to this many weight terms a layer is unrolled into scalar arithmetic (whole-stage
+#: codegen); wider layers use ``aggregate(zip_with(...))`` over an array.
+UNROLL_LIMIT = 4096
+
+_TMP = "__vs_h"
+
+
+def _is_vector(df: DataFrame, features_col: str) -> bool:
+    return isinstance(df.schema[features_col].dataType, T.ArrayType)
+
+
+def _checked_input(df: DataFrame, features_col: str, model: Model) -> tuple[Column, Column, bool]:
+    """(input column, "features present" flag, is_vector). Ragged vectors raise."""
+    vector = _is_vector(df, features_col)
+    x = F.col(features_col)
+    n = model.n_inputs
+    if not vector:
+        if n != 1:
+            raise ValueError(f"model {model.model_id!r} takes {n} inputs; "
+                             f"column {features_col!r} is a scalar")
+        return x.cast("double"), ~is_missing(x), False
+    x = x.cast(T.ArrayType(T.DoubleType()))
+    msg = F.concat(F.lit(f"feature vector width differs from the model input width {n}: got "),
+                   F.size(x).cast("string"))
+    checked = F.when(x.isNotNull() & (F.size(x) != n), F.raise_error(msg)).otherwise(x)
+    return checked, ~any_missing(x), True
+
+
+def _dot(inputs: list[Column] | Column, w: np.ndarray) -> Column:
+    if isinstance(inputs, list):
+        acc = None
+        for xi, wi in zip(inputs, w):
+            term = xi * F.lit(float(wi))
+            acc = term if acc is None else acc + term
+        return acc
+    wl = F.array(*[F.lit(float(v)) for v in w])
+    return F.aggregate(F.zip_with(inputs, wl, lambda a, b: a * b), F.lit(0.0),
+                       lambda acc, v: acc + v)
+
+
+def score_native(df: DataFrame, model: Model, features_col: str = "features",
+                 out_col: str = "prediction", unroll_limit: int = UNROLL_LIMIT) -> DataFrame:
+    """Route B: the network as column expressions. Output is DOUBLE for a one-output network,
+    else ``ARRAY<DOUBLE>``."""
+    x, present, vector = _checked_input(df, features_col, model)
+    base = list(df.columns)
+    xin = f"{_TMP}_x"
+    cur = df.select("*", x.alias(xin), present.alias(f"{_TMP}_ok"))
+    inputs: list[Column] | Column = [F.col(xin)] if not vector else F.col(xin)
+    width = model.n_inputs
+    tmp_cols = [xin]
+    for li, layer in enumerate(model.layers):
+        unroll = layer.weights.size <= unroll_limit
+        if unroll and not isinstance(inputs, list):
+            inputs = [F.try_element_at(inputs, F.lit(i + 1)) for i in range(width)]
+        elif not unroll and isinstance(inputs, list):
+            inputs = F.array(*inputs)
+        names = [f"{_TMP}_{li}_{u}" for u in range(layer.n_units)]
+        exprs = [activation(layer.activation[u], _dot(inputs, layer.weights[u])
+                            + F.lit(float(layer.bias[u]))).alias(names[u])
+                 for u in range(layer.n_units)]
+        # One projection per layer: Catalyst keeps them apart (each unit is used by every unit
+        # of the next layer), so nothing is evaluated twice.
+        cur = cur.select("*", *exprs)
+        tmp_cols += names
+        inputs = [F.col(nm) for nm in names]
+        width = layer.n_units
+    out = inputs[0] if model.n_outputs == 1 else F.array(*inputs)
+    return cur.select(*[F.col(c) for c in base],
+                      F.when(F.col(f"{_TMP}_ok"), out).alias(out_col))
+
+
+def _predict_fn_factory(model: Model, vector: bool):
+    """``make_predict_fn`` for ``predict_batch_udf``. Closes over plain numpy arrays only, so
+    the worker needs numpy, not this package."""
+    params = [(layer.weights, layer.bias, layer.activation) for layer in model.layers]
+    n_in, n_out = model.n_inputs, model.n_outputs
+
+    def make_predict_fn():
+        acts = {
+            "linear": lambda z: z,
+            "relu": lambda z: np.maximum(z, 0.0),
+            "sigmoid": lambda z: 1.0 / (1.0 + np.exp(-z)),
+            "tanh": np.tanh,
+        }
+
+        def predict(x):
+            h = np.asarray(x, dtype=np.float64).reshape(-1, n_in)
+            for w, b, act in params:
+                z = h @ w.T + b
+                if len(set(act)) == 1:
+                    h = acts[act[0]](z)
+                else:
+                    h = np.empty_like(z)
+                    for name in set(act):
+                        idx = [i for i, a in enumerate(act) if a == name]
+                        h[:, idx] = acts[name](z[:, idx])
+            return h[:, 0] if n_out == 1 else h
+
+        return predict
+
+    return make_predict_fn
+
+
+def score_batched(df: DataFrame, model: Model, features_col: str = "features",
+                  out_col: str = "prediction", batch_size: int = 5) -> DataFrame:
+    """Route A: ``predict_batch_udf`` with mini-batches of ``batch_size`` rows (the reference's
+    batched forward pass uses 5; larger batches are faster). The UDF is marked
+    nondeterministic so a filter on the prediction does not score rows twice; filter inputs
+    before scoring."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    if batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
+    x, present, vector = _checked_input(df, features_col, model)
+    n = model.n_inputs
+    # Missing inputs are replaced by zeros for the network and their output set to NULL after.
+    zeros = F.array_repeat(F.lit(0.0), n) if vector else F.lit(0.0)
+    safe = F.when(present, x).otherwise(zeros)
+    rtype = T.DoubleType() if model.n_outputs == 1 else T.ArrayType(T.DoubleType())
+    udf = predict_batch_udf(_predict_fn_factory(model, vector), return_type=rtype,
+                            batch_size=batch_size,
+                            input_tensor_shapes=[[n]] if vector else None).asNondeterministic()
+    return df.withColumn(out_col, F.when(present, udf(safe)))
+
+
+def score(df: DataFrame, model: Model, features_col: str = "features", out_col: str = "prediction",
+          route: str = "native", batch_size: int = 5) -> DataFrame:
+    """M1: score with the chosen route (``native`` = B, ``udf`` = A)."""
+    if route == "native":
+        return score_native(df, model, features_col, out_col)
+    if route == "udf":
+        return score_batched(df, model, features_col, out_col, batch_size)
+    raise ValueError(f"unknown route {route!r}")
