@@ -48,7 +48,8 @@ def _checked_input(df: DataFrame, features_col: str, model: Model) -> tuple[Colu
     msg = F.concat(F.lit(f"feature vector width differs from the model input width {n}: got "),
                    F.size(x).cast("string"))
     checked = F.when(x.isNotNull() & (F.size(x) != n), F.raise_error(msg)).otherwise(x)
-    return checked, ~any_missing(x), True
+    # The flag reads the checked vector, so a ragged vector fails even when it holds a NaN.
+    return checked, ~any_missing(checked), True
 
 
 def _dot(inputs: list[Column] | Column, w: np.ndarray) -> Column:
@@ -128,11 +129,18 @@ def _predict_fn_factory(model: Model, vector: bool):
 
 
 def score_batched(df: DataFrame, model: Model, features_col: str = "features",
-                  out_col: str = "prediction", batch_size: int = 5) -> DataFrame:
+                  out_col: str = "prediction", batch_size: int = 5,
+                  make_predict_fn=None) -> DataFrame:
     """Route A: ``predict_batch_udf`` with mini-batches of ``batch_size`` rows (the reference's
     batched forward pass uses 5; larger batches are faster). The UDF is marked
     nondeterministic so a filter on the prediction does not score rows twice; filter inputs
-    before scoring."""
+    before scoring.
+
+    ``make_predict_fn`` replaces the network's own forward pass with any predictor (the
+    ``predict_batch_udf`` contract: called once per Python worker, returns a function from a
+    (batch, inputs) array to (batch,) or (batch, outputs)); ``model`` still fixes the input
+    width and the output count.
+    """
     from pyspark.ml.functions import predict_batch_udf
 
     if batch_size < 1:
@@ -143,7 +151,8 @@ def score_batched(df: DataFrame, model: Model, features_col: str = "features",
     zeros = F.array_repeat(F.lit(0.0), n) if vector else F.lit(0.0)
     safe = F.when(present, x).otherwise(zeros)
     rtype = T.DoubleType() if model.n_outputs == 1 else T.ArrayType(T.DoubleType())
-    udf = predict_batch_udf(_predict_fn_factory(model, vector), return_type=rtype,
+    factory = make_predict_fn or _predict_fn_factory(model, vector)
+    udf = predict_batch_udf(factory, return_type=rtype,
                             batch_size=batch_size,
                             input_tensor_shapes=[[n]] if vector else None).asNondeterministic()
     return df.withColumn(out_col, F.when(present, udf(safe)))

@@ -64,3 +64,14 @@ def write_series_csv(df: DataFrame, path: str, sep: str = ",") -> str:
     """Write a series as headerless delimited text (the reference's input format)."""
     df.write.mode("errorifexists").option("sep", sep).option("header", False).csv(path)
     return path
+
+
+def check_series(df: DataFrame) -> dict[str, int]:
+    """Parse every column once and return ``{"rows": n, <column>: non-NULL count, ...}``.
+
+    ``count()`` alone reads no column, so a ``FAILFAST`` CSV with malformed lines would pass it;
+    this aggregate touches each column and fails on them. One partial aggregate per task.
+    """
+    row = df.agg(F.count(F.lit(1)).alias("rows"),
+                 *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
+    return row.asDict()
