@@ -5,8 +5,8 @@ Two routes with the same results:
 * Route B, :func:`score_native` - every layer is column arithmetic built from the model's
   weights (literals in the plan). No Python worker; narrow layers stay in whole-stage codegen,
   wide ones use higher-order array functions.
-* Route A, :func:`score_batched` - ``predict_batch_udf``: Arrow batches to a Python worker, the
-  network runs in numpy on mini-batches of ``batch_size`` rows. Any predictor fits here.
+* Route A, :func:`score_batched` - a pandas UDF: Arrow batches to a Python worker, the network
+  runs in numpy on mini-batches of ``batch_size`` rows. Any predictor fits here.
 
 Both are narrow: no shuffle, rows keep all their columns (P3), partitioning is the input's.
 A row whose features are NULL, hold a NULL or hold a NaN gets a NULL prediction on both routes;
@@ -15,7 +15,10 @@ a vector whose width differs from the network's input fails the job.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,8 +100,8 @@ def score_native(df: DataFrame, model: Model, features_col: str = "features",
 
 
 def _predict_fn_factory(model: Model, vector: bool):
-    """``make_predict_fn`` for ``predict_batch_udf``. Closes over plain numpy arrays only, so
-    the worker needs numpy, not this package."""
+    """``make_predict_fn`` for the network. Closes over plain numpy arrays only, so the worker
+    needs numpy, not this package."""
     params = [(layer.weights, layer.bias, layer.activation) for layer in model.layers]
     n_in, n_out = model.n_inputs, model.n_outputs
 
@@ -128,21 +131,40 @@ def _predict_fn_factory(model: Model, vector: bool):
     return make_predict_fn
 
 
+def _batched_udf(make_predict_fn, n_in: int, n_out: int, vector: bool, batch_size: int):
+    """Iterator pandas UDF: each Arrow batch becomes one float64 matrix, the predictor runs on
+    consecutive slices of ``batch_size`` rows of it. ``make_predict_fn`` runs once per task."""
+    rtype = T.DoubleType() if n_out == 1 else T.ArrayType(T.DoubleType())
+
+    @F.pandas_udf(rtype)
+    def predict_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = make_predict_fn()
+        for s in batches:
+            n = len(s)
+            x = (np.stack(s.to_numpy()).astype(np.float64, copy=False).reshape(n, n_in) if vector
+                 else s.to_numpy(dtype=np.float64).reshape(n, 1))
+            out = np.empty((n, n_out), dtype=np.float64)
+            for i in range(0, n, batch_size):
+                y = np.asarray(predict(x[i:i + batch_size]), dtype=np.float64)
+                out[i:i + batch_size] = y.reshape(-1, n_out)
+            yield pd.Series(out[:, 0]) if n_out == 1 else pd.Series(list(out))
+
+    return predict_batches
+
+
 def score_batched(df: DataFrame, model: Model, features_col: str = "features",
                   out_col: str = "prediction", batch_size: int = 5,
                   make_predict_fn=None) -> DataFrame:
-    """Route A: ``predict_batch_udf`` with mini-batches of ``batch_size`` rows (the reference's
-    batched forward pass uses 5; larger batches are faster). The UDF is marked
-    nondeterministic so a filter on the prediction does not score rows twice; filter inputs
-    before scoring.
+    """Route A: a vectorised (Arrow-batched) pandas UDF running the network on mini-batches of
+    ``batch_size`` rows (the reference's batched forward pass uses 5; the result does not
+    depend on it). The UDF is marked nondeterministic so a filter on the prediction does not
+    score rows twice; filter inputs before scoring.
 
     ``make_predict_fn`` replaces the network's own forward pass with any predictor (the
-    ``predict_batch_udf`` contract: called once per Python worker, returns a function from a
-    (batch, inputs) array to (batch,) or (batch, outputs)); ``model`` still fixes the input
-    width and the output count.
+    ``predict_batch_udf`` contract: called once per task on the worker, returns a function from
+    a (batch, inputs) float64 array to (batch,) or (batch, outputs)); ``model`` still fixes the
+    input width and the output count.
     """
-    from pyspark.ml.functions import predict_batch_udf
-
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     x, present, vector = _checked_input(df, features_col, model)
@@ -150,11 +172,8 @@ def score_batched(df: DataFrame, model: Model, features_col: str = "features",
     # Missing inputs are replaced by zeros for the network and their output set to NULL after.
     zeros = F.array_repeat(F.lit(0.0), n) if vector else F.lit(0.0)
     safe = F.when(present, x).otherwise(zeros)
-    rtype = T.DoubleType() if model.n_outputs == 1 else T.ArrayType(T.DoubleType())
     factory = make_predict_fn or _predict_fn_factory(model, vector)
-    udf = predict_batch_udf(factory, return_type=rtype,
-                            batch_size=batch_size,
-                            input_tensor_shapes=[[n]] if vector else None).asNondeterministic()
+    udf = _batched_udf(factory, n, model.n_outputs, vector, batch_size).asNondeterministic()
     return df.withColumn(out_col, F.when(present, udf(safe)))
 
 

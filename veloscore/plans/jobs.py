@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veloscore.operators.features import split_features, tag_key
@@ -46,12 +46,16 @@ def score_and_count(series: DataFrame, model: Model, **kw) -> DataFrame:
     return scored_count(scored(series, model, **kw))
 
 
-def timed_run(df: DataFrame) -> dict[str, int]:
+def timed_run(pipeline: DataFrame | Callable[[], DataFrame]) -> dict[str, int]:
     """Run the whole pipeline once into the ``noop`` sink (every column is computed,
-    unlike ``count()``), with the row count taken by an ``Observation`` in the same pass."""
+    unlike ``count()``), with the row count taken by an ``Observation`` in the same pass.
+
+    Given a callable, building the DataFrame is timed too (it may run jobs of its own, like
+    the row index's bounds and counts)."""
+    t0 = time.perf_counter_ns()
+    df = pipeline() if callable(pipeline) else pipeline
     obs = Observation("veloscore_timed")
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    t0 = time.perf_counter_ns()
     observed.write.format("noop").mode("overwrite").save()
     elapsed = (time.perf_counter_ns() - t0) // 1_000_000
     return {"rows": int(obs.get["rows"]), "elapsed_ms": int(elapsed)}
@@ -67,11 +71,8 @@ def timed_runs(pipeline: DataFrame | Callable[[], DataFrame], iterations: int =
     if iterations < 1:
         raise ValueError("iterations must be at least 1")
     rows, cumulative = [], 0
-    spark = None
     for i in range(1, iterations + 1):
-        df = pipeline() if callable(pipeline) else pipeline
-        spark = df.sparkSession
-        r = timed_run(df)
+        r = timed_run(pipeline)
         cumulative += r["elapsed_ms"]
         rows.append((i, r["rows"], r["elapsed_ms"], cumulative, cumulative / i))
-    return spark.createDataFrame(rows, TIMED_SCHEMA)
+    return SparkSession.active().createDataFrame(rows, TIMED_SCHEMA)
