@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from veloscore.operators.features import tag_key  # noqa: E402
-from veloscore.operators.score import score  # noqa: E402
+from veloscore.operators.scoring import score  # noqa: E402
 from veloscore.plans.jobs import score_and_report, scored, timed_runs  # noqa: E402
 from veloscore.plans.sinks import scored_count  # noqa: E402
 from veloscore.session import local_session  # noqa: E402

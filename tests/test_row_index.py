@@ -2,7 +2,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
-from veloscore.operators.row_index import row_index
+from veloscore.operators.indexing import row_index
 from veloscore.sources.series import read_series
 
 
@@ -65,3 +65,14 @@ def test_plan_has_no_single_partition_exchange(spark):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "unix_time BIGINT, value DOUBLE")
     assert row_index(df, ["unix_time"]).collect() == []
+
+
+def test_unique_key_mode_matches_and_reads_keys_only(spark):
+    ev = spark.read.parquet(f"{SF_MID}/events.parquet")
+    a = row_index(ev, ["ts", "event_id"], unique=True).select("event_id", "row_no")
+    b = row_index(ev, ["ts", "event_id"]).select("event_id", "row_no")
+    assert a.exceptAll(b).count() == 0
+    # Tie-breakers hash only the non-key columns; a key-only frame needs no hash at all.
+    plan = row_index(ev.select("ts", "event_id"), ["ts", "event_id"])._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "xxhash64" not in plan

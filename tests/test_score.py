@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF_MID
 from veloscore.functions.columns import to_int
 from veloscore.operators.features import split_features, tag_key
-from veloscore.operators.score import score, score_batched, score_native
+from veloscore.operators.scoring import score, score_batched, score_native
 from veloscore.sources.model_table import Model, demo_scalar_model, demo_vector_model
 
 ROUTES = ["native", "udf"]

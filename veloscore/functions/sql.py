@@ -1,6 +1,6 @@
 """The network as SQL text, for the DuckDB oracle (and for ``spark.sql`` users).
 
-Same expression order as :func:`veloscore.operators.score.score_native`: per unit
+Same expression order as :func:`veloscore.operators.scoring.score_native`: per unit
 ``((x0*w0 + x1*w1) + ...) + b``, then the activation; one nested SELECT per layer.
 """
 

@@ -1,9 +1,9 @@
 """Row operators: feature split and key (P1, P2), scoring (M1, M2), row index (P5), report."""
 
 from veloscore.operators.features import split_features, tag_key
-from veloscore.operators.report import report
-from veloscore.operators.row_index import row_index
-from veloscore.operators.score import score, score_batched, score_native
+from veloscore.operators.reporting import report
+from veloscore.operators.indexing import row_index
+from veloscore.operators.scoring import score, score_batched, score_native
 
 __all__ = ["split_features", "tag_key", "report", "row_index", "score", "score_batched",
            "score_native"]

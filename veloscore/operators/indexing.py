@@ -9,12 +9,14 @@
    into offsets, kept as a literal array;
 4. ``row_number()`` over ``partitionBy(bucket).orderBy(key)`` plus the bucket's offset.
 
-The key is the caller's columns followed by two tie-breakers: a hash of the whole row and the
-id of the input split the row was read from. Rows tied on the caller's key are interchangeable
-for the contract, and the tie-breakers make a hot key - even a third of the table made of exact
-copies - spread over many buckets instead of landing in one task: the sampled bounds fall
-inside the hot key, split by row hash and then by input split, so the largest possible bucket
-is about one input split's worth of a single row value.
+The key is the caller's columns followed by two tie-breakers: a hash of the other columns (if
+there are any) and the id of the input split the row was read from. Rows tied on the caller's
+key are interchangeable for the contract, and the tie-breakers make a hot key - even a third of
+the table made of exact copies - spread over many buckets instead of landing in one task: the
+sampled bounds fall inside the hot key, split by row hash and then by input split, so the
+largest possible bucket is about one input split's worth of a single row value. With
+``unique=True`` (the caller's key has no ties) the tie-breakers are left out; the bounds and
+counts passes then read the key columns only.
 
 Bounds, counts and the final numbering all see the same deterministic bucket expression, so the
 offsets always match the rows (unlike a bucket read from ``spark_partition_id`` after a range
@@ -75,7 +77,7 @@ def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
 
 
 def row_index(df: DataFrame, order_by: list[str] | tuple[str, ...], col: str = "row_no", *,
-              rows_per_bucket: int = 2_000_000, max_buckets: int = 2048,
+              unique: bool = False, rows_per_bucket: int = 2_000_000, max_buckets: int = 2048,
               sample_per_bucket: int = 40, seed: int = 7) -> DataFrame:
     """Add ``col`` (BIGINT, 1..n) numbering the rows in ascending ``order_by`` order
     (NULLs first, NaN last, as Spark sorts).
@@ -90,10 +92,15 @@ def row_index(df: DataFrame, order_by: list[str] | tuple[str, ...], col: str = "
     if missing:
         raise ValueError(f"order columns {missing} not in {df.columns}")
     spark = df.sparkSession
-    hash_cols = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f)]
-    keyed = df.select("*", F.xxhash64(*hash_cols).alias(_H),
-                      F.spark_partition_id().alias(_P))
-    key_names = order_by + [_H, _P]
+    tie: list[Column] = []
+    if not unique:
+        others = [F.col(f"`{f.name}`") for f in df.schema.fields
+                  if f.name not in order_by and _hashable(f)]
+        if others:
+            tie.append(F.xxhash64(*others).alias(_H))
+        tie.append(F.spark_partition_id().alias(_P))
+    keyed = df.select("*", *tie)
+    key_names = order_by + [c for c in (_H, _P) if c in keyed.columns]
     key_types = {f.name: f.dataType for f in keyed.schema.fields}
 
     n = df.count()
@@ -104,9 +111,10 @@ def row_index(df: DataFrame, order_by: list[str] | tuple[str, ...], col: str = "
     if n_buckets > 1:
         fraction = min(1.0, sample_per_bucket * n_buckets / n)
         # Bounded: about sample_per_bucket * n_buckets keys reach the driver, sorted by Spark
-        # so the bounds follow Spark's own ordering of every key type.
+        # so the bounds follow Spark's own ordering of every key type. The sample alone is
+        # moved to one task and sorted there (no range-partitioning job for it).
         sample = (keyed.select(*key_names).sample(False, fraction, seed)
-                  .orderBy(*key_names)
+                  .repartition(1).sortWithinPartitions(*key_names)
                   .select(*[_to_driver(c, key_types[c]) for c in key_names]).collect())
         if len(sample) > 4 * sample_per_bucket * n_buckets:
             sample = sample[::math.ceil(len(sample) / (2 * sample_per_bucket * n_buckets))]
@@ -127,4 +135,4 @@ def row_index(df: DataFrame, order_by: list[str] | tuple[str, ...], col: str = "
 
     w = Window.partitionBy(_B).orderBy(*[F.col(c).asc_nulls_first() for c in key_names])
     return (keyed.withColumn(col, (F.row_number().over(w) + offset).cast("bigint"))
-            .drop(_H, _P, _B))
+            .drop(*[c for c in (_H, _P) if c in keyed.columns], _B))

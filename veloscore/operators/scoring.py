@@ -152,9 +152,20 @@ def _batched_udf(make_predict_fn, n_in: int, n_out: int, vector: bool, batch_siz
     return predict_batches
 
 
+def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a Python-heavy stage at least ``min_partitions`` tasks (default: the cluster's
+    parallelism). Only an input with fewer partitions than that is shuffled (round-robin, a
+    small input by definition); a large input keeps its own splits and no exchange is added."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def score_batched(df: DataFrame, model: Model, features_col: str = "features",
                   out_col: str = "prediction", batch_size: int = 5,
-                  make_predict_fn=None) -> DataFrame:
+                  make_predict_fn=None, spread: bool = True) -> DataFrame:
     """Route A: a vectorised (Arrow-batched) pandas UDF running the network on mini-batches of
     ``batch_size`` rows (the reference's batched forward pass uses 5; the result does not
     depend on it). The UDF is marked nondeterministic so a filter on the prediction does not
@@ -163,10 +174,13 @@ def score_batched(df: DataFrame, model: Model, features_col: str = "features",
     ``make_predict_fn`` replaces the network's own forward pass with any predictor (the
     ``predict_batch_udf`` contract: called once per task on the worker, returns a function from
     a (batch, inputs) float64 array to (batch,) or (batch, outputs)); ``model`` still fixes the
-    input width and the output count.
+    input width and the output count. ``spread`` spreads an input of fewer partitions than
+    cores over all of them (see :func:`spread_small_input`).
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
+    if spread:
+        df = spread_small_input(df)
     x, present, vector = _checked_input(df, features_col, model)
     n = model.n_inputs
     # Missing inputs are replaced by zeros for the network and their output set to NULL after.

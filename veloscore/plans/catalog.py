@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from veloscore.functions.columns import to_int
 from veloscore.functions.sql import network_sql
 from veloscore.operators.features import split_features, tag_key
-from veloscore.operators.row_index import row_index
-from veloscore.operators.score import score
+from veloscore.operators.indexing import row_index
+from veloscore.operators.scoring import score
 from veloscore.plans.jobs import score_and_report, scored, timed_runs
 from veloscore.plans.sinks import scored_count, write_predictions
 from veloscore.session import scratch_path
@@ -116,7 +116,7 @@ def q_predicted_int(spark, sf_dir):
 
 def q_row_index(spark, sf_dir):
     """P5: gap-free row numbers in (ts, event_id) order, every column kept."""
-    return row_index(_table(spark, sf_dir, "events"), ["ts", "event_id"])
+    return row_index(_table(spark, sf_dir, "events"), ["ts", "event_id"], unique=True)
 
 
 def q_report_lines(spark, sf_dir):

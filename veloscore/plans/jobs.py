@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veloscore.operators.features import split_features, tag_key
-from veloscore.operators.report import report
-from veloscore.operators.row_index import row_index
-from veloscore.operators.score import score
+from veloscore.operators.reporting import report
+from veloscore.operators.indexing import row_index
+from veloscore.operators.scoring import score
 from veloscore.plans.sinks import scored_count
 from veloscore.sources.model_table import Model
 
