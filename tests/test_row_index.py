@@ -76,3 +76,23 @@ def test_unique_key_mode_matches_and_reads_keys_only(spark):
     plan = row_index(ev.select("ts", "event_id"), ["ts", "event_id"])._jdf.queryExecution() \
         .executedPlan().toString()
     assert "xxhash64" not in plan
+
+
+def test_many_buckets_and_key_types_match_brute_force(spark):
+    """> 63 bounds uses the array search; every literal type must round-trip exactly."""
+    import datetime as dt
+    from decimal import Decimal
+    from pyspark.sql import Window
+    rows = []
+    for i in range(3000):
+        rows.append((f"k{i % 17}'\\\\x\n" if i % 5 else None,
+                     dt.date(2020, 1, 1) + dt.timedelta(days=i % 11),
+                     dt.datetime(2024, 3, 10, 1, 30) + dt.timedelta(minutes=i % 97),
+                     Decimal(i % 23) / Decimal(7) if i % 9 else None,
+                     float(i % 13) if i % 4 else float("nan"), i))
+    df = spark.createDataFrame(rows, "s STRING, d DATE, t TIMESTAMP, m DECIMAL(20,10), x DOUBLE, id INT")
+    keys = ["s", "d", "t", "m", "x", "id"]
+    got = dict(row_index(df, keys, rows_per_bucket=10).select("id", "row_no").collect())
+    w = Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+    exp = dict(df.select("id", F.row_number().over(w)).collect())
+    assert got == exp

@@ -3,8 +3,9 @@
 ``Window.orderBy`` with no partition moves every row into one task. Instead:
 
 1. draw a bounded sample of the ordering key, sort it in Spark, take ``B - 1`` bounds;
-2. give each row a bucket with a balanced binary search over those literal bounds
-   (``CASE WHEN key < bound ...``, depth log2(B), whole-stage codegen, deterministic);
+2. give each row a bucket with a binary search over those literal bounds: an unrolled
+   ``CASE WHEN key < bound ...`` tree (whole-stage codegen) for up to 64 buckets, else
+   log2(B) steps of ``aggregate`` over a literal array; deterministic either way;
 3. count rows per bucket (partial aggregation, B numbers reach the driver) and turn the counts
    into offsets, kept as a literal array;
 4. ``row_number()`` over ``partitionBy(bucket).orderBy(key)`` plus the bucket's offset.
@@ -59,31 +60,86 @@ def _to_driver(name: str, dt: T.DataType) -> Column:
     return c
 
 
-def _literal(value, dt: T.DataType) -> Column:
+def _sql_literal(value, dt: T.DataType) -> str:
+    """Exact SQL text for one sampled key value (see ``_to_driver`` for timestamps)."""
+    type_sql = dt.simpleString()
     if value is None:
-        return F.lit(None).cast(dt)
+        return f"CAST(NULL AS {type_sql})"
+    if isinstance(dt, T.BooleanType):
+        return "TRUE" if value else "FALSE"
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return f"CAST({int(value)} AS {type_sql})"
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return f"CAST('{float(value)!r}' AS {type_sql})"
+    if isinstance(dt, T.DecimalType):
+        return f"CAST('{value}' AS {type_sql})"
+    if isinstance(dt, T.StringType):
+        return f"CAST(X'{value.encode('utf-8').hex()}' AS STRING)"
+    if isinstance(dt, T.BinaryType):
+        return f"X'{bytes(value).hex()}'"
+    if isinstance(dt, T.DateType):
+        return f"DATE'{value.isoformat()}'"
     if isinstance(dt, T.TimestampType):
-        return F.timestamp_micros(F.lit(value))
-    return F.lit(value).cast(dt)
+        return f"TIMESTAMP_MICROS({int(value)})"
+    if isinstance(dt, T.TimestampNTZType):
+        return f"CAST('{value}' AS TIMESTAMP_NTZ)"
+    raise TypeError(f"row_index cannot order by a column of type {type_sql}")
+
+
+def _bound_sql(row, names: list[str], types: dict[str, T.DataType]) -> str:
+    fields = ", ".join(f"'{n}', {_sql_literal(row[n], types[n])}" for n in names)
+    return f"named_struct({fields})"
 
 
-def _bucket_expr(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Bucket j holds keys with bounds[j-1] <= key < bounds[j]; binary search over literals."""
+#: Up to this many bounds the search is an unrolled CASE tree (whole-stage codegen); beyond it
+#: the tree's generated code grows too large to compile, so a loop over a literal array is used.
+TREE_BOUNDS = 63
+
+
+def _bucket_tree(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
+    """Bounds are SQL texts; one ``F.expr`` per bound."""
     if lo == hi:
         return F.lit(lo)
     mid = (lo + hi + 1) // 2
-    return F.when(key < bounds[mid - 1], _bucket_expr(key, bounds, lo, mid - 1)) \
-            .otherwise(_bucket_expr(key, bounds, mid, hi))
+    return F.when(key < F.expr(bounds[mid - 1]), _bucket_tree(key, bounds, lo, mid - 1)) \
+            .otherwise(_bucket_tree(key, bounds, mid, hi))
+
+
+def _bucket_search(key: Column, bounds: list[str]) -> Column:
+    """Binary search in a sorted literal array: ceil(log2(k + 1)) steps of ``aggregate``. The
+    array is one SQL literal, parsed once."""
+    k = len(bounds)
+    arr = F.expr("array(" + ", ".join(bounds) + ")")
+    steps = max(1, math.ceil(math.log2(k + 1)))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.shiftright(lo + hi, 1)
+        le = F.try_element_at(arr, mid + 1) <= key
+        moved = F.when(le, F.struct((mid + 1).alias("lo"), hi.alias("hi"))) \
+                 .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))
+        return F.when(lo < hi, moved).otherwise(acc)
+
+    init = F.struct(F.lit(0).alias("lo"), F.lit(k).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+
+
+def _bucket_expr(key: Column, bounds: list[str]) -> Column:
+    """Bucket j holds keys with bounds[j-1] <= key < bounds[j] (the number of bounds <= key)."""
+    if len(bounds) <= TREE_BOUNDS:
+        return _bucket_tree(key, bounds, 0, len(bounds))
+    return _bucket_search(key, bounds)
 
 
 def row_index(df: DataFrame, order_by: list[str] | tuple[str, ...], col: str = "row_no", *,
-              unique: bool = False, rows_per_bucket: int = 2_000_000, max_buckets: int = 2048,
-              sample_per_bucket: int = 40, seed: int = 7) -> DataFrame:
+              unique: bool = False, rows_per_bucket: int = 2_000_000, max_buckets: int = 16384,
+              sample_per_bucket: int = 40, max_sample: int = 300_000, seed: int = 7) -> DataFrame:
     """Add ``col`` (BIGINT, 1..n) numbering the rows in ascending ``order_by`` order
     (NULLs first, NaN last, as Spark sorts).
 
     The number of buckets grows with the row count (``rows_per_bucket``) up to ``max_buckets``
-    and is at least four per shuffle partition, so buckets spread evenly over tasks.
+    and is at least four per shuffle partition, so buckets spread evenly over tasks. At most
+    ``max_sample`` sampled keys reach the driver (``sample_per_bucket`` per bucket below that).
     Three small jobs run when this is called: a row count (metadata only for Parquet), the
     bounded key sample, and the per-bucket counts.
     """
@@ -107,24 +163,25 @@ def row_index(df: DataFrame, order_by: list[str] | tuple[str, ...], col: str = "
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = 1 if n == 0 else min(max_buckets, max(4 * parts, math.ceil(n / rows_per_bucket)))
 
-    bounds: list[Column] = []
+    bounds: list[str] = []
     if n_buckets > 1:
-        fraction = min(1.0, sample_per_bucket * n_buckets / n)
+        target = min(max_sample, sample_per_bucket * n_buckets)
+        fraction = min(1.0, target / n)
         # Bounded: about sample_per_bucket * n_buckets keys reach the driver, sorted by Spark
         # so the bounds follow Spark's own ordering of every key type. The sample alone is
         # moved to one task and sorted there (no range-partitioning job for it).
         sample = (keyed.select(*key_names).sample(False, fraction, seed)
                   .repartition(1).sortWithinPartitions(*key_names)
                   .select(*[_to_driver(c, key_types[c]) for c in key_names]).collect())
-        if len(sample) > 4 * sample_per_bucket * n_buckets:
-            sample = sample[::math.ceil(len(sample) / (2 * sample_per_bucket * n_buckets))]
+        if len(sample) > 2 * target:  # Bernoulli overshoot; keep the driver's share bounded
+            sample = sample[::math.ceil(len(sample) / target)]
         picks = sorted({min(len(sample) - 1, (i * len(sample)) // n_buckets)
                         for i in range(1, n_buckets)}) if sample else []
         for i in picks:
             row = sample[i]
-            bounds.append(F.struct(*[_literal(row[c], key_types[c]).alias(c) for c in key_names]))
+            bounds.append(_bound_sql(row, key_names, key_types))
     key = F.struct(*[F.col(c) for c in key_names])
-    keyed = keyed.withColumn(_B, _bucket_expr(key, bounds, 0, len(bounds)))
+    keyed = keyed.withColumn(_B, _bucket_expr(key, bounds))
 
     counts = dict(keyed.groupBy(_B).count().collect())  # <= len(bounds) + 1 rows
     offsets, total = [], 0
