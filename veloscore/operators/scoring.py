@@ -30,6 +30,10 @@ from veloscore.sources.model_table import Model
 #: codegen); wider layers use ``aggregate(zip_with(...))`` over an array.
 UNROLL_LIMIT = 4096
 
+#: Route B writes every weight into the plan as a literal; beyond this many the plan itself
+#: becomes the thing shipped to every task, so larger networks go through route A.
+NATIVE_MAX_WEIGHTS = 250_000
+
 _TMP = "__vs_h"
 
 
@@ -71,6 +75,9 @@ def score_native(df: DataFrame, model: Model, features_col: str = "features",
                  out_col: str = "prediction", unroll_limit: int = UNROLL_LIMIT) -> DataFrame:
     """Route B: the network as column expressions. Output is DOUBLE for a one-output network,
     else ``ARRAY<DOUBLE>``."""
+    if model.n_weights > NATIVE_MAX_WEIGHTS:
+        raise ValueError(f"model {model.model_id!r} has {model.n_weights} weights, over the "
+                         f"{NATIVE_MAX_WEIGHTS} that route B inlines into the plan; use route 'udf'")
     x, present, vector = _checked_input(df, features_col, model)
     base = list(df.columns)
     xin = f"{_TMP}_x"
@@ -179,7 +186,7 @@ def score_batched(df: DataFrame, model: Model, features_col: str = "features",
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
-    if spread:
+    if spread and not df.isStreaming:
         df = spread_small_input(df)
     x, present, vector = _checked_input(df, features_col, model)
     n = model.n_inputs
@@ -193,7 +200,10 @@ def score_batched(df: DataFrame, model: Model, features_col: str = "features",
 
 def score(df: DataFrame, model: Model, features_col: str = "features", out_col: str = "prediction",
           route: str = "native", batch_size: int = 5) -> DataFrame:
-    """M1: score with the chosen route (``native`` = B, ``udf`` = A)."""
+    """M1: score with the chosen route (``native`` = B, ``udf`` = A, ``auto`` = B unless the
+    network is too large to inline)."""
+    if route == "auto":
+        route = "native" if model.n_weights <= NATIVE_MAX_WEIGHTS else "udf"
     if route == "native":
         return score_native(df, model, features_col, out_col)
     if route == "udf":

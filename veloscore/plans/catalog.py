@@ -22,6 +22,7 @@ from veloscore.session import scratch_path
 from veloscore.sources.model_table import (demo_scalar_model, demo_vector_model, load_model,
                                            publish_model)
 from veloscore.sources.series import read_series, series_from_table, write_series_csv
+from veloscore.streaming.files import run_available, score_stream
 
 #: Seconds since 2024-01-01 00:00:00 UTC are fed to the network when the label is scored.
 LABEL_EPOCH = 1704067200
@@ -154,6 +155,17 @@ def q_scored_count_udf(spark, sf_dir):
                                route="udf", batch_size=5))
 
 
+def q_stream_report_by_time(spark, sf_dir):
+    """S1 S2 M1 P6b as Structured Streaming: events written as four CSV files, scored one file
+    per micro-batch into a Parquet sink, read back."""
+    src = scratch_path(spark, "stream-in")
+    write_series_csv(_events_series(spark, sf_dir, keep=()).repartition(4), src)
+    out = scratch_path(spark, "stream-out")
+    run_available(score_stream(spark, src, demo_scalar_model(), max_files_per_trigger=1),
+                  out, scratch_path(spark, "stream-ckpt"))
+    return spark.read.parquet(out)
+
+
 def q_timed_runs(spark, sf_dir):
     """Three timed passes of route A scoring; times vary, rows do not."""
     pipeline = scored(_events_series(spark, sf_dir, keep=()), demo_scalar_model(), route="udf",
@@ -178,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "saved_predictions": q_saved_predictions,
     "scored_count": q_scored_count,
     "scored_count_udf": q_scored_count_udf,
+    "stream_report_by_time": q_stream_report_by_time,
     "timed_runs": q_timed_runs,
 }
 
@@ -252,4 +265,6 @@ def oracle() -> dict[str, str]:
         "saved_predictions": f"SELECT line FROM ({report}) AS r",
         "scored_count": _count_sql(),
         "scored_count_udf": _count_sql(),
+        "stream_report_by_time": (f"SELECT unix_time, key, predicted, actual, line "
+                                  f"FROM ({_report_sql(by_time=True)}) AS r"),
     }
