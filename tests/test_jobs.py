@@ -86,3 +86,24 @@ def test_sinks_write_and_show(spark, capsys):
     lines = show_lines(rep, 3)
     assert len(lines) == 3 and lines[0].startswith("Row:1 ==>")
     assert "Row:1 ==>" in capsys.readouterr().out
+
+
+def test_vector_report_and_count(spark):
+    from veloscore.operators.features import split_features
+    from veloscore.operators.indexing import row_index
+    from veloscore.operators.reporting import report
+    from veloscore.operators.scoring import score
+    from veloscore.sources.model_table import Model
+    m = Model.build("v2x2", [([[1.0, 0.0], [0.0, -2.0]], [0.5, 0.0], "linear")])
+    df = spark.createDataFrame([(1, 3.7, 2.0), (2, -1.2, 1.0)], "unix_time BIGINT, a DOUBLE, b DOUBLE")
+    s = score(split_features(row_index(df, ["unix_time"]), 0, 0, keep=("row_no",)).withColumn("key", F.lit("Predicted")), m)
+    rows = report(s).orderBy("row_no").collect()
+    assert [(r["predicted"], r["actual"]) for r in rows] == [(4, 3), (0, -1)]
+    c = scored_count(s).first()
+    assert (c["records"], c["scored"]) == (2, 2) and c["prediction_sum"] == pytest.approx(4.2 - 0.7)
+
+
+def test_count_sum_survives_huge_predictions(spark):
+    df = spark.createDataFrame([(1e12,), (2.5,), (None,)], "prediction DOUBLE")
+    c = scored_count(df).first()
+    assert (c["records"], c["scored"], c["prediction_sum"]) == (3, 2, 1e12 + 2.5)

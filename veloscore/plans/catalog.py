@@ -232,7 +232,7 @@ def _report_sql(by_time: bool = False) -> str:
 
 def _count_sql() -> str:
     return (f"SELECT count(*) AS records, count(prediction) AS scored, "
-            f"CAST(sum(CAST(round(prediction, 8) AS DECIMAL(20,8))) AS DOUBLE) AS prediction_sum "
+            f"CAST(sum(CAST(round(prediction, 8) AS DECIMAL(30,8))) AS DOUBLE) AS prediction_sum "
             f"FROM ({_scalar_sql('{}')}) AS p")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veloscore.functions.columns import col
+from veloscore.functions.columns import col, first_element
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "text", line_col: str = "line",
@@ -39,15 +40,17 @@ def show_lines(df: DataFrame, n: int = 20, line_col: str = "line",
 def rounded_sum(c: str | Column, digits: int = 8) -> Column:
     """Order-independent sum: each value rounded to ``digits`` and added as a decimal, so the
     result does not depend on how rows are split into partitions."""
-    return F.sum(F.round(col(c), digits).cast(f"decimal(20,{digits})")).cast("double")
+    return F.sum(F.round(col(c), digits).cast(f"decimal(30,{digits})")).cast("double")
 
 
 def scored_count(df: DataFrame, prediction_col: str = "prediction") -> DataFrame:
-    """A1: one row ``records, scored, prediction_sum``.
+    """A1: one row ``records, scored, prediction_sum`` (the sum is over the first output of a
+    multi-output network).
 
     Aggregates over the prediction itself: a plain ``df.count()`` lets column pruning drop the
     prediction, so nothing would be scored. Partial aggregation per task, one final row.
     """
-    p = F.col(prediction_col)
+    vec = isinstance(df.schema[prediction_col].dataType, T.ArrayType)
+    p = first_element(prediction_col, vec)
     return df.agg(F.count(F.lit(1)).alias("records"), F.count(p).alias("scored"),
                   rounded_sum(p).alias("prediction_sum"))
