@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veloscore.functions.columns import activation, any_missing, is_missing
+from veloscore.functions.columns import any_missing, is_missing
 from veloscore.sources.model_table import Model
 
 #: Up to this many weight terms a layer is unrolled into scalar arithmetic (whole-stage
@@ -59,51 +59,82 @@ def _checked_input(df: DataFrame, features_col: str, model: Model) -> tuple[Colu
     return checked, ~any_missing(checked), True
 
 
-def _dot(inputs: list[Column] | Column, w: np.ndarray) -> Column:
+def _num(v: float) -> str:
+    return f"CAST('{float(v)!r}' AS DOUBLE)"
+
+
+def _act_sql(name: str, z: str) -> str:
+    if name == "linear":
+        return z
+    if name == "relu":
+        return f"greatest(CAST(0 AS DOUBLE), {z})"
+    if name == "sigmoid":
+        return f"(CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + exp(-({z}))))"
+    if name == "tanh":
+        return f"tanh({z})"
+    raise ValueError(f"unknown activation {name!r}")
+
+
+def _dot_sql(inputs: list[str] | str, w: np.ndarray) -> str:
+    """Unrolled ``((x1*w1 + x2*w2) + ...)`` over scalar inputs, or ``aggregate(zip_with(...))``
+    over an array input (wide layers)."""
     if isinstance(inputs, list):
         acc = None
         for xi, wi in zip(inputs, w):
-            term = xi * F.lit(float(wi))
-            acc = term if acc is None else acc + term
+            term = f"({xi} * {_num(wi)})"
+            acc = term if acc is None else f"({acc} + {term})"
         return acc
-    wl = F.array(*[F.lit(float(v)) for v in w])
-    return F.aggregate(F.zip_with(inputs, wl, lambda a, b: a * b), F.lit(0.0),
-                       lambda acc, v: acc + v)
+    weights = "array(" + ", ".join(_num(v) for v in w) + ")"
+    return (f"aggregate(zip_with({inputs}, {weights}, (a, b) -> a * b), CAST(0 AS DOUBLE), "
+            f"(acc, v) -> acc + v)")
 
 
 def score_native(df: DataFrame, model: Model, features_col: str = "features",
                  out_col: str = "prediction", unroll_limit: int = UNROLL_LIMIT) -> DataFrame:
     """Route B: the network as column expressions. Output is DOUBLE for a one-output network,
-    else ``ARRAY<DOUBLE>``."""
+    else ``ARRAY<DOUBLE>``.
+
+    Each layer is one SQL expression per unit (one parse, literal weights) in its own
+    projection; the input check and the NULL/NaN flag read the materialised feature column, so
+    nothing is evaluated twice and every step stays in whole-stage codegen while the layers are
+    unrolled.
+    """
     if model.n_weights > NATIVE_MAX_WEIGHTS:
         raise ValueError(f"model {model.model_id!r} has {model.n_weights} weights, over the "
                          f"{NATIVE_MAX_WEIGHTS} that route B inlines into the plan; use route 'udf'")
-    x, present, vector = _checked_input(df, features_col, model)
+    x, _, vector = _checked_input(df, features_col, model)
     base = list(df.columns)
-    xin = f"{_TMP}_x"
-    cur = df.select("*", x.alias(xin), present.alias(f"{_TMP}_ok"))
-    inputs: list[Column] | Column = [F.col(xin)] if not vector else F.col(xin)
+    xin, ok = f"{_TMP}_x", f"{_TMP}_ok"
+    cur = df.select("*", x.alias(xin))
+    xc = F.col(xin)
+    if vector:
+        # array_contains treats NaN as equal to NaN and gives NULL when an element is NULL and
+        # no NaN is found: both mean "missing". Codegen-able, unlike a lambda.
+        missing = xc.isNull() | F.coalesce(F.array_contains(xc, float("nan")), F.lit(True))
+    else:
+        missing = xc.isNull() | F.isnan(xc)
+    cur = cur.select("*", (~missing).alias(ok))
+    inputs: list[str] | str = f"`{xin}`" if vector else [f"`{xin}`"]
     width = model.n_inputs
-    tmp_cols = [xin]
     for li, layer in enumerate(model.layers):
         unroll = layer.weights.size <= unroll_limit
         if unroll and not isinstance(inputs, list):
-            inputs = [F.try_element_at(inputs, F.lit(i + 1)) for i in range(width)]
+            inputs = [f"try_element_at({inputs}, {i + 1})" for i in range(width)]
         elif not unroll and isinstance(inputs, list):
-            inputs = F.array(*inputs)
+            inputs = "array(" + ", ".join(inputs) + ")"
         names = [f"{_TMP}_{li}_{u}" for u in range(layer.n_units)]
-        exprs = [activation(layer.activation[u], _dot(inputs, layer.weights[u])
-                            + F.lit(float(layer.bias[u]))).alias(names[u])
+        exprs = [F.expr(_act_sql(layer.activation[u],
+                                 f"({_dot_sql(inputs, layer.weights[u])} + {_num(layer.bias[u])})")
+                        ).alias(names[u])
                  for u in range(layer.n_units)]
         # One projection per layer: Catalyst keeps them apart (each unit is used by every unit
         # of the next layer), so nothing is evaluated twice.
         cur = cur.select("*", *exprs)
-        tmp_cols += names
-        inputs = [F.col(nm) for nm in names]
+        inputs = [f"`{nm}`" for nm in names]
         width = layer.n_units
-    out = inputs[0] if model.n_outputs == 1 else F.array(*inputs)
-    return cur.select(*[F.col(c) for c in base],
-                      F.when(F.col(f"{_TMP}_ok"), out).alias(out_col))
+    cols = [F.col(c) for c in inputs]
+    out = cols[0] if model.n_outputs == 1 else F.array(*cols)
+    return cur.select(*[F.col(f"`{c}`") for c in base], F.when(F.col(ok), out).alias(out_col))
 
 
 def _predict_fn_factory(model: Model, vector: bool):
@@ -172,7 +203,7 @@ def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> Data
 
 def score_batched(df: DataFrame, model: Model, features_col: str = "features",
                   out_col: str = "prediction", batch_size: int = 5,
-                  make_predict_fn=None, spread: bool = True) -> DataFrame:
+                  make_predict_fn=None, spread: bool = False) -> DataFrame:
     """Route A: a vectorised (Arrow-batched) pandas UDF running the network on mini-batches of
     ``batch_size`` rows (the reference's batched forward pass uses 5; the result does not
     depend on it). The UDF is marked nondeterministic so a filter on the prediction does not

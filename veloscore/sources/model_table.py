@@ -79,6 +79,8 @@ class Model:
                                  f"has weights of shape {layer.weights.shape}")
             if layer.bias.shape != (layer.n_units,) or len(layer.activation) != layer.n_units:
                 raise ValueError(f"model {self.model_id!r}: layer {i} bias/activation count")
+            if not (np.isfinite(layer.weights).all() and np.isfinite(layer.bias).all()):
+                raise ValueError(f"model {self.model_id!r}: layer {i} has a non-finite weight")
             bad = set(layer.activation) - set(ACTIVATIONS)
             if bad:
                 raise ValueError(f"model {self.model_id!r}: unknown activation(s) {sorted(bad)}")
