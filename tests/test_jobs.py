@@ -39,7 +39,8 @@ def test_routes_give_the_same_report(spark):
 
 
 def test_report_plan_has_no_single_partition(spark):
-    rep = score_and_report(_series(spark), demo_scalar_model())
+    ev = series_from_table(spark.read.parquet("/root/testdata/sf0.01/events.parquet"))
+    rep = score_and_report(ev, demo_scalar_model())
     plan = rep._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
 

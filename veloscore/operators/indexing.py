@@ -95,6 +95,9 @@ def _bound_sql(row, names: list[str], types: dict[str, T.DataType]) -> str:
 #: the tree's generated code grows too large to compile, so a loop over a literal array is used.
 TREE_BOUNDS = 63
 
+#: Small inputs are not cut into buckets smaller than this (a bucket is one window group).
+MIN_BUCKET_ROWS = 5_000
+
 
 def _bucket_tree(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
     """Bounds are SQL texts; one ``F.expr`` per bound."""
@@ -138,7 +141,8 @@ def row_index(df: DataFrame, order_by: list[str] | tuple[str, ...], col: str = "
     (NULLs first, NaN last, as Spark sorts).
 
     The number of buckets grows with the row count (``rows_per_bucket``) up to ``max_buckets``
-    and is at least four per shuffle partition, so buckets spread evenly over tasks. At most
+    and is at least four per shuffle partition (unless that makes buckets smaller than
+    ``MIN_BUCKET_ROWS``), so buckets spread evenly over tasks. At most
     ``max_sample`` sampled keys reach the driver (``sample_per_bucket`` per bucket below that).
     Three small jobs run when this is called: a row count (metadata only for Parquet), the
     bounded key sample, and the per-bucket counts.
@@ -161,7 +165,10 @@ def row_index(df: DataFrame, order_by: list[str] | tuple[str, ...], col: str = "
 
     n = df.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = 1 if n == 0 else min(max_buckets, max(4 * parts, math.ceil(n / rows_per_bucket)))
+    # Enough buckets for the data (rows_per_bucket), at least four per shuffle partition for
+    # balance - but never buckets of fewer than MIN_BUCKET_ROWS rows - and at most max_buckets.
+    n_buckets = max(math.ceil(n / rows_per_bucket), min(4 * parts, math.ceil(n / MIN_BUCKET_ROWS)))
+    n_buckets = max(1, min(max_buckets, n_buckets))
 
     bounds: list[str] = []
     if n_buckets > 1:
