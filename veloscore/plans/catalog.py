@@ -19,8 +19,8 @@ from veloscore.operators.scoring import score
 from veloscore.plans.jobs import score_and_report, scored, timed_runs
 from veloscore.plans.sinks import scored_count, write_predictions
 from veloscore.session import scratch_path
-from veloscore.sources.model_table import (demo_scalar_model, demo_vector_model, load_model,
-                                           publish_model)
+from veloscore.sources.model_table import (demo_multi_model, demo_scalar_model,
+                                           demo_vector_model, load_model, publish_model)
 from veloscore.sources.series import read_series, series_from_table, write_series_csv
 from veloscore.streaming.files import run_available, score_stream
 
@@ -91,6 +91,26 @@ def q_score_vector_udf(spark, sf_dir):
     return _score_vector(spark, sf_dir, "udf")
 
 
+_LI_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+            "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _score_lineitem(spark, sf_dir, route):
+    li = _table(spark, sf_dir, "lineitem").select(*_LI_COLS)
+    s = scored(li, demo_multi_model(), label_from=0, label_to=3, route=route, batch_size=64)
+    return s.select("l_orderkey", "l_linenumber", "key", _round8())
+
+
+def q_score_multi_native(spark, sf_dir):
+    """P1 then M1 (route B): four label columns, four numeric columns as the feature vector."""
+    return _score_lineitem(spark, sf_dir, "native")
+
+
+def q_score_multi_udf(spark, sf_dir):
+    """P1 then M1 (route A) on the same split."""
+    return _score_lineitem(spark, sf_dir, "udf")
+
+
 def q_score_label(spark, sf_dir):
     """The label (epoch seconds since 2024-01-01) is the scored value, key Occ_Predicted."""
     s = split_features(_events_series(spark, sf_dir), 0, 0, keep=("event_id",))
@@ -180,6 +200,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_scalar_udf": q_score_scalar_udf,
     "score_vector_native": q_score_vector_native,
     "score_vector_udf": q_score_vector_udf,
+    "score_multi_native": q_score_multi_native,
+    "score_multi_udf": q_score_multi_udf,
     "score_label": q_score_label,
     "model_roundtrip": q_model_roundtrip,
     "predicted_int": q_predicted_int,
@@ -236,6 +258,14 @@ def _count_sql() -> str:
             f"FROM ({_scalar_sql('{}')}) AS p")
 
 
+def _multi_sql() -> str:
+    src = ("(SELECT l_orderkey, l_linenumber, 'Predicted' AS key, [CAST(l_quantity AS DOUBLE), "
+           "CAST(l_extendedprice AS DOUBLE), CAST(l_discount AS DOUBLE), CAST(l_tax AS DOUBLE)] "
+           "AS features FROM lineitem)")
+    return network_sql(demo_multi_model(), src, "features", ["l_orderkey", "l_linenumber", "key"],
+                       vector=True, out_expr="round({}, 8)")
+
+
 def oracle() -> dict[str, str]:
     label_src = (f"(SELECT event_id, unix_time, 'Occ_Predicted' AS key, "
                  f"CAST(unix_time - {LABEL_EPOCH} AS DOUBLE) AS label_input FROM {_SERIES} AS s)")
@@ -251,6 +281,8 @@ def oracle() -> dict[str, str]:
         "score_scalar_udf": _scalar_sql(),
         "score_vector_native": _vector_sql(),
         "score_vector_udf": _vector_sql(),
+        "score_multi_native": _multi_sql(),
+        "score_multi_udf": _multi_sql(),
         "score_label": network_sql(demo_scalar_model(), label_src, "label_input",
                                    ["event_id", "unix_time", "key"], out_expr="round({}, 8)"),
         "model_roundtrip": network_sql(

@@ -188,6 +188,16 @@ def demo_scalar_model() -> Model:
     ])
 
 
+def demo_multi_model() -> Model:
+    """``demo-4-2-1``: four inputs, two ReLU units, one linear output. Weights in quarter steps:
+    with two-decimal inputs every exact result has at most six decimals, so ``round(x, 8)``
+    never meets a tie that engines break differently."""
+    return Model.build("demo-4-2-1", [
+        ([[0.25, -0.5, 0.5, 1.0], [-0.5, 0.25, 0.75, -0.75]], [1.0, 2.0], "relu"),
+        ([[0.75, -0.25]], [0.5], "linear"),
+    ])
+
+
 # Numerators of the 64 weights (each divided by 64) of ``demo-64-1``.
 DEMO_VECTOR_NUMERATORS = [
     3, -5, 8, 1, -2, 7, -9, 4, 6, -1, 2, -8, 5, 9, -3, 0,
