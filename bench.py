@@ -20,7 +20,8 @@ from veloscore.operators.scoring import score  # noqa: E402
 from veloscore.plans.jobs import score_and_report, scored, timed_runs  # noqa: E402
 from veloscore.plans.sinks import scored_count  # noqa: E402
 from veloscore.session import local_session  # noqa: E402
-from veloscore.sources.model_table import demo_scalar_model, demo_vector_model  # noqa: E402
+from veloscore.sources.model_table import (demo_multi_model, demo_scalar_model,  # noqa: E402
+                                           demo_vector_model)
 from veloscore.sources.series import series_from_table  # noqa: E402
 
 
@@ -30,7 +31,7 @@ def main() -> None:
     iterations = int(os.environ.get("BENCH_ITERATIONS", "3"))
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8,
                           app="veloscore-bench")
-    scalar, vector = demo_scalar_model(), demo_vector_model()
+    scalar, vector, multi = demo_scalar_model(), demo_vector_model(), demo_multi_model()
 
     def events():
         return series_from_table(spark.read.parquet(f"{sf_dir}/events.parquet"))
@@ -38,6 +39,11 @@ def main() -> None:
     def embeddings():
         return tag_key(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
+    def lineitem():
+        return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+            "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
     jobs = {
         "events_udf_b5": lambda: scored(events(), scalar, route="udf", batch_size=5),
         "events_udf_b4096": lambda: scored(events(), scalar, route="udf", batch_size=4096),
@@ -48,6 +54,9 @@ def main() -> None:
         "report_native": lambda: score_and_report(events(), scalar, route="native"),
         "report_udf_b5": lambda: score_and_report(events(), scalar, route="udf", batch_size=5),
         "count_native": lambda: scored_count(scored(events(), scalar, route="native")),
+        "lineitem4_native": lambda: scored(lineitem(), multi, label_from=0, label_to=3),
+        "lineitem4_udf_b4096": lambda: scored(lineitem(), multi, label_from=0, label_to=3,
+                                              route="udf", batch_size=4096),
     }
     warm, cold, rows = {}, {}, {}
     t_all = time.time()
