@@ -119,3 +119,13 @@ def test_native_plan_is_one_codegen_stage_without_python(spark):
     plan = score_native(tag_key(df), demo_scalar_model())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert "*(1) Project" in plan  # whole-stage codegen
+
+
+def test_column_activations_match_numpy(spark):
+    from veloscore.functions.columns import activation
+    from veloscore.sources.model_table import _ACT_NP
+    xs = [-2.5, -0.1, 0.0, 0.7, 3.0]
+    df = _scalar(spark, xs)
+    for name in ("linear", "relu", "sigmoid", "tanh"):
+        got = [r[0] for r in df.orderBy("id").select(activation(name, F.col("features"))).collect()]
+        assert np.allclose(got, _ACT_NP[name](np.array(xs)), atol=1e-15), name

@@ -43,9 +43,13 @@ def is_missing(c: str | Column) -> Column:
 
 
 def any_missing(arr: str | Column) -> Column:
-    """A NULL array, or an array with a NULL or NaN element."""
+    """A NULL array, or an array with a NULL or NaN element.
+
+    ``array_contains`` treats NaN as equal to NaN and gives NULL when an element is NULL and no
+    NaN is found; both mean "missing". Unlike a lambda it stays in whole-stage codegen.
+    """
     arr = col(arr)
-    return arr.isNull() | F.exists(arr, lambda v: v.isNull() | F.isnan(v))
+    return arr.isNull() | F.coalesce(F.array_contains(arr, float("nan")), F.lit(True))
 
 
 def to_int(c: str | Column, digits: int = 6) -> Column:

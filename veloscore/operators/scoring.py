@@ -107,12 +107,7 @@ def score_native(df: DataFrame, model: Model, features_col: str = "features",
     xin, ok = f"{_TMP}_x", f"{_TMP}_ok"
     cur = df.select("*", x.alias(xin))
     xc = F.col(xin)
-    if vector:
-        # array_contains treats NaN as equal to NaN and gives NULL when an element is NULL and
-        # no NaN is found: both mean "missing". Codegen-able, unlike a lambda.
-        missing = xc.isNull() | F.coalesce(F.array_contains(xc, float("nan")), F.lit(True))
-    else:
-        missing = xc.isNull() | F.isnan(xc)
+    missing = any_missing(xc) if vector else is_missing(xc)
     cur = cur.select("*", (~missing).alias(ok))
     inputs: list[str] | str = f"`{xin}`" if vector else [f"`{xin}`"]
     width = model.n_inputs
