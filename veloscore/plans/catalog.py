@@ -15,6 +15,7 @@ from veloscore.functions.columns import to_int
 from veloscore.functions.sql import network_sql
 from veloscore.operators.features import split_features, tag_key
 from veloscore.operators.indexing import row_index
+from veloscore.operators.reporting import report
 from veloscore.operators.scoring import score
 from veloscore.plans.jobs import score_and_report, scored, timed_runs
 from veloscore.plans.sinks import scored_count, write_predictions
@@ -151,6 +152,14 @@ def q_report_lines_udf(spark, sf_dir):
                             route="udf", batch_size=5)
 
 
+def q_report_vector(spark, sf_dir):
+    """J1 on 64-wide vectors: rows numbered by vec_id, "Actual" is the first element."""
+    emb = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    indexed = row_index(emb, ["vec_id"], unique=True)
+    s = score(tag_key(indexed, "Predicted"), demo_vector_model(), features_col="embedding")
+    return report(s, features_col="embedding", time_col="vec_id")
+
+
 def q_report_lines_by_time(spark, sf_dir):
     """Report lines labelled by epoch seconds."""
     return score_and_report(_events_series(spark, sf_dir, keep=()), demo_scalar_model(),
@@ -208,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "row_index": q_row_index,
     "report_lines": q_report_lines,
     "report_lines_udf": q_report_lines_udf,
+    "report_vector": q_report_vector,
     "report_lines_by_time": q_report_lines_by_time,
     "saved_predictions": q_saved_predictions,
     "scored_count": q_scored_count,
@@ -252,6 +262,18 @@ def _report_sql(by_time: bool = False) -> str:
             f"{_int_sql('value')} AS actual FROM ({net}) AS n) AS r")
 
 
+def _report_vector_sql() -> str:
+    indexed = ("(SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS row_no "
+               "FROM embeddings)")
+    net = network_sql(demo_vector_model(), indexed, "embedding", ["row_no", "vec_id", "embedding"],
+                      vector=True, out_expr="{}")
+    return (f"SELECT row_no, vec_id, key, predicted, actual, 'Row:' || CAST(row_no AS VARCHAR) "
+            f"|| ' ==> ' || key || ':' || coalesce(CAST(predicted AS VARCHAR), 'null') "
+            f"|| ' - Actual:' || coalesce(CAST(actual AS VARCHAR), 'null') AS line FROM ("
+            f"SELECT row_no, vec_id, 'Predicted' AS key, {_int_sql('prediction')} AS predicted, "
+            f"{_int_sql('embedding[1]')} AS actual FROM ({net}) AS n) AS r")
+
+
 def _count_sql() -> str:
     return (f"SELECT count(*) AS records, count(prediction) AS scored, "
             f"CAST(sum(CAST(round(prediction, 8) AS DECIMAL(30,8))) AS DOUBLE) AS prediction_sum "
@@ -293,6 +315,7 @@ def oracle() -> dict[str, str]:
         "row_index": "SELECT *, row_number() OVER (ORDER BY ts, event_id) AS row_no FROM events",
         "report_lines": report,
         "report_lines_udf": report,
+        "report_vector": _report_vector_sql(),
         "report_lines_by_time": _report_sql(by_time=True),
         "saved_predictions": f"SELECT line FROM ({report}) AS r",
         "scored_count": _count_sql(),
