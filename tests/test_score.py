@@ -129,3 +129,22 @@ def test_column_activations_match_numpy(spark):
     for name in ("linear", "relu", "sigmoid", "tanh"):
         got = [r[0] for r in df.orderBy("id").select(activation(name, F.col("features"))).collect()]
         assert np.allclose(got, _ACT_NP[name](np.array(xs)), atol=1e-15), name
+
+
+def test_auto_route_and_native_size_guard(spark):
+    from veloscore.operators import scoring
+    big = Model.build("big", [(np.full((1, scoring.NATIVE_MAX_WEIGHTS + 1), 0.0).tolist(), [1.0],
+                               "linear")])
+    df = spark.createDataFrame([(0, [0.0] * (scoring.NATIVE_MAX_WEIGHTS + 1))],
+                               "id BIGINT, features ARRAY<DOUBLE>")
+    with pytest.raises(ValueError, match="route 'udf'"):
+        score_native(df, big)
+    assert score(df, big, route="auto").first()["prediction"] == 1.0
+
+
+def test_input_filter_reaches_parquet_scan(spark):
+    ev = spark.read.parquet(f"{SF_MID}/events.parquet").where(F.col("value") > 10.0)
+    df = score(split_features(ev.select("event_id", "value"), 0, 0), demo_scalar_model(), route="udf")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(value), GreaterThan(value,10.0)]" in plan
+    assert "ReadSchema: struct<event_id:bigint,value:double>" in plan

@@ -92,3 +92,10 @@ def test_check_series_catches_what_count_hides(spark, write_text):
         check_series(df)
     good = write_text("good.csv", "1,2\n2,\n")
     assert check_series(read_series(spark, good)) == {"rows": 2, "unix_time": 2, "value": 1}
+
+
+def test_dropmalformed_and_several_paths(spark, write_text):
+    a = write_text("a.csv", "1,2\n2,x\n")
+    b = write_text("b.csv", "3,4\n")
+    df = read_series(spark, [a, b], mode="DROPMALFORMED")
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 2.0), (3, 4.0)]
