@@ -268,3 +268,22 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; the others unchanged."""
     name = free_name(docs, "found")
     return find_benchmark(docs, benchmark, name).where(~F.col(name)["contaminated"]).drop(name)
+
+
+#: The same in DuckDB SQL.
+ORACLE = r"""
+WITH lower_case AS (SELECT doc_id, NULL AS item_id, text FROM documents UNION ALL SELECT NULL, item_id, text FROM benchmark),
+w AS (SELECT doc_id, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM lower_case),
+b AS (SELECT DISTINCT item_id, size, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS win
+      FROM (SELECT item_id, words, least(len(words), 13) AS size, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS pos FROM w WHERE item_id IS NOT NULL AND len(words) > 0)),
+sizes AS (SELECT DISTINCT size FROM b),
+d AS (SELECT doc_id, words FROM w WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, size, pos, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS win
+      FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos FROM d, sizes WHERE len(words) >= size)),
+o AS (SELECT p.doc_id, p.pos, p.size, b.item_id FROM p JOIN b ON b.size = p.size AND b.win = p.win),
+h AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS word FROM o) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM o) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+"""

@@ -219,3 +219,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     both = answers.withColumn("kind", F.lit(0)).union(masks.withColumn("kind", F.lit(1)))
     out = dealt.cogroup(both.groupBy("block")).applyInArrow(_remove(window, gram, n), f"doc_id {dict(named.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if with_text else out.drop("kept_text")
+
+
+#: The same in DuckDB SQL.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, pos, array_to_string(list_slice(words, pos, pos + 34), ' ') AS win
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS pos FROM d WHERE len(words) >= 35)),
+r AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY win) AS n FROM p) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS pos FROM r),
+l AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+k AS (SELECT l.doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY l.pos) FILTER (g.pos IS NULL) AS kept
+      FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

@@ -74,6 +74,13 @@ def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def compact(col: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """A string column as an array of its own, not a slice of another (which some Arrow kernels
+    read wrongly); null becomes empty."""
+    data, offsets = buffers(col)
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
 @dataclass
 class Words:
     """Words of some texts: byte bounds, and for text d the words first[d]..first[d + 1]."""
