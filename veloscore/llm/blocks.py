@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 
 from veloscore.session import checkpoint_root
 
-#: Tables as large as this many shuffle partitions are split finer, so that one block or bucket
-#: stays a fraction of what the cluster's owner lets one task read.
-PER_PARTITION = 4
-
 
 def parts(spark: SparkSession) -> int:
-    return PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """As many blocks, and buckets, as the session has shuffle partitions: one holds what the
+    cluster's owner lets one task read, and questions are no more rows than a shuffle has pieces."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -29,11 +27,6 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def row_key(df: DataFrame, *names: str) -> Column:
-    """A hash of the named columns, to deal rows by."""
-    return F.xxhash64(*[df[n] for n in names])
-
-
 def with_block(df: DataFrame, by: Column, n: int) -> DataFrame:
     return df.withColumn("block", F.pmod(by, F.lit(n)).cast("int"))
 

@@ -33,6 +33,8 @@ from .blocks import in_order, parts, with_block
 
 WINDOW = 35
 GRAM = 16
+#: Super-k-mers that are looked at together, to bound memory.
+_ABREAST = 1 << 15
 
 _ASK = "bucket int, block int, data binary"
 _ANSWER = "block int, bucket int, data binary"
@@ -55,9 +57,13 @@ def _superkmers(words: w.Words, window: int, gram: int) -> tuple[np.ndarray, np.
     new[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])
     lead = np.flatnonzero(new)
     start, count, least = at[lead], np.diff(np.append(lead, len(at))), least[lead]
-    span = count + window - gram
-    same = grams[w.ranges(start, span)] == np.repeat(least, span)
-    return start, count, least, np.add.reduceat(same, np.cumsum(span) - span, dtype=np.int64) > 1
+    again = np.empty(len(start), bool)
+    for a in range(0, len(start), _ABREAST):
+        s = slice(a, a + _ABREAST)
+        span = count[s] + window - gram
+        same = grams[w.ranges(start[s], span)] == np.repeat(least[s], span)
+        again[s] = np.add.reduceat(same, np.cumsum(span) - span, dtype=np.int64) > 1
+    return start, count, least, again
 
 
 def _by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
