@@ -25,6 +25,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -108,6 +109,21 @@ def _count_words(n: int):
     return count
 
 
+def _top(words: pa.Array, times: np.ndarray) -> bytes:
+    """The TOP most frequent words, packed; ties by code point."""
+    order = np.lexsort([np.asarray(words.to_pylist(), object), -times])[:TOP]
+    return w.pack(word=words.take(pa.array(order)), times=times[order])
+
+
+def _merge_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    have = None
+    for batch in batches:
+        for x in batch.column("data").to_pylist():
+            got = [w.unpack(y) for y in (have, x) if y is not None]
+            have = _top(pa.concat_arrays([y.column("word") for y in got]), np.concatenate([w.column(y, "times") for y in got]))
+    yield _table("data", [pa.binary()], [(have,)])
+
+
 def _sum_words(forms: int):
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A bucket's part of the dictionary, packed; its most frequent words; its form categories."""
@@ -115,13 +131,12 @@ def _sum_words(forms: int):
         coded = pa.concat_arrays([x.column("word") for x in got]).dictionary_encode()
         words = coded.dictionary
         times = np.bincount(np.asarray(coded.indices), np.concatenate([w.column(x, "times") for x in got]), len(words)).astype(np.int64)
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-        names = "kind bucket word times distinct data"
-        yield _table(names, kinds, [(0, key[0].as_py(), None, int(times.sum()), len(words), w.pack(word=words, times=times))])
-        top = np.lexsort([np.asarray(words.to_pylist(), object), -times])[:TOP]
-        yield _table(names, kinds, [(1, None, words[i].as_py(), int(times[i]), 1, None) for i in top.tolist()])
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        names = "kind bucket times distinct data"
+        yield _table(names, kinds, [(0, key[0].as_py(), int(times.sum()), len(words), w.pack(word=words, times=times))])
+        yield _table(names, kinds, [(1, key[0].as_py(), None, None, _top(words, times))])
         of = form(words, forms)
-        yield _table(names, kinds, [(2, f, None, int(t), int(d), None) for f, (t, d) in enumerate(zip(np.bincount(of, times, forms), np.bincount(of, minlength=forms), strict=True)) if d])
+        yield _table(names, kinds, [(2, f, int(t), int(d), None) for f, (t, d) in enumerate(zip(np.bincount(of, times, forms), np.bincount(of, minlength=forms), strict=True)) if d])
 
     return add
 
@@ -349,17 +364,20 @@ def score_texts(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     named = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     training = named.where(~F.col("held_out")).select("text")
     n_texts = training.count()
-    summed = saved(training.mapInArrow(_count_words(n), "bucket int, data binary").groupBy("bucket").applyInArrow(_sum_words(FORMS), "kind int, bucket int, word string, times long, distinct long, data binary"))
+    summed = saved(training.mapInArrow(_count_words(n), "bucket int, data binary").groupBy("bucket").applyInArrow(_sum_words(FORMS), "kind int, bucket int, times long, distinct long, data binary"))
     total = summed.where("kind = 0").agg(F.sum("times").alias("n"), F.sum("distinct").alias("v")).first()
-    top = summed.where("kind = 1").orderBy(F.desc("times"), "word").limit(TOP).select("word", "times").collect()
+    # a tree of merges: no task holds more than the top words of the square root of all buckets
+    merged = summed.where("kind = 1").withColumn("part", F.pmod("bucket", F.lit(math.isqrt(n) + 1))).groupBy("part").applyInArrow(_merge_top, "data binary")
+    best = merged.withColumn("part", F.lit(0)).groupBy("part").applyInArrow(_merge_top, "data binary").first()
+    top, top_times = (w.unpack(best.data).column("word"), w.column(w.unpack(best.data), "times")) if best else (pa.array([], pa.large_string()), np.zeros(0, np.int64))
     by_form = {r.bucket: r for r in summed.where("kind = 2").groupBy("bucket").agg(F.sum("times").alias("times"), F.sum("distinct").alias("distinct")).collect()}
     form_times = np.array([by_form[f].times if f in by_form else 0 for f in range(FORMS)], float)
     form_distinct = np.array([by_form[f].distinct if f in by_form else 0 for f in range(FORMS)], float)
-    if top:  # top words are no longer in their form's category
-        of = form(pa.array([r.word for r in top], pa.large_string()), FORMS)
-        form_times -= np.bincount(of, [r.times for r in top], FORMS)
+    if len(top):  # top words are no longer in their form's category
+        of = form(top, FORMS)
+        form_times -= np.bincount(of, top_times, FORMS)
         form_distinct -= np.bincount(of, minlength=FORMS)
-    vocabulary = Vocabulary([r.word for r in top], FORMS)
+    vocabulary = Vocabulary(top.to_pylist(), FORMS)
     m = vocabulary.size
     bigrams = np.zeros(m * m, np.int64)
     counted = training.mapInArrow(_count_bigrams(vocabulary, 8), "bucket int, data binary").groupBy("bucket").applyInArrow(_sum_bigrams, "data binary")
