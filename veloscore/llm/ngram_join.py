@@ -7,12 +7,13 @@ rarest first, two sets that link share one of their first ``n - ceil(0.75 n) + 1
    then hash. (Any order gives the same result; this one keeps common lines out of the prefixes.)
 2. Documents with one prefix and one size are one group, and groups, not documents, are posted
    under their prefix shingles. A bucket of the shingle space keeps the shingles that two or more
-   groups share, and pairs each group with one centre a shingle.
-3. Group pairs that pass the size filter are expanded to their distinct sets, and verified. So
-   are the distinct sets inside a group.
-4. Only what these links have not yet joined can change the components: shingles whose groups
-   still lie in several components give all pairs across them, filtered by size, expanded and
-   verified. Nothing that could join two components is left out.
+   groups share, and pairs each group with two others a shingle.
+3. Group pairs that pass the size and position filters are expanded to their distinct sets, and
+   verified: first by parity signatures, then by the sets. So are the distinct sets of a group.
+4. Only what these links have not yet joined can change the components. Of shingles whose groups
+   still lie in several components, one group of each, drawn by hash, is paired with a centre;
+   then those that are left give all pairs across components, filtered, expanded and verified in
+   the same way. Nothing that could join two components is left out.
 
 Copies are one set with many documents, and a group of near copies costs its members, not its
 pairs. A shingle that a third of all documents hold makes one posting for each distinct group.
@@ -43,6 +44,8 @@ PERCENT = 75
 SKETCH_BITS = 21
 SLOTS = 64
 MAP_BITS = 26
+#: Bytes of a signature's first map, which joins compare as numbers.
+SHORT = 32
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -70,8 +73,8 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(w.mix(s).sum(dtype=np.uint64)), int(w.mix(s ^ _SEED).sum(dtype=np.uint64))
 
 
-def _name(c: tuple[int, int]) -> str:
-    return f"{c[0]:016x}{c[1]:016x}"
+def _name(c: tuple[int, int]) -> bytes:
+    return c[0].to_bytes(8, "big") + c[1].to_bytes(8, "big")
 
 
 def _slot_of(s: np.ndarray) -> np.ndarray:
@@ -79,17 +82,18 @@ def _slot_of(s: np.ndarray) -> np.ndarray:
 
 
 def _read(doc_type: pa.DataType):
-    """Rows of documents, and at the end of a partition the rows of its sketch."""
-    kinds = [doc_type, pa.int64(), pa.string(), pa.int32(), pa.binary()]
+    """Rows of documents, with their signatures, and at the end of a partition those of its sketch."""
+    kinds = [doc_type, pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     names = ["doc_id", "n_shingles", "cls", "slot", "data"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            n, cls, seen, held = [], [], [], 0
+            n, cls, signs, seen, held = [], [], [], [], 0
             for s in shingle_sets(batch.column("text")):
                 n.append(len(s))
                 cls.append(_name(_fingerprint(s)) if len(s) else None)
+                signs.append(_signature(s) if len(s) else None)
                 seen.append(s)
                 held += len(s)
                 if held > 1 << 20:
@@ -98,7 +102,7 @@ def _read(doc_type: pa.DataType):
             if seen:
                 sketch += np.bincount(_slot_of(np.concatenate(seen)), minlength=len(sketch))
             empty = [None] * len(n)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, kinds[1]), pa.array(cls, kinds[2]), pa.array(empty, kinds[3]), pa.array(empty, kinds[4])], names=names)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, kinds[1]), pa.array(cls, kinds[2]), pa.array(empty, kinds[3]), pa.array(signs, kinds[4])], names=names)
         if sketch.any():
             data = [w.pack(count=x.astype(np.uint32)) for x in sketch.reshape(SLOTS, -1)]
             empty = [None] * SLOTS
@@ -135,6 +139,12 @@ def _u64(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64)
 
 
+def _position_fits(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m whose first common shingle is their at-th and to-th can still link:
+    what follows must hold the members that linked sets of these sizes share."""
+    return (100 + percent) * np.minimum(n - at, m - to) >= percent * (n + m)
+
+
 def _post(levels: np.ndarray, percent: int, n: int):
     """A bucket's postings (shingle, group) and, by group, members (group, set, size)."""
     def rows(what: int, keys: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
@@ -146,9 +156,11 @@ def _post(levels: np.ndarray, percent: int, n: int):
 
     def flush(posts: list, groups: list, members: dict) -> pa.RecordBatch:
         tokens = np.concatenate(posts)
-        gid = np.repeat(_u64([g for g, _ in groups]), [c for _, c in groups])
+        gid = np.repeat(_u64([g for g, _, _ in groups]), [c for _, c, _ in groups])
+        # a set's size and the shingle's position in its order, in one number
+        place = np.concatenate([_u64([])] + [_u64(np.arange(c)) + np.uint64(size << 32) for _, c, size in groups])
         of = [_u64([m[i] for m in members]) for i in range(4)]
-        out = rows(0, tokens, [tokens, gid]) + rows(1, of[0], of)
+        out = rows(0, tokens, [tokens, gid, place]) + rows(1, of[0], of)
         kinds = [pa.int32(), pa.int32(), pa.binary()]
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "kind", "data"])
 
@@ -164,7 +176,7 @@ def _post(levels: np.ndarray, percent: int, n: int):
                 if group not in posted:
                     posted.add(group)
                     posts.append(prefix)
-                    groups.append((group, len(prefix)))
+                    groups.append((group, len(prefix), len(s)))
                     held += len(prefix)
                 if held > 1 << 20:
                     yield flush(posts, groups, members)
@@ -175,13 +187,20 @@ def _post(levels: np.ndarray, percent: int, n: int):
     return post
 
 
-def _gather(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket: 0 the postings of shared shingles, packed; 1 pairs of a group and the centre
-    of a shingle; 2 distinct members."""
+def _gather(percent: int):
+    """Of a bucket: 0 the postings of shared shingles, packed; 1 pairs of groups, linear in the
+    postings: each with the next in size and with the middle one; 2 distinct members."""
+    def gather(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gathered(batches, percent)
+
+    return gather
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     got: tuple[list, list] = ([], [])
     for batch in batches:
         for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            got[kind].append(np.frombuffer(data, np.uint64).reshape(4 if kind else 2, -1))
+            got[kind].append(np.frombuffer(data, np.uint64).reshape(4 if kind else 3, -1))
     names = ["kind", "a", "b", "c", "n", "data"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -195,29 +214,36 @@ def _gather(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield out(2, *(np.ascontiguousarray(c) for c in np.unique(m, axis=1)))
     if not got[0]:
         return
-    token, gid = np.concatenate(got[0], 1)
-    order = np.lexsort([gid, token])
-    token, gid = token[order], gid[order]
+    token, gid, place = np.concatenate(got[0], 1)
+    order = np.lexsort([gid, place >> np.uint64(32), token])
+    token, gid, place = token[order], gid[order], place[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-    token, gid = token[new], gid[new]
+    token, gid, place = token[new], gid[new], place[new]
     lead = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint64(1)))
     size = np.diff(np.append(lead, len(token)))
     shared = np.repeat(size > 1, size)
     if not shared.any():
         return
-    centre = np.repeat(gid[lead], size)[shared]
-    token, gid = token[shared], gid[shared]
-    yield out(0, data=[np.concatenate([token, gid]).tobytes()])
-    pair = np.unique(np.stack([gid, centre], 1)[gid != centre], axis=0)
+    centre = np.repeat(lead + size // 2, size)
+    yield out(0, data=[np.concatenate([token[shared], gid[shared], place[shared]]).tobytes()])
+    n, at = (place >> np.uint64(32)).astype(np.int64), (place & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    here = np.arange(len(token))
+    pairs = []
+    for other in (np.minimum(here + 1, len(token) - 1), centre):  # the next in size, and the middle one
+        k = np.flatnonzero(shared & (token == token[other]) & (gid != gid[other]))
+        o = other[k]
+        fits = _position_fits(n[k], at[k], n[o], at[o], percent)
+        pairs.append(np.stack([np.minimum(gid[k], gid[o]), np.maximum(gid[k], gid[o])], 1)[fits])
+    pair = np.unique(np.concatenate(pairs), axis=0)
     yield out(1, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
 
 
 def _open_posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.column("data").to_pylist():
-            token, gid = np.frombuffer(x, np.int64).reshape(2, -1)
-            yield pa.record_batch([pa.array(token), pa.array(gid)], names=["token", "gid"])
+            token, gid, place = np.frombuffer(x, np.int64).reshape(3, -1)
+            yield pa.record_batch([pa.array(token), pa.array(gid), pa.array(place >> 32), pa.array(place & 0xFFFFFFFF)], names=["token", "gid", "n", "at"])
 
 
 def _fetch(wanted: np.ndarray):
@@ -233,23 +259,17 @@ def _fetch(wanted: np.ndarray):
                     if wanted[bit >> 3] >> (bit & 7) & 1:
                         cls.append(_name(c))
                         data.append(s.tobytes())
-            yield pa.record_batch([pa.array(cls, pa.string()), pa.array(data, pa.binary())], names=["cls", "data"])
+            yield pa.record_batch([pa.array(cls, pa.binary()), pa.array(data, pa.binary())], names=["cls", "data"])
 
     return fetch
 
 
 def _signature(s: np.ndarray) -> bytes:
-    """A parity bit map of at least as many bits as the set has members. Half of it folded on the
-    other half is the map of half the size, so maps of any sizes compare."""
-    bits = 1 << max(6, (len(s) - 1).bit_length())
-    odd = np.bincount((w.mix(s ^ _SEED) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("data")]
-        yield pa.record_batch([batch.column("cls"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary())], names=["cls", "n", "sig"])
+    """Two parity bit maps of a set: one of SHORT bytes, then one of at least as many bits as the
+    set has members. Half of a map folded on the other half is the map of half the size, so maps of
+    any sizes compare."""
+    h = w.mix(s ^ _SEED)
+    return b"".join(np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes() for bits in (8 * SHORT, 1 << max(6, (len(s) - 1).bit_length())))
 
 
 def _may_link(percent: int):
@@ -259,7 +279,7 @@ def _may_link(percent: int):
         for batch in batches:
             keep = []
             for x, y, n, m in zip(batch.column("sa"), batch.column("sb"), batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                s, t = (np.frombuffer(v.as_buffer(), np.uint8)[SHORT:] for v in (x, y))
                 size = min(len(s), len(t))
                 s, t = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (s, t))
                 apart = int(np.bitwise_count(s ^ t).sum())
@@ -285,14 +305,17 @@ def _check(percent: int):
     return check
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) of sets, those that link: signatures first, so that few sets travel."""
-    signs = sets.mapInArrow(_sign, "cls string, n long, sig binary")
-    sa, sb = (signs.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in ("a", "b"))
-    pairs = pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_may_link(percent), "a string, b string")
+def _verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b) of sets, those that link. Sizes and signatures come first; only the sets of
+    the pairs left are made again from the texts and travel."""
+    sides = [members.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")).dropDuplicates([k]) for k in ("a", "b")]
+    near = pairs.join(sides[0], "a").join(sides[1], "b").where(_sizes_fit(F.col("na"), F.col("nb"), percent))
+    near = saved(near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_may_link(percent), "a binary, b binary"))
+    wanted = _wanted(near.select(F.col("a").alias("cls")).union(near.select("b")))
+    sets = texts.mapInArrow(_fetch(wanted), "cls binary, data binary").groupBy("cls").agg(F.any_value("data").alias("data"))
     left = sets.select(F.col("cls").alias("a"), F.col("data").alias("da"))
     right = sets.select(F.col("cls").alias("b"), F.col("data").alias("db"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db").mapInArrow(_check(percent), "a string, b string")
+    return near.join(left, "a").join(right, "b").select("a", "b", "da", "db").mapInArrow(_check(percent), "a binary, b binary")
 
 
 def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
@@ -301,8 +324,7 @@ def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
 
 def _wanted(classes: DataFrame) -> np.ndarray:
     """A bit for each of 2 ** MAP_BITS remainders of the sets' fingerprints."""
-    bit = F.conv(F.substring("cls", 1, 16), 16, 2)
-    bit = F.conv(F.substring(F.lpad(bit, 64, "0"), 64 - MAP_BITS + 1, MAP_BITS), 2, 10).cast("bigint") + 1
+    bit = F.conv(F.hex(F.substring("cls", 5, 4)), 16, 10).cast("bigint").bitwiseAND((1 << MAP_BITS) - 1) + 1
     maps = classes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
     for r in maps.collect():
@@ -312,45 +334,69 @@ def _wanted(classes: DataFrame) -> np.ndarray:
     return out
 
 
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """gid, cls, n, sig, part: members with the component that these links give their set."""
+    joined = connected_components(links).withColumnRenamed("node", "cls")
+    return saved(members.join(joined, "cls", "left").select("gid", "cls", "n", "sig", F.coalesce("root", "cls").alias("part")))
+
+
+def _still_open(posts: DataFrame, placed: DataFrame) -> DataFrame:
+    """Postings of the shingles whose groups are in several components, each with the least and
+    greatest of its group's components and, if the group is one set, its short map."""
+    maps = [F.when(F.count("*") == 1, F.min(F.conv(F.hex(F.substring("sig", 8 * k + 1, 8)), 16, -10).cast("bigint"))).alias(f"m{k}") for k in range(SHORT // 8)]
+    posts = posts.join(placed.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"), *maps), "gid")
+    mixed = posts.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("token")
+    return posts.join(mixed, "token")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id; one row a document."""
     spark = docs.sparkSession
     named = docs.select("doc_id", "text")
     kind = dict(named.dtypes)["doc_id"]
     doc_type = pa.schema(named.limit(0).toArrow().schema).field("doc_id").type
-    read = saved(named.mapInArrow(_read(doc_type), f"doc_id {kind}, n_shingles long, cls string, slot int, data binary"))
+    texts = named.select("text")
+    read = saved(named.mapInArrow(_read(doc_type), f"doc_id {kind}, n_shingles long, cls binary, slot int, data binary"))
     rows = read.where("slot is null").select("doc_id", "n_shingles", "cls")
+    signs = read.where("slot is null and cls is not null").groupBy("cls").agg(F.any_value("data").alias("sig"))
     levels = _levels(read.where("slot is not null").select("slot", "data"))
 
-    posted = named.select("text").mapInArrow(_post(levels, percent, parts(spark)), "bucket int, kind int, data binary")
-    gathered = saved(posted.groupBy("bucket").applyInArrow(_gather, "kind int, a long, b long, c long, n long, data binary"))
-    cls = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in ("b", "c")])
+    posted = texts.mapInArrow(_post(levels, percent, parts(spark)), "bucket int, kind int, data binary")
+    gathered = saved(posted.groupBy("bucket").applyInArrow(_gather(percent), "kind int, a long, b long, c long, n long, data binary"))
+    cls = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("b", "c")])
     members = gathered.where("kind = 2").select(F.col("a").alias("gid"), cls.alias("cls"), "n")
-    leaders = members.groupBy("gid").agg(F.min("cls").alias("leader"), F.count("*").alias("sets"), F.any_value("n").alias("n"))
+    leaders = members.groupBy("gid").agg(F.min("cls").alias("leader"), F.count("*").alias("sets"))
 
     star = gathered.where("kind = 1").select("a", "b").distinct()
     shared = star.select(F.col("a").alias("gid")).union(star.select(F.col("b").alias("gid"))).union(leaders.where("sets > 1").select("gid")).distinct()
-    members = saved(members.join(shared, "gid"))
-    wanted = _wanted(members.select("cls"))
-    sets = saved(named.select("text").mapInArrow(_fetch(wanted), "cls string, data binary").groupBy("cls").agg(F.any_value("data").alias("data")))
-
-    ga, gb = (leaders.select(F.col("gid").alias(g), F.col("leader").alias(f"{g}_leader"), F.col("n").alias(f"{g}_n")) for g in ("a", "b"))
-    across = star.join(ga, "a").join(gb, "b").where(_sizes_fit(F.col("a_n"), F.col("b_n"), percent)).select(F.col("a_leader").alias("a"), F.col("b_leader").alias("b"))
+    members = saved(members.join(shared, "gid").join(signs, "cls"))
+    ga, gb = (leaders.select(F.col("gid").alias(g), F.col("leader").alias(f"{g}_leader")) for g in ("a", "b"))
+    across = star.join(ga, "a").join(gb, "b").select(F.col("a_leader").alias("a"), F.col("b_leader").alias("b"))
     inside = members.join(leaders.where("sets > 1").select("gid", "leader"), "gid").where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
-    links = _verified(across.union(inside).where("a <> b").distinct(), sets, percent)
-    joined = connected_components(links)
-
-    # what is still in several components
-    placed = members.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("gid", "cls", "n", F.coalesce("root", "cls").alias("part"))
-    placed = saved(placed)
-    posts = gathered.where("kind = 0").select("data").mapInArrow(_open_posts, "token long, gid long")
-    lone = placed.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    mixed = posts.join(lone, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token")
-    open_posts = saved(posts.join(mixed, "token").join(placed, "gid").select("token", "cls", "n", "part"))
-    x, y = (open_posts.select("token", F.col("cls").alias(k), F.col("n").alias(f"{k}_n"), F.col("part").alias(f"{k}_part")) for k in ("a", "b"))
-    rest = x.join(y, "token").where((F.col("a_part") < F.col("b_part")) & _sizes_fit(F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
+    links = saved(_verified(across.union(inside).where("a <> b").distinct(), members, texts, percent))
+
+    # what is still in several components: of each shingle one group of each, drawn by hash
+    posts = gathered.where("kind = 0").select("data").mapInArrow(_open_posts, "token long, gid long, n long, at long")
+    drawn = F.min(F.struct(F.xxhash64("token", "gid").alias("draw"), "gid")).alias("one")
+    ones = saved(_still_open(posts, _placed(members, links)).groupBy("token", "low").agg(drawn))
+    centres = ones.groupBy("token").agg(F.min("one").alias("centre"))
+    drawn_pairs = ones.join(centres, "token").where("one <> centre").select(F.least("one.gid", "centre.gid").alias("a"), F.greatest("one.gid", "centre.gid").alias("b")).distinct()
+    between = drawn_pairs.join(ga, "a").join(gb, "b").select(F.col("a_leader").alias("a"), F.col("b_leader").alias("b"))
+    links = saved(links.union(_verified(between.where("a <> b"), members, texts, percent)))
+
+    # and what then still is: all pairs across components
+    placed = _placed(members, links)
+    still_open = saved(_still_open(posts, placed))
+    x, y = (still_open.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("gid", "n", "at", "low", "high", *(f"m{i}" for i in range(SHORT // 8))))) for k in ("a", "b"))
+    apart = "a_gid < b_gid and not (a_low = a_high and b_low = b_high and a_low = b_low)"
+    fits = f"{100 + percent} * least(a_n - a_at, b_n - b_at) >= {percent} * (a_n + b_n)"
+    differ = " + ".join(f"bit_count(a_m{k} ^ b_m{k})" for k in range(SHORT // 8))
+    alike = f"coalesce({100 + percent} * ({differ}) <= {100 - percent} * (a_n + b_n), true)"
+    groups = x.join(y, "token").where(f"{apart} and {fits} and {alike}").select("a_gid", "b_gid").distinct()
+    pa_, pb_ = (placed.select(F.col("gid").alias(f"{k}_gid"), F.col("cls").alias(k), F.col("part").alias(f"{k}_part")) for k in ("a", "b"))
+    rest = groups.join(pa_, "a_gid").join(pb_, "b_gid").where("a_part <> b_part").select("a", "b")
     within = placed.select("gid", F.col("cls").alias("a"), F.col("part").alias("a_part")).join(placed.select("gid", F.col("cls").alias("b"), F.col("part").alias("b_part")), "gid").where("a_part < b_part").select("a", "b")
-    more = _verified(rest.union(within).distinct(), sets, percent)
+    more = _verified(rest.union(within).distinct(), members, texts, percent)
     part_of = placed.select("cls", "part").distinct()
     bridges = more.join(part_of.select(F.col("cls").alias("a"), F.col("part").alias("pa")), "a").join(part_of.select(F.col("cls").alias("b"), F.col("part").alias("pb")), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
     bridged = connected_components(bridges)
