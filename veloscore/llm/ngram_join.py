@@ -408,11 +408,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with, of each component, only the row that names it (of rows that repeat it, one)."""
-    found = near_duplicates(docs, percent)
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("lost_id"))
-    kept = docs.join(lost.distinct(), F.col("doc_id") == F.col("lost_id"), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """docs with, of each component, only the row with the smallest id (nulls last, then by a hash
+    of the text); of rows equal in doc_id and text, one."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), percent)
+    lost = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    marks = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(lost).alias("lost")).where("lost or n > 1")
+    names = []
+    for name in ("mark_id", "mark_tie", "mark_lost"):
+        while name in {c.lower() for c in docs.columns}:
+            name += "_"
+        names.append(name)
+    i, tie, gone = names
+    marks = marks.select(F.col("doc_id.id").alias(i), F.col("doc_id.tie").alias(tie), F.col("lost").alias(gone))
+    marked = docs.join(marks, docs.doc_id.eqNullSafe(marks[i]) & (F.xxhash64(docs.text) == marks[tie]), "left")
+    again = marked.where(~F.col(gone)).select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return marked.where(F.col(gone).isNull()).select(docs.columns).union(again)
 
 
 #: The same in DuckDB SQL.
