@@ -176,8 +176,8 @@ def _split(stack, level, a, b, tx, ty, x, y, la, lb, limit, at):
         for s in range(fa[i], fa[i] + na[i], step):
             ka = np.arange(s, min(s + step, fa[i] + na[i]))
             dots = x[tx.centre[at(tx, level + 1)][ka]] @ cb.T
-            # a ball of radius r is near enough if the centres' cosine is at least that of limit + r
-            far = np.minimum(limit + ra[ka].max() + rb[kb].max() + 2 * SLACK, 2.0)
+            # two balls are near enough if their centres' cosine is at least that of limit + radii
+            far = np.minimum(limit + 2 * SLACK + ra[ka][:, None] + rb[kb][None, :], 2.0)
             p, q = np.nonzero(dots >= 1 - far * far / 2)
             if len(p):
                 stack.append((level + 1, ka[p], kb[q]))
