@@ -296,6 +296,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     partner = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = partner.select("width", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "cls", "n", "vector")
     search = _search(cosine)
+    # dealt by pair: by width alone, as the join leaves them, all pairs would be one task
+    pairs = pairs.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lo", "hi")
     found = saved(pairs.groupBy("lo", "hi", "width").applyInArrow(search, _FOUND))
     links = found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
