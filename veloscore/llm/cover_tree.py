@@ -2,7 +2,7 @@
 
 Vectors are scaled to length 1, where a cosine of ``c`` is a Euclidean distance of
 sqrt(2 - 2c). Equal vectors are one class, counted once with its number of rows. Classes are dealt
-into blocks of bounded size, and each block is a cover tree: nested levels of centres, radii halved
+into blocks of bounded size, and each block is a cover tree, built once: nested levels of centres, radii halved
 from level to level, every node with the true distance to its farthest member. Two trees (or one
 with itself) are searched from the root down: a pair of nodes whose balls lie farther apart than
 the threshold is pruned, a pair whose balls lie wholly within it links all its members at once, and
@@ -23,6 +23,8 @@ are null. Extra columns are never read, whatever their names; an empty table giv
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -168,19 +170,22 @@ def _split(stack, level, a, b, tx, ty, x, y, la, lb, limit, at):
     fb, nb = children(ty, lb, b)
     many = na * nb
     big = many > 4096
+    ra, rb = tx.radius[at(tx, level + 1)], ty.radius[at(ty, level + 1)]
+    # two balls are near enough if their centres' cosine is at least that of limit + radii
+    near = lambda r: 1 - np.minimum(limit + 2 * SLACK + r, 2.0) ** 2 / 2
     for i in np.flatnonzero(big).tolist():
-        kb = np.arange(fb[i], fb[i] + nb[i])
-        ra, rb = tx.radius[at(tx, level + 1)], ty.radius[at(ty, level + 1)]
-        cb = y[ty.centre[at(ty, level + 1)][kb]]
-        step = max(1, ABREAST // len(kb))
-        for s in range(fa[i], fa[i] + na[i], step):
-            ka = np.arange(s, min(s + step, fa[i] + na[i]))
-            dots = x[tx.centre[at(tx, level + 1)][ka]] @ cb.T
-            # two balls are near enough if their centres' cosine is at least that of limit + radii
-            far = np.minimum(limit + 2 * SLACK + ra[ka][:, None] + rb[kb][None, :], 2.0)
-            p, q = np.nonzero(dots >= 1 - far * far / 2)
-            if len(p):
-                stack.append((level + 1, ka[p], kb[q]))
+        wide = _by_radius(ra, np.arange(fa[i], fa[i] + na[i]))
+        for kb in _by_radius(rb, np.arange(fb[i], fb[i] + nb[i])):
+            cb = y[ty.centre[at(ty, level + 1)][kb]]
+            step = max(1, ABREAST // len(kb))
+            for ka in (k[s:s + step] for k in wide for s in range(0, len(k), step)):
+                dots = (x[tx.centre[at(tx, level + 1)][ka]] @ cb.T).ravel()
+                # one bound for all, then for those left their own
+                found = np.flatnonzero(dots >= near(ra[ka].max() + rb[kb].max()))
+                p, q = ka[found // len(kb)], kb[found % len(kb)]
+                own = dots[found] >= near(ra[p] + rb[q])
+                if own.any():
+                    stack.append((level + 1, p[own], q[own]))
     a, b, fa, na, fb, nb, many = (v[~big] for v in (a, b, fa, na, fb, nb, many))
     start = 0
     ends = np.cumsum(many)
@@ -193,6 +198,13 @@ def _split(stack, level, a, b, tx, ty, x, y, la, lb, limit, at):
         start = stop
 
 
+def _by_radius(radius: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
+    """Nodes in runs whose radii are all 0, or within a factor of two."""
+    nodes = nodes[np.argsort(radius[nodes], kind="stable")]
+    kind = np.ceil(np.log2(np.maximum(radius[nodes], 1e-10)))
+    return np.split(nodes, np.flatnonzero(np.diff(kind)) + 1)
+
+
 class Forest:
     """Union-find that keeps only links between what was not yet joined."""
 
@@ -214,34 +226,38 @@ class Forest:
             self.edges.append((i, j))
 
 
-def _unit(values: pa.ChunkedArray) -> np.ndarray:
-    flat = np.array(values.to_pylist(), float)
-    flat /= np.abs(flat).max(axis=1, keepdims=True)  # no square overflows or vanishes
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+def _unit(values: np.ndarray) -> np.ndarray:
+    values = values / np.abs(values).max(axis=1, keepdims=True)  # no square overflows or vanishes
+    return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
+_PLANTED = "width int, block int, data binary"
 _FOUND = "cls string, links bigint, other string"
 
 
+def _plant(key: tuple, table: pa.Table) -> pa.Table:
+    """A block's classes, their rows and vectors, and its tree, packed for all pairs that it is in."""
+    names = np.array(table.column("cls").to_pylist(), object)
+    vector = pa.concat_arrays(table.column("vector").chunks)
+    order = np.argsort(names)
+    values = vector.flatten().to_numpy().reshape(len(names), -1)[order]
+    data = pickle.dumps((names[order], table.column("n").to_numpy()[order], values, CoverTree(_unit(values))))
+    return pa.table({"width": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
+
+
 def _search(cosine: float):
     def search(key: tuple, table: pa.Table) -> pa.Table:
         """One pair of blocks, of vectors of one length: links of each class with rows of the other block (or the same), and
         the edges of a spanning forest."""
+        held = dict(zip(table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True))
         lo, hi = key[0].as_py(), key[1].as_py()
-        block = np.array(table.column("block").to_pylist())
-        names = np.array(table.column("cls").to_pylist(), object)
-        weight = table.column("n").to_numpy()
-        order = np.lexsort([names, block])
-        first = order[block[order] == lo]
-        second = order[block[order] == hi]
-        if not len(first) or not len(second):
+        if lo not in held or hi not in held:  # a block that no class was dealt to
             return pa.table({"cls": pa.array([], pa.string()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.string())})
-        unit = _unit(table.column("vector"))
-        x, same = unit[first], lo == hi
-        tx = CoverTree(x)
-        y, ty = (x, tx) if same else (unit[second], CoverTree(unit[second]))
-        offset = 0 if same else len(first)
-        wx, wy = weight[first], weight[second]
+        names_x, wx, x, tx = pickle.loads(held[lo])
+        x, same = _unit(x), lo == hi
+        names_y, wy, y, ty = (names_x, wx, x, tx) if same else pickle.loads(held[hi])
+        y = x if same else _unit(y)
+        offset = 0 if same else len(x)
         link_x, link_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
         forest = Forest(len(x) + (0 if same else len(y)))
         for kind, p, q in dual_traversal(x, tx, y, ty, cosine, same):
@@ -267,7 +283,7 @@ def _search(cosine: float):
                     forest.join(int(ia[0]), offset + j)
         if same:
             link_x -= wx  # each class was paired with itself once
-        every = np.concatenate([names[first], names[second]]) if not same else names[first]
+        every = np.concatenate([names_x, names_y]) if not same else names_x
         links = np.concatenate([link_x, link_y]) if not same else link_x
         some = np.flatnonzero(links)
         edges = np.array(forest.edges, np.int64).reshape(-1, 2)
@@ -293,8 +309,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     classes = saved(classes.withColumn("width", F.size("vector")))
     widths = classes.groupBy("width").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     dealt = classes.join(widths, "width").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    partner = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = partner.select("width", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "cls", "n", "vector")
+    # every tree is built once, however many pairs its block is in
+    planted = saved(dealt.groupBy("width", "block").applyInArrow(_plant, _PLANTED)).join(widths.select("width", "blocks"), "width")
+    partner = planted.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = partner.select("width", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "data")
     search = _search(cosine)
     # dealt by pair: by width alone, as the join leaves them, all pairs would be one task
     pairs = pairs.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lo", "hi")
