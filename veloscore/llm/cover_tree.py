@@ -310,12 +310,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     widths = classes.groupBy("width").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     dealt = classes.join(widths, "width").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # every tree is built once, however many pairs its block is in
-    planted = saved(dealt.groupBy("width", "block").applyInArrow(_plant, _PLANTED)).join(widths.select("width", "blocks"), "width")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    planted = saved(dealt.repartition(tasks, "width", "block").groupBy("width", "block").applyInArrow(_plant, _PLANTED))
+    planted = planted.join(widths.select("width", "blocks"), "width")
     partner = planted.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = partner.select("width", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "data")
     search = _search(cosine)
     # dealt by pair: by width alone, as the join leaves them, all pairs would be one task
-    pairs = pairs.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lo", "hi")
+    pairs = pairs.repartition(tasks, "lo", "hi")
     found = saved(pairs.groupBy("lo", "hi", "width").applyInArrow(search, _FOUND))
     links = found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
