@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 
@@ -113,6 +114,39 @@ def test_ngram_join_chains_and_boundaries(spark):
     assert table(ngram_join.near_duplicates(df), "doc_id", "n_shingles", "component_id") == brute_components(data)
 
 
+def passed_over(seed):
+    """Texts G, N and H: G and H link but have one prefix shingle in common, which comes late in H;
+    it comes as late in N, whose size lies between theirs, so that N links with neither and every
+    pair of neighbours in size fails the position filter."""
+    rng = np.random.default_rng(seed)
+
+    def shingle(words):
+        return next(ngram_join.shingle_sets(pa.array([" ".join(words)])))[0]
+
+    def grow(words, fits):
+        while True:
+            word = f"w{rng.integers(1 << 40)}"
+            if fits(shingle([*words[-4:], word])):
+                return [*words, word]
+
+    g = [f"w{x}" for x in rng.integers(0, 1 << 40, 30)]
+    first = min((shingle(g[k:k + 5]), k) for k in range(26))
+    h, n = g, g[first[1]:first[1] + 5]
+    for _ in range(8):
+        h = grow(h, lambda x: x < first[0])
+    for k in range(29):
+        n = grow(n, (lambda x: x < first[0]) if k < 7 else (lambda x: x > first[0]))
+    return [" ".join(x) for x in (g, n, h)]
+
+
+def test_ngram_join_links_past_its_star_pairs(spark):
+    data = [(10 * seed + k, text) for seed in range(12) for k, text in enumerate(passed_over(seed))]
+    want = brute_components(data)
+    assert all((10 * seed + 2, 34, 10 * seed) in want for seed in range(12))
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert table(ngram_join.near_duplicates(df), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_keep_one_of_each(docs):
     kept = ngram_join.keep_one_of_each(docs)
     kept_rows = kept.collect()

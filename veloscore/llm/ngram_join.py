@@ -367,8 +367,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = gathered.where("kind = 2").select(F.col("a").alias("gid"), cls.alias("cls"), "n")
     leaders = members.groupBy("gid").agg(F.min("cls").alias("leader"), F.count("*").alias("sets"))
 
+    # every group that shares a shingle: star pairs may all fail a set that links with another
+    posts = gathered.where("kind = 0").select("data").mapInArrow(_open_posts, "token long, gid long, n long, at long")
+    shared = posts.select("gid").union(leaders.where("sets > 1").select("gid")).distinct()
     star = gathered.where("kind = 1").select("a", "b").distinct()
-    shared = star.select(F.col("a").alias("gid")).union(star.select(F.col("b").alias("gid"))).union(leaders.where("sets > 1").select("gid")).distinct()
     members = saved(members.join(shared, "gid").join(signs, "cls"))
     ga, gb = (leaders.select(F.col("gid").alias(g), F.col("leader").alias(f"{g}_leader")) for g in ("a", "b"))
     across = star.join(ga, "a").join(gb, "b").select(F.col("a_leader").alias("a"), F.col("b_leader").alias("b"))
@@ -376,7 +378,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = saved(_verified(across.union(inside).where("a <> b").distinct(), members, texts, percent))
 
     # what is still in several components: of each shingle one group of each, drawn by hash
-    posts = gathered.where("kind = 0").select("data").mapInArrow(_open_posts, "token long, gid long, n long, at long")
     drawn = F.min(F.struct(F.xxhash64("token", "gid").alias("draw"), "gid")).alias("one")
     ones = saved(_still_open(posts, _placed(members, links)).groupBy("token", "low").agg(drawn))
     centres = ones.groupBy("token").agg(F.min("one").alias("centre"))
