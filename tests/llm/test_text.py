@@ -216,6 +216,22 @@ def test_language_id(spark, docs, empty):
     assert language_id.keep_identified(docs).columns == docs.columns
 
 
+def test_language_id_learns_every_language(spark):
+    rng = np.random.default_rng(9)
+    data = []
+    for k in range(72):  # of few letters each, no two languages the same ones
+        letters = [chr(0x400 + k * 3 + x) for x in range(3)]
+        for i in range(4 if k else 40):
+            data.append((1000 * k + i, " ".join("".join(rng.choice(letters, 5)) for _ in range(30)), f"l{k:02}"))
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    truth = {i: lang for i, _, lang in data}
+    got = language_id.languages(df).collect()
+    trained = {truth[r.doc_id] for r in got if not r.held_out}
+    mine = [r for r in got if truth[r.doc_id] in trained]
+    right = [r for r in mine if r.lang_pred == truth[r.doc_id]]
+    assert len(trained) > 64 and len({r.lang_pred for r in got}) > 64 and len(right) >= 0.9 * len(mine)
+
+
 def test_pipeline(spark, docs, tmp_path, bench):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")

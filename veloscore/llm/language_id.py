@@ -5,11 +5,11 @@ recurrent layer run over each strip, and a softmax labels every byte position wi
 distribution. The whole text's distribution is the mean over all its positions of the log
 probabilities, normalised again; no byte is left out.
 
-The network is trained by backpropagation through time on a bounded sample: for each learned
-language about ``SAMPLE_DOCS`` training documents, chosen by hash, and of each at most
-``SAMPLE_BYTES`` bytes. Languages beyond the ``MAX_LANGS`` most frequent are not learned. The
-weights (a few thousand numbers) travel in the function; texts are read where they lie, without
-a shuffle. Training starts from a fixed seed on a sample in fixed order, so reruns agree.
+The network is trained by backpropagation through time on a bounded sample: for each language of
+the training rows, however many there are, about ``SAMPLE_DOCS`` documents, at least one, chosen
+by hash, and of each at most ``SAMPLE_BYTES`` bytes. The output layer and the steps grow with the
+languages. The weights (a few thousand numbers) travel in the function; texts are scored where
+they lie, without a shuffle. Training starts from a fixed seed on a sample in fixed order, so reruns agree.
 
 Prediction sees the text alone. A null text, or one without a letter, gets ``und`` and score 0;
 so does everything if nothing can be learned. Repeated rows get equal predictions; extra columns
@@ -18,6 +18,7 @@ are never read, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +35,8 @@ HIDDEN = 8
 STRIP = 48
 SAMPLE_DOCS = 300
 SAMPLE_BYTES = 960
-MAX_LANGS = 64
+#: Languages that share a training step; more of them take as many more steps.
+STEP_LANGS = 64
 #: Strips that go through the network together; keeps a step's arrays in a core's cache.
 ABREAST = 2048
 TRAINING_SHARE = 5
@@ -155,8 +157,10 @@ class ByteGru:
         first = {k: np.zeros_like(getattr(self, k)) for k in names}
         second = {k: np.zeros_like(getattr(self, k)) for k in names}
         by_label = [np.flatnonzero(label == k) for k in range(len(self.langs))]
+        steps = -(-steps * max(len(by_label), STEP_LANGS) // STEP_LANGS)
         for step in range(1, steps + 1):
-            pick = np.concatenate([rng.choice(x, max(1, batch // len(by_label))) for x in by_label if len(x)])
+            turn = by_label if len(by_label) <= STEP_LANGS else [by_label[k] for k in rng.choice(len(by_label), STEP_LANGS, replace=False)]
+            pick = np.concatenate([rng.choice(x, max(1, batch // len(turn))) for x in turn if len(x)])
             _, grads = self.gradients(np.ascontiguousarray(strips[:, pick]), label[pick])
             size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             for k in names:
@@ -253,17 +257,20 @@ def _strips(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, hidden: int = HIDDEN, steps: int = 240) -> ByteGru | None:
     """Learn from docs(doc_id, text, lang): rows that are not held out and have a lang and a text."""
     usable = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))])
-    piece = F.substring("text", 1, SAMPLE_BYTES)
-    rows = usable.where(draw < F.try_element_at(share, "lang")).select("doc_id", piece.alias("text"), "lang").orderBy(F.xxhash64("doc_id", "text"), "text", "lang").limit(2 * sample_docs * len(counts)).collect()
-    if not rows:
-        rows = usable.select("doc_id", piece.alias("text"), "lang").orderBy(F.xxhash64("doc_id", "text"), "text", "lang").limit(sample_docs).collect()
+    # below its bar a language has about sample_docs rows, and its least draw
+    bars = [(r.lang, max(r.least + 1, math.ceil(min(1.0, sample_docs / r.n) * (1 << 30)))) for r in counts]
+    bars = docs.sparkSession.createDataFrame(bars, "lang string, bar long")
+    drawn = usable.join(F.broadcast(bars), "lang").where(draw < F.col("bar"))
+    # rows that repeat draw alike, and count once
+    rows = drawn.select(F.xxhash64("doc_id", "text").alias("at"), F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang").distinct().collect()
+    rows.sort(key=lambda r: (r.at, r.text, r.lang))
     langs = sorted({r.lang for r in rows})
-    strips, label = _strips([r.text for r in rows], [langs.index(r.lang) for r in rows])
+    place = {x: k for k, x in enumerate(langs)}
+    strips, label = _strips([r.text for r in rows], [place[r.lang] for r in rows])
     return ByteGru.fresh(langs, hidden).fit(strips, label, steps)
 
 
