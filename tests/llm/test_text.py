@@ -100,6 +100,20 @@ def test_html_extraction():
     assert html_extract.main_text(long) == "\n".join(["x y"] * 5000)
 
 
+LONG = "A paragraph that is long enough to be most of the article, with words and more words in it. " * 8
+LONG = LONG.strip()
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div><h1>Title</h1><p>short</p><p>{LONG}</p></div>", f"Title\nshort\n{LONG}"),
+    (f"<body><div><h1>Title</h1></div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></body>", f"Title\n{LONG}\n{LONG}\n{LONG}"),
+    (f"<body><section><p>{LONG}</p><p>{LONG}</p></section><section><p>{LONG[:200]}</p></section></body>", f"{LONG}\n{LONG}\n{LONG[:200]}"),
+    (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><article><p>teaser</p></article></body>", f"{LONG}\n{LONG}"),
+])
+def test_html_region_is_whole(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (2, None, None, "t"), (3, "v", "", "t")], "page_id bigint, url string, html string, text string")
     got = {(r.page_id, r.n_chars == len(r.text), r.text[:9]) for r in html_extract.extract_pages(pages).collect()}

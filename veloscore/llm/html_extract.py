@@ -5,8 +5,8 @@ text, each with its characters, its tags and the sections it is in. Sections tha
 headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles, by their tag,
 role or name, are left out. The lines' text-to-tag ratios are smoothed with a Gaussian kernel, and
 lines above a threshold seed the content. The content region is the ``main`` or ``article`` with
-most of the seeds' text, or else the smallest section with nearly all of it; every line of the
-region stays, so short paragraphs between long ones are kept.
+most of the seeds' text, or else the smallest container with all seeds and titles; every line of
+the region stays, so short paragraphs between long ones are kept.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 in page order by one line feed. Pages are read where they lie, without a shuffle, one at a time.
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 SIGMA = 1.0
 #: Share of the mean smoothed ratio that a line needs to seed content.
 THRESHOLD = 0.5
-#: Share of the seeds' text that a section must hold to be the region, without a main or article.
-NEARLY_ALL = 0.8
 PIECE = 1 << 16
 
 # fixed values: elements of HTML
@@ -39,6 +37,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 DROPPED = set("head script style noscript template svg math iframe object canvas audio video map nav header footer aside form button select textarea dialog menu".split())
 MAIN = {"main", "article"}
+#: What can be the content region; a paragraph, item, cell, quote or heading is a part of one.
+CONTAINERS = {"", "html", "body", "main", "article", "section", "div", "form", "center", "fieldset", "details", "table"}
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Words of class names, ids and roles that tell what is not the article.
 SIDE_NAMES = set(
@@ -185,14 +185,19 @@ def main_text(html: str | None) -> str:
             mass[s] = mass.get(s, 0) + len(lines[i][0])
     total = mass[reader.root]
     named = [s for s in mass if s.tag in MAIN]
-    if named:
-        best = max(mass[s] for s in named)
+    best = max((mass[s] for s in named), default=0)
+    if 2 * best > total:
         region = next(s for s in named if mass[s] == best)
         outer = [s for s in _above(region) if s.tag in MAIN and mass[s] == best]
         region = outer[-1]
     else:
-        held = [s for s in mass if s.tag not in INLINE and mass[s] >= NEARLY_ALL * total]
-        region = max(held, key=lambda s: sum(1 for _ in _above(s)))
+        # the smallest that has all seeds and all titles
+        needed = set(seeds) | {i for i in usable if any(s.tag == "h1" for s in _above(lines[i][2]))}
+        count: dict[_Section, int] = {}
+        for i in needed:
+            for s in _above(lines[i][2]):
+                count[s] = count.get(s, 0) + 1
+        region = max((s for s in count if s.tag in CONTAINERS and count[s] == len(needed)), key=lambda s: sum(1 for _ in _above(s)))
     inside: dict[_Section, bool] = {}
     out = []
     for i in usable:
