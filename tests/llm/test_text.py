@@ -114,6 +114,23 @@ def test_html_region_is_whole(page, want):
     assert html_extract.main_text(page) == want
 
 
+@pytest.mark.parametrize("around", ['<main class="content with-sidebar">{}</main>', '<div class="layout no-sidebar">{}</div>', '<div class="elementor-widget">{}</div>', '<article class="post share-enabled">{}</article>', '<form action="x">{}</form>'])
+def test_html_names_do_not_drop_the_article(around):
+    body = f"<h1>Title</h1><p>{LONG}</p><p>Short.</p><div class='sidebar'>Links</div>"
+    assert html_extract.main_text(f"<body><nav>Home</nav>{around.format(body)}<footer>f</footer></body>") == f"Title\n{LONG}\nShort."
+
+
+def test_html_names_of_many_sections_and_of_comments():
+    parts = [f"{k} {LONG}" for k in range(4)]
+    page = "<body>" + "".join(f'<div class="elementor-widget"><p>{x}</p></div>' for x in parts) + "</body>"
+    assert html_extract.main_text(page) == "\n".join(parts)
+    page = f'<body><div><p>{LONG}</p></div><article class="comment"><p>{LONG}</p><p>{LONG}</p></article></body>'
+    assert html_extract.main_text(page) == LONG
+    for side in ("ad", "sidebar"):  # more text than the article, and still none of it
+        page = f'<body><div class="{side}">{LONG}</div><article><p>{LONG[:300]}</p></article></body>'
+        assert html_extract.main_text(page) == LONG[:300]
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (2, None, None, "t"), (3, "v", "", "t")], "page_id bigint, url string, html string, text string")
     got = {(r.page_id, r.n_chars == len(r.text), r.text[:9]) for r in html_extract.extract_pages(pages).collect()}

@@ -3,10 +3,12 @@
 The standard library's parser is fed a page in pieces. Its events become lines, one a block of
 text, each with its characters, its tags and the sections it is in. Sections that are menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles, by their tag,
-role or name, are left out. The lines' text-to-tag ratios are smoothed with a Gaussian kernel, and
-lines above a threshold seed the content. The content region is the ``main`` or ``article`` with
-most of the seeds' text, or else the smallest container with all seeds and titles; every line of
-the region stays, so short paragraphs between long ones are kept.
+role or name, are left out. A name, role or form is no ground to leave out what holds most of the
+page's text: the section, or the sections of one such name together, unless they are comments; adverts,
+notices and what lies beside a ``main`` or ``article`` must hold nearly all.
+The lines' text-to-tag ratios are smoothed with a Gaussian kernel, and lines above a threshold
+seed the content. The content region is the ``main`` or ``article`` that holds most of the seeds'
+text, or else the smallest container with all seeds and titles; every line of the region stays, so short paragraphs between long ones are kept.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 in page order by one line feed. Pages are read where they lie, without a shuffle, one at a time.
@@ -35,7 +37,7 @@ PIECE = 1 << 16
 # fixed values: elements of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-DROPPED = set("head script style noscript template svg math iframe object canvas audio video map nav header footer aside form button select textarea dialog menu".split())
+DROPPED = set("head script style noscript template svg math iframe object canvas audio video map nav header footer aside button select textarea dialog menu".split())
 MAIN = {"main", "article"}
 #: What can be the content region; a paragraph, item, cell, quote or heading is a part of one.
 CONTAINERS = {"", "html", "body", "main", "article", "section", "div", "form", "center", "fieldset", "details", "table"}
@@ -47,16 +49,23 @@ SIDE_NAMES = set(
     "comment comments commentlist discussion disqus reply replies respond share sharing social related recommended recommendations "
     "subscribe subscription newsletter signup login popup modal overlay widget pagination pager search searchform copyright skip".split()
 )
+#: Of these, names that make even a main or article, or most of a page, no article.
+COMMENT_NAMES = set("comment comments commentlist discussion disqus reply replies respond".split())
+#: And names that tell an article beside the page's own.
+BESIDE_NAMES = set("ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion related recommended recommendations".split())
+NOTICE_NAMES = set("cookie cookies consent gdpr notice notification alert subscribe subscription newsletter signup login popup modal copyright".split())
+#: Share of the text that keeps an advert, a notice, or what lies beside a main or article.
+NEARLY_ALL = 0.9
 OUTSIDE_NAMES = {"header", "head", "banner"}
 _NAME = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Section:
-    __slots__ = ("dropped", "main", "parent", "tag")
+    __slots__ = ("dropped", "main", "named", "parent", "tag")
 
-    def __init__(self, tag: str, parent: _Section | None, dropped: bool, main: bool):
-        self.tag, self.parent, self.dropped, self.main = tag, parent, dropped, main
+    def __init__(self, tag: str, parent: _Section | None, dropped: bool, main: bool, named: frozenset = frozenset()):
+        self.tag, self.parent, self.dropped, self.main, self.named = tag, parent, dropped, main, named
 
 
 class _Events(HTMLParser):
@@ -76,26 +85,28 @@ class _Events(HTMLParser):
             self.lines.append((text, self.tags, self.open[-1]))
         self.parts, self.tags = [], 0
 
-    def _side(self, tag: str, attrs: list) -> bool:
+    def _side(self, tag: str, attrs: list) -> tuple[bool, frozenset]:
+        """Whether a section is no article whatever it holds, and the names that say it may be none."""
         here = self.open[-1]
         if tag in DROPPED:
             # the header of an article holds its title
-            return not (tag == "header" and here.main)
-        if tag in MAIN and not attrs or tag in ("html", "body"):
-            return False
-        inside = here.main
+            return not (tag == "header" and here.main), frozenset()
+        if tag in ("html", "body"):
+            return False, frozenset()
+        found = {"form"} if tag == "form" else set()
         for key, value in attrs:
             if not value and key == "hidden":
-                return True
+                return True, frozenset()
             if key == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
+                return True, frozenset()
             if key == "aria-hidden" and value == "true" and tag not in INLINE:
-                return True
+                return True, frozenset()
             if value and key in ("class", "id", "role"):
                 names = {x.lower() for x in _NAME.findall(_CAMEL.sub(" ", value))}
-                if names & SIDE_NAMES or not inside and names & OUTSIDE_NAMES:
-                    return True
-        return False
+                found |= names & (SIDE_NAMES if here.main else SIDE_NAMES | OUTSIDE_NAMES)
+        if tag in MAIN:
+            found &= COMMENT_NAMES if tag == "main" else COMMENT_NAMES | BESIDE_NAMES
+        return bool(found & COMMENT_NAMES), frozenset(found)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
@@ -110,7 +121,8 @@ class _Events(HTMLParser):
         if tag in VOID:
             return
         here = self.open[-1]
-        self.open.append(_Section(tag, here, here.dropped or self._side(tag, attrs), here.main or tag in MAIN))
+        dropped, named = self._side(tag, attrs)
+        self.open.append(_Section(tag, here, here.dropped or dropped, here.main or tag in MAIN, named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -162,6 +174,38 @@ def _above(section: _Section | None) -> Iterator[_Section]:
         section = section.parent
 
 
+def _seeds(lines: list, usable: list[int], level: np.ndarray) -> tuple[list[int], dict[_Section, int]]:
+    """The lines that seed content, and their characters in each section."""
+    seeds = [i for i in usable if level[i] >= THRESHOLD * level.mean()] or usable
+    mass: dict[_Section, int] = {}
+    for i in seeds:
+        for s in _above(lines[i][2]):
+            mass[s] = mass.get(s, 0) + len(lines[i][0])
+    return seeds, mass
+
+
+def _left_out(mass: dict[_Section, int], root: _Section) -> set[_Section]:
+    """The sections to leave out by name: those without most of the text, alone or with the others
+    of their name. Adverts and notices, and what lies beside a main or article, need nearly all."""
+    main = {s for s in mass if s.tag in MAIN and not any(x.named for x in _above(s))}
+    below: dict[_Section, int] = {}
+    for m in main:
+        for s in _above(m.parent):
+            below[s] = below.get(s, 0) + 1
+
+    def beside(s: _Section) -> bool:
+        return below.get(s, 0) + sum(x in main for x in _above(s)) < len(main)
+
+    plain = {s for s in mass if s.named and not s.named & (BESIDE_NAMES | NOTICE_NAMES) and not beside(s)}
+    out = {s for s in mass if s.named and mass[s] <= (0.5 if s in plain else NEARLY_ALL) * mass[root]}
+    outer = [s for s in out & plain if not any(x in out for x in _above(s.parent))]
+    together: dict[str, int] = {}
+    for s in outer:
+        for name in s.named:
+            together[name] = together.get(name, 0) + mass[s]
+    return {s for s in out if s not in plain or not any(2 * together.get(name, 0) > mass[root] for name in s.named)}
+
+
 def main_text(html: str | None) -> str:
     """The article of one page."""
     if not html:
@@ -178,11 +222,18 @@ def main_text(html: str | None) -> str:
         return ""
     ratio = np.array([len(text) / max(tags, 1) for text, tags, _ in lines], float)
     level = smooth(ratio)
-    seeds = [i for i in usable if level[i] >= THRESHOLD * level.mean()] or usable
-    mass: dict[_Section, int] = {}
-    for i in seeds:
+    # by all text of each section, seed or not
+    held: dict[_Section, int] = {}
+    for i in usable:
         for s in _above(lines[i][2]):
-            mass[s] = mass.get(s, 0) + len(lines[i][0])
+            held[s] = held.get(s, 0) + len(lines[i][0])
+    out_of = _left_out(held, reader.root)
+    if out_of:
+        gone = {s: any(x in out_of for x in _above(s)) for s in {lines[i][2] for i in usable}}
+        usable = [i for i in usable if not gone[lines[i][2]]]
+        if not usable:
+            return ""
+    seeds, mass = _seeds(lines, usable, level)
     total = mass[reader.root]
     named = [s for s in mass if s.tag in MAIN]
     best = max((mass[s] for s in named), default=0)
