@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 from veloscore.operators.scoring import score_batched
 from veloscore.plans.jobs import score_and_count, score_and_report, scored, timed_run, timed_runs
 from veloscore.plans.sinks import scored_count, show_lines, write_predictions

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from support import SF_SMALL
 from scripts.check_queries import TABLES, canon
 from veloscore.plans import catalog
 

@@ -1,7 +1,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from support import SF_MID
 from veloscore.operators.indexing import row_index
 from veloscore.sources.series import read_series
 

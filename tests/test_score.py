@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from support import SF_MID
 from veloscore.functions.columns import to_int
 from veloscore.operators.features import split_features, tag_key
 from veloscore.operators.scoring import score, score_batched, score_native

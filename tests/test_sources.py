@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from support import SF_MID
 from veloscore.sources.series import read_series, series_from_table, write_series_csv
 from veloscore.session import scratch_path
 
