@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and DuckDB SQL for those that SQL can express."""
+"""The registered queries of the operators, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, cover_tree, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, substring_dedup, warc
+from . import class_lm, cover_tree, decontaminate, html_extract, language_id, line_dedup, mixing, ngram_join, pii, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_warc_derivatives, op3_ngram_join, op4_cover_tree, op5_substring_dedup, op6_html_extract, op7_mixing, op8_class_lm, op9_decontaminate, op10_language_id)
+    for f in (op1_line_dedup, op2_warc_derivatives, op3_ngram_join, op4_cover_tree, op5_substring_dedup, op6_html_extract, op7_mixing, op8_class_lm, op9_decontaminate, op10_language_id, op11_pii)
 }
 
 #: Operators 2, 6, 8 and 10 parse markup or fit models; they are tested against brute force, round
@@ -67,4 +71,5 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op11_pii": pii.ORACLE,
 }
