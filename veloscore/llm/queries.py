@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, cover_tree, decontaminate, filter_audit, html_extract, language_id, line_dedup, mixing, ngram_join, pii, substring_dedup, warc
+from . import class_lm, cover_tree, decontaminate, filter_audit, hard_negatives, html_extract, language_id, line_dedup, mixing, ngram_join, pii, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +57,17 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_warc_derivatives, op3_ngram_join, op4_cover_tree, op5_substring_dedup, op6_html_extract, op7_mixing, op8_class_lm, op9_decontaminate, op10_language_id, op11_pii, op13_filter_audit)
+    for f in (op1_line_dedup, op2_warc_derivatives, op3_ngram_join, op4_cover_tree, op5_substring_dedup, op6_html_extract, op7_mixing, op8_class_lm, op9_decontaminate, op10_language_id, op11_pii, op12_hard_negatives, op13_filter_audit)
 }
 
 #: Operators 2, 6, 8 and 10 parse markup or fit models; they are tested against brute force, round
@@ -76,5 +80,6 @@ ORACLES: dict[str, str] = {
     "op7_mixing": mixing.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op11_pii": pii.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
 }
