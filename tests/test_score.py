@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from support import SF_MID
+from veloscore.functions.activations import ACTIVATIONS
 from veloscore.functions.columns import to_int
 from veloscore.operators.features import split_features, tag_key
 from veloscore.operators.scoring import score, score_batched, score_native
@@ -121,14 +122,19 @@ def test_native_plan_is_one_codegen_stage_without_python(spark):
     assert "*(1) Project" in plan  # whole-stage codegen
 
 
-def test_column_activations_match_numpy(spark):
-    from veloscore.functions.columns import activation
-    from veloscore.sources.model_table import _ACT_NP
-    xs = [-2.5, -0.1, 0.0, 0.7, 3.0]
-    df = _scalar(spark, xs)
-    for name in ("linear", "relu", "sigmoid", "tanh"):
-        got = [r[0] for r in df.orderBy("id").select(activation(name, F.col("features"))).collect()]
-        assert np.allclose(got, _ACT_NP[name](np.array(xs)), atol=1e-15), name
+def test_activations_in_sql_match_numpy(spark):
+    xs = np.array([[-2.5, -0.1, 0.0], [0.7, 3.0, -1.0], [5.0, 5.0, 5.0]])
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(xs)], "id INT, a DOUBLE, b DOUBLE, c DOUBLE")
+    for name, a in ACTIVATIONS.items():
+        if a.wide:
+            out = df
+            steps = a.steps(["a", "b", "c"], "w")
+            for step in steps:
+                out = out.select("*", *[F.expr(e).alias(n) for n, e in step])
+            got = out.orderBy("id").select([n for n, _ in steps[-1]]).collect()
+        else:
+            got = df.orderBy("id").select(*[F.expr(a.unit(c)) for c in "abc"]).collect()
+        assert np.allclose(got, a.numpy(xs), atol=1e-15), name
 
 
 def test_auto_route_and_native_size_guard(spark):

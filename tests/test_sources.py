@@ -99,3 +99,46 @@ def test_dropmalformed_and_several_paths(spark, write_text):
     b = write_text("b.csv", "3,4\n")
     df = read_series(spark, [a, b], mode="DROPMALFORMED")
     assert sorted(tuple(r) for r in df.collect()) == [(1, 2.0), (3, 4.0)]
+
+
+@pytest.mark.parametrize("skip", [0, 1, 3])
+def test_skip_lines_of_every_file(spark, tmp_path, skip):
+    """Several files, several splits each, of different lengths; one shorter than what is skipped."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    want = []
+    for k, n in enumerate((0, 2, 400, 3000)):
+        lines = [f"{k * 10_000 + i},{i}.5" for i in range(n)]
+        (folder / f"part-{k}.csv").write_text("\n".join([*lines, ""]))
+        want += [(k * 10_000 + i, i + 0.5) for i in range(skip, n)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1024)
+    try:
+        got = read_series(spark, str(folder), skip=skip)
+        assert got.rdd.getNumPartitions() > 10
+        assert sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_skip_reaches_into_a_second_split(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text("".join(f"# a comment line that is long enough to fill a split {i}\n" for i in range(50)) + "1,2\n3,4\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200)
+    try:
+        assert sorted(map(tuple, read_series(spark, str(p), skip=50).collect())) == [(1, 2.0), (3, 4.0)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_skip_keeps_the_parse_modes(spark, write_text):
+    p = write_text("m.csv", "name,unit\n\n1,5\n2,x\n\n3,\n")
+    for mode, want in (("PERMISSIVE", [(1, 5.0), (2, None), (3, None)]), ("DROPMALFORMED", [(1, 5.0), (3, None)])):
+        assert sorted(map(tuple, read_series(spark, p, skip=2, mode=mode).collect())) == want
+    kept = read_series(spark, p, skip=2, mode="PERMISSIVE", corrupt_column="bad").orderBy("unix_time").collect()
+    assert [r["bad"] for r in kept] == [None, "2,x", None]
+    with pytest.raises(Exception):
+        read_series(spark, p, skip=2).collect()
+    with pytest.raises(ValueError):
+        read_series(spark, p, skip=-1)
+    with pytest.raises(ValueError):
+        read_series(spark, p, skip=1, header=True)

@@ -1,6 +1,6 @@
 """Column expressions: activations, NULL/NaN rule, integer truncation, SQL text."""
 
-from veloscore.functions.columns import (activation, activation_sql, any_missing, first_element,
-                                         is_missing, to_int)
+from veloscore.functions.activations import ACTIVATIONS, activation
+from veloscore.functions.columns import any_missing, first_element, is_missing, to_int
 
-__all__ = ["activation", "activation_sql", "any_missing", "first_element", "is_missing", "to_int"]
+__all__ = ["ACTIVATIONS", "activation", "any_missing", "first_element", "is_missing", "to_int"]

@@ -10,32 +10,6 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def activation(name: str, z: Column) -> Column:
-    """A network activation as a JVM column expression (whole-stage codegen)."""
-    if name == "linear":
-        return z
-    if name == "relu":
-        return F.greatest(F.lit(0.0), z)
-    if name == "sigmoid":
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    if name == "tanh":
-        return F.tanh(z)
-    raise ValueError(f"unknown activation {name!r}")
-
-
-def activation_sql(name: str, z: str) -> str:
-    """The same activation as ANSI SQL text (DuckDB oracle)."""
-    if name == "linear":
-        return z
-    if name == "relu":
-        return f"greatest(0.0, {z})"
-    if name == "sigmoid":
-        return f"(1.0 / (1.0 + exp(-({z}))))"
-    if name == "tanh":
-        return f"tanh({z})"
-    raise ValueError(f"unknown activation {name!r}")
-
-
 def is_missing(c: str | Column) -> Column:
     """NULL or NaN: such a feature gives a NULL prediction on every route."""
     c = col(c)

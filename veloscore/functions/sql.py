@@ -6,7 +6,7 @@ Same expression order as :func:`veloscore.operators.scoring.score_native`: per u
 
 from __future__ import annotations
 
-from veloscore.functions.columns import activation_sql
+from veloscore.functions.activations import activation
 from veloscore.sources.model_table import Model
 
 
@@ -40,13 +40,23 @@ def network_sql(model: Model, source_sql: str, x: str, carry: list[str], out: st
         inputs = [f"__x[{i + 1}]" for i in range(model.n_inputs)]
     else:
         inputs = ["__x"]
+    if model.normaliser is not None:
+        n = model.normaliser
+        inputs = [f"(({x} - {lit(n.shift[i])}) * {lit(n.scale[i])} + {lit(n.offset)})" for i, x in enumerate(inputs)]
     prev = ["__x"]
     for li, layer in enumerate(model.layers):
         names = [f"__h{li}_{u}" for u in range(layer.n_units)]
-        units = [f"{activation_sql(layer.activation[u], f'({_dot(inputs, layer.weights[u])} + {lit(layer.bias[u])})')} AS {names[u]}"
-                 for u in range(layer.n_units)]
+        sums = [f"({_dot(inputs, layer.weights[u])} + {lit(layer.bias[u])})" for u in range(layer.n_units)]
+        acts = [activation(a) for a in layer.activation]
         keep = ", ".join([*carry, "__x"])
-        q = f"SELECT {keep}, {', '.join(units)} FROM ({q}) AS __l{li}"
+        if acts[0].wide:
+            sum_names = [f"__z{li}_{u}" for u in range(layer.n_units)]
+            steps = [list(zip(sum_names, sums, strict=True)), *acts[0].steps(sum_names, f"__h{li}")]
+        else:
+            steps = [[(n, a.unit(z)) for n, a, z in zip(names, acts, sums, strict=True)]]
+        for k, step in enumerate(steps):
+            new = ", ".join(f"{e} AS {n}" for n, e in step)
+            q = f"SELECT {'*' if k else keep}, {new} FROM ({q}) AS __l{li}_{k}"
         inputs = names
         prev = names
     raw = prev[0] if model.n_outputs == 1 else f"[{', '.join(prev)}]"

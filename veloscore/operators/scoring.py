@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veloscore.functions.activations import activation
 from veloscore.functions.columns import any_missing, is_missing
 from veloscore.sources.model_table import Model
 
@@ -63,18 +64,6 @@ def _num(v: float) -> str:
     return f"CAST('{float(v)!r}' AS DOUBLE)"
 
 
-def _act_sql(name: str, z: str) -> str:
-    if name == "linear":
-        return z
-    if name == "relu":
-        return f"greatest(CAST(0 AS DOUBLE), {z})"
-    if name == "sigmoid":
-        return f"(CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + exp(-({z}))))"
-    if name == "tanh":
-        return f"tanh({z})"
-    raise ValueError(f"unknown activation {name!r}")
-
-
 def _dot_sql(inputs: list[str] | str, w: np.ndarray) -> str:
     """Unrolled ``((x1*w1 + x2*w2) + ...)`` over scalar inputs, or ``aggregate(zip_with(...))``
     over an array input (wide layers)."""
@@ -89,6 +78,16 @@ def _dot_sql(inputs: list[str] | str, w: np.ndarray) -> str:
             f"(acc, v) -> acc + v)")
 
 
+def _normalised_sql(model: Model, x: str, vector: bool) -> str:
+    """A model's normaliser as one expression, its numbers as literals."""
+    n = model.normaliser
+    if not vector:
+        return f"(({x} - {_num(n.shift[0])}) * {_num(n.scale[0])} + {_num(n.offset)})"
+    shift, scale = ("array(" + ", ".join(_num(v) for v in a) + ")" for a in (n.shift, n.scale))
+    return (f"zip_with(zip_with({x}, {shift}, (a, b) -> a - b), {scale}, "
+            f"(a, b) -> a * b + {_num(n.offset)})")
+
+
 def score_native(df: DataFrame, model: Model, features_col: str = "features",
                  out_col: str = "prediction", unroll_limit: int = UNROLL_LIMIT) -> DataFrame:
     """Route B: the network as column expressions. Output is DOUBLE for a one-output network,
@@ -111,6 +110,10 @@ def score_native(df: DataFrame, model: Model, features_col: str = "features",
     cur = cur.select("*", (~missing).alias(ok))
     inputs: list[str] | str = f"`{xin}`" if vector else [f"`{xin}`"]
     width = model.n_inputs
+    if model.normaliser is not None:
+        normal = [f"{_TMP}_n"] if vector else [f"{_TMP}_n0"]
+        cur = cur.select("*", F.expr(_normalised_sql(model, f"`{xin}`", vector)).alias(normal[0]))
+        inputs = f"`{normal[0]}`" if vector else [f"`{normal[0]}`"]
     for li, layer in enumerate(model.layers):
         unroll = layer.weights.size <= unroll_limit
         if unroll and not isinstance(inputs, list):
@@ -118,13 +121,17 @@ def score_native(df: DataFrame, model: Model, features_col: str = "features",
         elif not unroll and isinstance(inputs, list):
             inputs = "array(" + ", ".join(inputs) + ")"
         names = [f"{_TMP}_{li}_{u}" for u in range(layer.n_units)]
-        exprs = [F.expr(_act_sql(layer.activation[u],
-                                 f"({_dot_sql(inputs, layer.weights[u])} + {_num(layer.bias[u])})")
-                        ).alias(names[u])
-                 for u in range(layer.n_units)]
+        acts = [activation(a) for a in layer.activation]
+        sums = [f"({_dot_sql(inputs, layer.weights[u])} + {_num(layer.bias[u])})" for u in range(layer.n_units)]
         # One projection per layer: Catalyst keeps them apart (each unit is used by every unit
         # of the next layer), so nothing is evaluated twice.
-        cur = cur.select("*", *exprs)
+        if acts[0].wide:
+            sum_names = [f"{_TMP}_{li}_z{u}" for u in range(layer.n_units)]
+            cur = cur.select("*", *[F.expr(z).alias(n) for z, n in zip(sums, sum_names, strict=True)])
+            for step in acts[0].steps(sum_names, f"{_TMP}_{li}"):
+                cur = cur.select("*", *[F.expr(e).alias(n) for n, e in step])
+        else:
+            cur = cur.select("*", *[F.expr(a.unit(z)).alias(n) for a, z, n in zip(acts, sums, names, strict=True)])
         inputs = [f"`{nm}`" for nm in names]
         width = layer.n_units
     cols = [F.col(c) for c in inputs]
@@ -132,31 +139,13 @@ def score_native(df: DataFrame, model: Model, features_col: str = "features",
     return cur.select(*[F.col(f"`{c}`") for c in base], F.when(F.col(ok), out).alias(out_col))
 
 
-def _predict_fn_factory(model: Model, vector: bool):
-    """``make_predict_fn`` for the network. Closes over plain numpy arrays only, so the worker
-    needs numpy, not this package."""
-    params = [(layer.weights, layer.bias, layer.activation) for layer in model.layers]
+def _predict_fn_factory(model: Model):
+    """``make_predict_fn`` for the network."""
     n_in, n_out = model.n_inputs, model.n_outputs
 
     def make_predict_fn():
-        acts = {
-            "linear": lambda z: z,
-            "relu": lambda z: np.maximum(z, 0.0),
-            "sigmoid": lambda z: 1.0 / (1.0 + np.exp(-z)),
-            "tanh": np.tanh,
-        }
-
         def predict(x):
-            h = np.asarray(x, dtype=np.float64).reshape(-1, n_in)
-            for w, b, act in params:
-                z = h @ w.T + b
-                if len(set(act)) == 1:
-                    h = acts[act[0]](z)
-                else:
-                    h = np.empty_like(z)
-                    for name in set(act):
-                        idx = [i for i, a in enumerate(act) if a == name]
-                        h[:, idx] = acts[name](z[:, idx])
+            h = model.forward(np.asarray(x, dtype=np.float64).reshape(-1, n_in))
             return h[:, 0] if n_out == 1 else h
 
         return predict
@@ -219,7 +208,7 @@ def score_batched(df: DataFrame, model: Model, features_col: str = "features",
     # Missing inputs are replaced by zeros for the network and their output set to NULL after.
     zeros = F.array_repeat(F.lit(0.0), n) if vector else F.lit(0.0)
     safe = F.when(present, x).otherwise(zeros)
-    factory = make_predict_fn or _predict_fn_factory(model, vector)
+    factory = make_predict_fn or _predict_fn_factory(model)
     udf = _batched_udf(factory, n, model.n_outputs, vector, batch_size).asNondeterministic()
     return df.withColumn(out_col, F.when(present, udf(safe)))
 

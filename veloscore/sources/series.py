@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,13 +14,18 @@ _EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 def read_series(spark: SparkSession, path: str | list[str], schema: str | T.StructType = SERIES_SCHEMA,
                 *, fmt: str = "csv", sep: str = ",", header: bool = False, mode: str = "FAILFAST",
-                corrupt_column: str | None = None) -> DataFrame:
+                corrupt_column: str | None = None, skip: int = 0) -> DataFrame:
     """S1 + S2: scan and parse in one step; the schema is explicit, never inferred.
 
     ``mode`` is the CSV parse mode: ``FAILFAST`` stops on a malformed line, ``PERMISSIVE``
     turns bad cells into NULL and, with ``corrupt_column``, keeps the raw line there.
     ``DROPMALFORMED`` drops such lines. Blank lines are skipped; an empty cell is NULL.
+
+    ``skip`` leaves out the first lines of every file, blank ones counted, as many as it says (see
+    :func:`skip_lines`); the rest is parsed as without it.
     """
+    if skip < 0:
+        raise ValueError("skip must not be negative")
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(*([path] if isinstance(path, str) else path))
     if fmt != "csv":
@@ -30,6 +35,10 @@ def read_series(spark: SparkSession, path: str | list[str], schema: str | T.Stru
         if corrupt_column not in st.fieldNames():
             st = T.StructType(st.fields + [T.StructField(corrupt_column, T.StringType())])
         schema = st
+    if skip:
+        if header:
+            raise ValueError("skip and header exclude each other: count the header among the lines to skip")
+        return _parsed(skip_lines(spark, path, skip), schema, sep, mode, corrupt_column)
     reader = (spark.read.schema(schema).option("sep", sep).option("header", header)
               .option("mode", mode))
     if corrupt_column:
@@ -37,6 +46,45 @@ def read_series(spark: SparkSession, path: str | list[str], schema: str | T.Stru
     return reader.csv(path)
 
 
+def skip_lines(spark: SparkSession, path: str | list[str], skip: int) -> DataFrame:
+    """The lines of text files (column ``line``) without the first ``skip`` of every file.
+
+    Files stay splittable. Where a line begins is known as its block's start and, in one reading of the
+    same splits, its number in the task; a line of the first block is therefore among the first
+    ``skip`` of its file if its number is. One pass finds, for each file, the last line to leave out:
+    each task keeps ``skip`` lines of a file at most before anything is shuffled. The second pass
+    compares. Should the lines to skip reach into a file's second block, they are found there too.
+    """
+    text = spark.read.text(path if isinstance(path, list) else [path]).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("number"))
+    place = F.struct("start", "number")
+    order = Window.partitionBy("file").orderBy("start", "number")
+    heads = text.select("file", "start", "number", F.row_number().over(order).alias("nth")).where(F.col("nth") <= skip)
+    last = heads.groupBy("file").agg(F.max(place).alias("until"))
+    kept = text.join(last.withColumnRenamed("file", "skipped_file"), F.col("file") == F.col("skipped_file"), "left")
+    return kept.where(F.col("until").isNull() | (place > F.col("until"))).select("line")
+
+
+def _parsed(lines: DataFrame, schema: str | T.StructType, sep: str, mode: str, corrupt_column: str | None) -> DataFrame:
+    """Lines as rows of ``schema``, by the same parser and modes as files."""
+    if mode not in ("FAILFAST", "PERMISSIVE", "DROPMALFORMED"):
+        raise ValueError(f"unknown mode {mode!r}")
+    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    lines = lines.where(F.length(F.trim("line")) > 0)
+    own = corrupt_column
+    if mode == "DROPMALFORMED":  # a whole-line parser has no such mode: drop what it reports
+        own = "__malformed"
+        st = T.StructType(st.fields + [T.StructField(own, T.StringType())])
+    options = {"sep": sep, "mode": "FAILFAST" if mode == "FAILFAST" else "PERMISSIVE"}
+    if own:
+        options["columnNameOfCorruptRecord"] = own
+    rows = lines.select(F.from_csv("line", st.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("row"))
+    if mode == "DROPMALFORMED":
+        rows = rows.where(F.col(f"row.{own}").isNull())
+    return rows.select(*[F.col(f"row.`{f}`").alias(f) for f in st.fieldNames() if f != "__malformed"])
+
+
 def epoch_seconds(ts: str | Column, ntz: bool = True) -> Column:
     """Whole epoch seconds (floor) of a timestamp, independent of the session time zone for
     ``TIMESTAMP_NTZ`` input."""
