@@ -3,30 +3,34 @@
 A document is its set of five-word shingles, as 64-bit hashes. Under one global order of shingles,
 rarest first, two sets that link share one of their first ``n - ceil(0.75 n) + 1`` shingles. So:
 
-1. A count sketch of fixed size gives every shingle a level of frequency; the order is by level,
-   then hash. (Any order gives the same result; this one keeps common lines out of the prefixes.)
+1. Texts are read once into blocks of bounded size, and each block asks every bucket of the shingle
+   space how frequent its shingles are. A shingle's level is 0 if one set of one block has it, else it
+   grows with the number; the order is by level, then hash. Buckets know a shingle by 40 bits: two that
+   they take for one share a level, which changes the order for all sets alike and no result.
 2. Documents with one prefix and one size are one group, and groups, not documents, are posted
-   under their prefix shingles. A bucket of the shingle space keeps the shingles that two or more
-   groups share, and pairs each group with two others a shingle.
-3. Group pairs that pass the size and position filters are expanded to their distinct sets, and
+   under their prefix shingles; a shingle of level 0 has no other group and is not posted. Sets with
+   postings are stored once, the rest have no partner.
+3. Group pairs that pass the size and position filters are expanded to their distinct sets and
    verified: first by parity signatures, then by the sets. So are the distinct sets of a group.
-4. Only what these links have not yet joined can change the components. Of shingles whose groups
-   still lie in several components, one group of each, drawn by hash, is paired with a centre;
-   then those that are left give all pairs across components, filtered, expanded and verified in
-   the same way. Nothing that could join two components is left out.
+4. Only what links have not yet joined can change the components. In each of a few rounds, of every
+   posted shingle one group of each component, drawn by hash, is paired with a centre of its size.
+   Then, of the shingles whose groups still lie in several components, all pairs across components
+   that pass the filters are verified. Nothing that could join two components is left out.
 
 Copies are one set with many documents, and a group of near copies costs its members, not its
-pairs. A shingle that a third of all documents hold makes one posting for each distinct group.
-Nothing grows on the driver: it gets the sketch and a bit map of sets to fetch, of fixed sizes.
+pairs, once its centres have joined it. A shingle that a third of all documents hold makes one posting
+for each distinct group. Nothing grows on the driver.
 
 ``component_id`` is the smallest doc_id that links reach. Null and empty texts and texts without
-words have no shingles and link with nothing. Rows that repeat a text link with each other, also
-under one doc_id; a null doc_id never names a component unless it has no other. Extra columns are
-never read, whatever their names; an empty table gives an empty result.
+words have no shingles and link with nothing. Very long texts are taken whole, each a block of its own
+beyond the bound. Rows that repeat a text link with each other, also under one doc_id; a null doc_id
+never names a component unless it has no other. Extra columns are never read, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veloscore.session import checkpoint_root
+
 from . import words as w
 from .blocks import parts, saved
 from .components import connected_components
@@ -41,11 +47,13 @@ from .components import connected_components
 SHINGLE = 5
 #: Documents link at this many hundredths of their union.
 PERCENT = 75
-SKETCH_BITS = 21
-SLOTS = 64
-MAP_BITS = 26
-#: Bytes of a signature's first map, which joins compare as numbers.
-SHORT = 32
+#: Shingles in a block, and in a bucket at once.
+BLOCK = 1 << 20
+BUCKET = 4 << 20
+#: Bits by which buckets know a shingle.
+KEY_BITS = 40
+#: Rounds of drawn pairs before all pairs that are left.
+ROUNDS = 3
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -77,199 +85,140 @@ def _name(c: tuple[int, int]) -> bytes:
     return c[0].to_bytes(8, "big") + c[1].to_bytes(8, "big")
 
 
-def _slot_of(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _keys(s: np.ndarray) -> np.ndarray:
+    return s >> np.uint64(64 - KEY_BITS)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder; no lost executor takes it away."""
+    path = f"{checkpoint_root(df.sparkSession)}/ngram-join-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _read(doc_type: pa.DataType):
-    """Rows of documents, with their signatures, and at the end of a partition those of its sketch."""
-    kinds = [doc_type, pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-    names = ["doc_id", "n_shingles", "cls", "slot", "data"]
+    """Kind 0: rows of documents. Kinds 1 and 2: a block's distinct texts, and the keys that it asks
+    about with the number of its sets that hold each."""
+    kinds = {"kind": pa.int32(), "doc_id": doc_type, "n_shingles": pa.int64(), "cls": pa.binary(), "block": pa.string(), "data": pa.binary()}
+
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.record_batch([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns.get(c, [None] * n), t) for c, t in kinds.items()], names=list(kinds))
+
+    def block(texts: list[pa.Array], sets: list[np.ndarray]) -> pa.RecordBatch:
+        name = uuid.uuid4().hex
+        keys = np.sort(_keys(np.concatenate(sets)))
+        new = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
+        many = np.minimum(np.diff(np.append(new, len(keys))), 0xFFFF).astype(np.uint16)
+        asked = w.pack(gap=np.diff(keys[new], prepend=np.uint64(0)), many=many)
+        return rows(kind=[1, 2], block=[name, name], data=[w.pack(text=pa.concat_arrays(texts)), asked])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        texts, sets, seen, held = [], [], set(), 0
         for batch in batches:
-            n, cls, signs, seen, held = [], [], [], [], 0
-            for s in shingle_sets(batch.column("text")):
+            n, cls, fresh, at = [], [], [], 0
+            column = w.compact(batch.column("text"))
+            for k, s in enumerate(shingle_sets(column)):
                 n.append(len(s))
                 cls.append(_name(_fingerprint(s)) if len(s) else None)
-                signs.append(_signature(s) if len(s) else None)
-                seen.append(s)
+                if not len(s) or cls[-1] in seen:
+                    continue
+                seen.add(cls[-1])
+                fresh.append(k)
+                sets.append(s)
                 held += len(s)
-                if held > 1 << 20:
-                    sketch += np.bincount(_slot_of(np.concatenate(seen)), minlength=len(sketch))
-                    seen, held = [], 0
-            if seen:
-                sketch += np.bincount(_slot_of(np.concatenate(seen)), minlength=len(sketch))
-            empty = [None] * len(n)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, kinds[1]), pa.array(cls, kinds[2]), pa.array(empty, kinds[3]), pa.array(signs, kinds[4])], names=names)
-        if sketch.any():
-            data = [w.pack(count=x.astype(np.uint32)) for x in sketch.reshape(SLOTS, -1)]
-            empty = [None] * SLOTS
-            yield pa.record_batch([pa.array(empty, kinds[0]), pa.array(empty, kinds[1]), pa.array(empty, kinds[2]), pa.array(range(SLOTS), kinds[3]), pa.array(data, kinds[4])], names=names)
+                if held >= BLOCK:
+                    texts.append(column.take(pa.array(fresh)))
+                    yield block(texts, sets)
+                    texts, sets, seen, held, fresh = [], [], set(), 0, []
+            if fresh:
+                texts.append(column.take(pa.array(fresh)))
+            yield rows(kind=[0] * len(n), doc_id=batch.column("doc_id"), n_shingles=n, cls=cls)
+        if sets:
+            yield block(texts, sets)
 
     return read
 
 
-def _sum_sketch(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((1 << SKETCH_BITS) // SLOTS, np.int64)
-    for batch in batches:
-        for x in batch.column("data").to_pylist():
-            total += w.column(w.unpack(x), "count")
-    yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "data"])
-
-
-def _levels(sketch: DataFrame) -> np.ndarray:
-    """A byte for each sketch cell: 0 unless its count stands out, then its magnitude."""
-    total = np.zeros((SLOTS, (1 << SKETCH_BITS) // SLOTS), np.int64)
-    for r in sketch.groupBy("slot").applyInArrow(_sum_sketch, "slot int, data binary").collect():
-        total[r.slot] = np.frombuffer(r.data, np.int64)
-    flat = total.ravel()
-    usual = 2 * flat.mean() + 8
-    return np.where(flat > usual, 1 + np.log2(np.maximum(flat, 1) / usual), 0).astype(np.uint8)
-
-
-def _prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    size = len(s) - -(-percent * len(s) // 100) + 1
-    level = levels[_slot_of(s)]
-    return s[np.argsort(level, kind="stable")[:size]] if level.any() else s[:size]
-
-
-def _u64(x: np.ndarray) -> np.ndarray:
-    return np.asarray(x, np.uint64)
-
-
-def _position_fits(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of n and m whose first common shingle is their at-th and to-th can still link:
-    what follows must hold the members that linked sets of these sizes share."""
-    return (100 + percent) * np.minimum(n - at, m - to) >= percent * (n + m)
-
-
-def _post(levels: np.ndarray, percent: int, n: int):
-    """A bucket's postings (shingle, group) and, by group, members (group, set, size)."""
-    def rows(what: int, keys: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
-        bucket = (keys % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        columns = [c[order] for c in columns]
-        cut = np.searchsorted(bucket[order], np.arange(n + 1))
-        return [(b, what, b"".join(c[cut[b]:cut[b + 1]].tobytes() for c in columns)) for b in range(n) if cut[b] < cut[b + 1]]
-
-    def flush(posts: list, groups: list, members: dict) -> pa.RecordBatch:
-        tokens = np.concatenate(posts)
-        gid = np.repeat(_u64([g for g, _, _ in groups]), [c for _, c, _ in groups])
-        # a set's size and the shingle's position in its order, in one number
-        place = np.concatenate([_u64([])] + [_u64(np.arange(c)) + np.uint64(size << 32) for _, c, size in groups])
-        of = [_u64([m[i] for m in members]) for i in range(4)]
-        out = rows(0, tokens, [tokens, gid, place]) + rows(1, of[0], of)
-        kinds = [pa.int32(), pa.int32(), pa.binary()]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "kind", "data"])
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posts, groups, members, posted, held = [], [], {}, set(), 0
+def _split(buckets: int):
+    """A block's keys, dealt to the buckets of the key space in order."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in shingle_sets(batch.column("text")):
-                if not len(s):
-                    continue
-                prefix = _prefix(s, levels, percent)
-                group = int(w.mix(w.mix(prefix).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0])
-                members[group, *_fingerprint(s), len(s)] = True
-                if group not in posted:
-                    posted.add(group)
-                    posts.append(prefix)
-                    groups.append((group, len(prefix), len(s)))
-                    held += len(prefix)
-                if held > 1 << 20:
-                    yield flush(posts, groups, members)
-                    posts, groups, members, posted, held = [], [], {}, set(), 0
-        if members:
-            yield flush(posts or [np.zeros(0, np.uint64)], groups, members)
-
-    return post
-
-
-def _gather(percent: int):
-    """Of a bucket: 0 the postings of shared shingles, packed; 1 pairs of groups, linear in the
-    postings: each with the next in size and with the middle one; 2 distinct members."""
-    def gather(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered(batches, percent)
+            for name, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                asked = w.unpack(data)
+                keys, many = np.cumsum(w.column(asked, "gap")), w.column(asked, "many")
+                bounds = np.array([-(-(b << KEY_BITS) // buckets) for b in range(buckets + 1)], np.uint64)
+                cut = np.searchsorted(keys, bounds)
+                some = np.flatnonzero(np.diff(cut))
+                pieces = [w.pack(gap=np.diff(keys[a:b], prepend=np.uint64(0)), many=many[a:b]) for a, b in zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True)]
+                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([name] * len(some)), pa.array(pieces, pa.binary())], names=["bucket", "block", "data"])
 
-    return gather
+    return split
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    got: tuple[list, list] = ([], [])
+def _tell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels of the keys that each block has asked one bucket about, in the blocks' orders."""
+    names, asked, many = [], [], []
     for batch in batches:
-        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            got[kind].append(np.frombuffer(data, np.uint64).reshape(4 if kind else 3, -1))
-    names = ["kind", "a", "b", "c", "n", "data"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
-    def out(kind: int, *columns: np.ndarray, data: list | None = None) -> pa.RecordBatch:
-        size = len(data) if data else len(columns[0])
-        full = [c.view(np.int64) for c in columns] + [None] * (4 - len(columns))
-        return pa.record_batch([pa.array([kind] * size, kinds[0]), *(pa.array([None] * size if c is None else c, k) for c, k in zip(full, kinds[1:5], strict=True)), pa.array(data or [None] * size, kinds[5])], names=names)
-
-    if got[1]:
-        m = np.concatenate(got[1], 1)
-        yield out(2, *(np.ascontiguousarray(c) for c in np.unique(m, axis=1)))
-    if not got[0]:
-        return
-    token, gid, place = np.concatenate(got[0], 1)
-    order = np.lexsort([gid, place >> np.uint64(32), token])
-    token, gid, place = token[order], gid[order], place[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])
-    token, gid, place = token[new], gid[new], place[new]
-    lead = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint64(1)))
-    size = np.diff(np.append(lead, len(token)))
-    shared = np.repeat(size > 1, size)
-    if not shared.any():
-        return
-    centre = np.repeat(lead + size // 2, size)
-    yield out(0, data=[np.concatenate([token[shared], gid[shared], place[shared]]).tobytes()])
-    n, at = (place >> np.uint64(32)).astype(np.int64), (place & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    here = np.arange(len(token))
-    pairs = []
-    for other in (np.minimum(here + 1, len(token) - 1), centre):  # the next in size, and the middle one
-        k = np.flatnonzero(shared & (token == token[other]) & (gid != gid[other]))
-        o = other[k]
-        fits = _position_fits(n[k], at[k], n[o], at[o], percent)
-        pairs.append(np.stack([np.minimum(gid[k], gid[o]), np.maximum(gid[k], gid[o])], 1)[fits])
-    pair = np.unique(np.concatenate(pairs), axis=0)
-    yield out(1, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
-
-
-def _open_posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for x in batch.column("data").to_pylist():
-            token, gid, place = np.frombuffer(x, np.int64).reshape(3, -1)
-            yield pa.record_batch([pa.array(token), pa.array(gid), pa.array(place >> 32), pa.array(place & 0xFFFFFFFF)], names=["token", "gid", "n", "at"])
-
-
-def _fetch(wanted: np.ndarray):
-    """The sets whose bit is set, packed."""
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64((1 << MAP_BITS) - 1)
-        for batch in batches:
-            cls, data = [], []
-            for s in shingle_sets(batch.column("text")):
-                if len(s):
-                    c = _fingerprint(s)
-                    bit = int(np.uint64(c[0]) & mask)
-                    if wanted[bit >> 3] >> (bit & 7) & 1:
-                        cls.append(_name(c))
-                        data.append(s.tobytes())
-            yield pa.record_batch([pa.array(cls, pa.binary()), pa.array(data, pa.binary())], names=["cls", "data"])
+        names += batch.column("block").to_pylist()
+        for data in batch.column("data").to_pylist():
+            piece = w.unpack(data)
+            asked.append(np.cumsum(w.column(piece, "gap")))
+            many.append(w.column(piece, "many"))
+    keys, sets = np.concatenate(asked), np.concatenate(many)
+    order = np.argsort(keys, kind="stable")
+    new = np.diff(keys[order], prepend=keys[order[0]] + np.uint64(1)) != 0
+    total = np.add.reduceat(sets[order].astype(np.int64), np.flatnonzero(new))
+    level = np.where(total > 1, np.minimum(1 + (8 * np.log2(total)).astype(np.int64), 255), 0).astype(np.uint8)
+    each = np.empty(len(keys), np.uint8)
+    each[order] = level[np.cumsum(new) - 1]
+    cut = np.cumsum([len(x) for x in asked])[:-1]
+    told = [w.pack(level=x) for x in np.split(each, cut)]
+    yield pa.record_batch([pa.array(names), pa.array([key[0].as_py()] * len(names), pa.int32()), pa.array(told, pa.binary())], names=["block", "bucket", "data"])
+
+
+def _post(percent: int):
+    kinds = {"kind": pa.int32(), "token": pa.int64(), "gid": pa.int64(), "n": pa.int64(), "at": pa.int64(), "cls": pa.binary(), "sig": pa.binary(), "data": pa.binary()}
+
+    def post(key: tuple, table: pa.Table) -> pa.Table:
+        """A block's postings (kind 0) and the sets that have any (kind 1)."""
+        texts = w.unpack(table.column("texts")[0].as_py()).column("text")
+        level = np.concatenate([w.column(w.unpack(x["data"]), "level") for x in table.column("told")[0].as_py()])
+        sets = list(shingle_sets(texts))
+        keys = np.unique(_keys(np.concatenate(sets)))
+        posted, kept = [np.zeros((4, 0), np.int64)], {"gid": [], "n": [], "cls": [], "sig": [], "data": []}
+        for s in sets:
+            own = level[np.searchsorted(keys, _keys(s))]
+            first = np.argsort(own, kind="stable")[:len(s) - -(-percent * len(s) // 100) + 1]
+            at = np.flatnonzero(own[first])
+            if not len(at):
+                continue
+            group = w.mix(w.mix(s[first]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0]
+            same = np.full(len(at), 1, np.int64)
+            posted.append(np.stack([s[first][at].view(np.int64), same * group, same * len(s), at]))
+            for c, x in zip(kept, (group, len(s), _name(_fingerprint(s)), _signature(s), s.tobytes()), strict=True):
+                kept[c].append(x)
+        token, gid, n, at = np.concatenate(posted, axis=1)
+        p, q = len(token), len(kept["gid"])
+        columns = {"kind": np.repeat([0, 1], [p, q]), "token": token, "gid": np.concatenate([gid, np.array(kept["gid"], np.int64)]), "n": np.concatenate([n, np.array(kept["n"], np.int64)]), "at": at}
+        out = []
+        for c, t in kinds.items():
+            x = columns.get(c)
+            if x is None:
+                out.append(pa.array([None] * p + kept[c], t))
+            else:
+                out.append(pa.concat_arrays([pa.array(x, t), pa.nulls(p + q - len(x), t)]))
+        return pa.table(out, names=list(kinds))
 
-    return fetch
+    return post
 
 
 def _signature(s: np.ndarray) -> bytes:
-    """Two parity bit maps of a set: one of SHORT bytes, then one of at least as many bits as the
-    set has members. Half of a map folded on the other half is the map of half the size, so maps of
-    any sizes compare."""
-    h = w.mix(s ^ _SEED)
-    return b"".join(np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes() for bits in (8 * SHORT, 1 << max(6, (len(s) - 1).bit_length())))
+    """A parity bit map of a set, of at least as many bits as the set has members. Half of a map folded
+    on the other half is the map of half the size, so maps of any sizes compare."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    at = (w.mix(s ^ _SEED) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _may_link(percent: int):
@@ -279,7 +228,7 @@ def _may_link(percent: int):
         for batch in batches:
             keep = []
             for x, y, n, m in zip(batch.column("sa"), batch.column("sb"), batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint8)[SHORT:] for v in (x, y))
+                s, t = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
                 size = min(len(s), len(t))
                 s, t = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (s, t))
                 apart = int(np.bitwise_count(s ^ t).sum())
@@ -305,16 +254,13 @@ def _check(percent: int):
     return check
 
 
-def _verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) of sets, those that link. Sizes and signatures come first; only the sets of
-    the pairs left are made again from the texts and travel."""
-    sides = [members.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")).dropDuplicates([k]) for k in ("a", "b")]
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b) of sets, those that link. Sizes and signatures come first; only the sets of the
+    pairs left travel."""
+    sides = [sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in ("a", "b")]
     near = pairs.join(sides[0], "a").join(sides[1], "b").where(_sizes_fit(F.col("na"), F.col("nb"), percent))
     near = saved(near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_may_link(percent), "a binary, b binary"))
-    wanted = _wanted(near.select(F.col("a").alias("cls")).union(near.select("b")))
-    sets = texts.mapInArrow(_fetch(wanted), "cls binary, data binary").groupBy("cls").agg(F.any_value("data").alias("data"))
-    left = sets.select(F.col("cls").alias("a"), F.col("data").alias("da"))
-    right = sets.select(F.col("cls").alias("b"), F.col("data").alias("db"))
+    left, right = (sets.select(F.col("cls").alias(k), F.col("data").alias(f"d{k}")) for k in ("a", "b"))
     return near.join(left, "a").join(right, "b").select("a", "b", "da", "db").mapInArrow(_check(percent), "a binary, b binary")
 
 
@@ -322,87 +268,101 @@ def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _wanted(classes: DataFrame) -> np.ndarray:
-    """A bit for each of 2 ** MAP_BITS remainders of the sets' fingerprints."""
-    bit = F.conv(F.hex(F.substring("cls", 5, 4)), 16, 10).cast("bigint").bitwiseAND((1 << MAP_BITS) - 1) + 1
-    maps = classes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-    for r in maps.collect():
-        bits = np.frombuffer(r.bits, np.uint8)
-        at = (r.part - 1) * len(bits)
-        out[at:at + len(bits)] = bits
-    return out
+def _position_fits(percent: int) -> str:
+    """Whether sets a and b whose first common shingle is their at-th can still link: what follows must
+    hold the members that linked sets of these sizes share."""
+    return f"{100 + percent} * least(a_n - a_at, b_n - b_at) >= {percent} * (a_n + b_n)"
 
 
-def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
-    """gid, cls, n, sig, part: members with the component that these links give their set."""
+def _placed(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """cls, gid, part: sets with the component that these links give them."""
     joined = connected_components(links).withColumnRenamed("node", "cls")
-    return saved(members.join(joined, "cls", "left").select("gid", "cls", "n", "sig", F.coalesce("root", "cls").alias("part")))
+    return saved(sets.select("cls", "gid").join(joined, "cls", "left").select("cls", "gid", F.coalesce("root", "cls").alias("part")))
 
 
 def _still_open(posts: DataFrame, placed: DataFrame) -> DataFrame:
     """Postings of the shingles whose groups are in several components, each with the least and
-    greatest of its group's components and, if the group is one set, its short map."""
-    maps = [F.when(F.count("*") == 1, F.min(F.conv(F.hex(F.substring("sig", 8 * k + 1, 8)), 16, -10).cast("bigint"))).alias(f"m{k}") for k in range(SHORT // 8)]
-    posts = posts.join(placed.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"), *maps), "gid")
+    greatest of its group's components."""
+    posts = posts.join(placed.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high")), "gid")
     mixed = posts.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("token")
     return posts.join(mixed, "token")
 
 
+def _drawn(still_open: DataFrame, draw: int, percent: int) -> DataFrame:
+    """Pairs of groups, linear in the postings: of each shingle and component one group, with a centre
+    of its own size and one of the next."""
+    band = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
+    one = F.min(F.struct(F.xxhash64(F.lit(draw), "gid").alias("draw"), "gid", "n", "at")).alias("one")
+    ones = saved(still_open.groupBy("token", "low", band.alias("band")).agg(one).select("token", "low", "band", "one.*"))
+    centre = ones.groupBy("token", "band").agg(F.min(F.struct("draw", "gid", "n", "at", "low")).alias("c"))
+    centre = centre.select("token", F.col("c.gid").alias("b_gid"), F.col("c.n").alias("b_n"), F.col("c.at").alias("b_at"), F.col("c.low").alias("b_low"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
+    ones = ones.select("token", "band", F.col("gid").alias("a_gid"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("low").alias("a_low"))
+    pairs = ones.join(centre, ["token", "band"]).where("a_gid <> b_gid and a_low <> b_low").where(_position_fits(percent))
+    return pairs.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid")).distinct()
+
+
+def _across(still_open: DataFrame, percent: int) -> DataFrame:
+    """All pairs of groups that share a shingle, lie in several components and pass the filters. One
+    group of a pair is outside the shingle's largest component, so that is never paired with itself."""
+    parts_of = still_open.groupBy("token", "low").agg(F.count("*").alias("m"))
+    largest = parts_of.groupBy("token").agg(F.max(F.struct("m", "low")).alias("big")).select("token", F.col("big.low").alias("big"))
+    marked = still_open.join(largest, "token").withColumn("in_big", F.expr("low = big and high = big"))
+    marked = saved(marked.select("token", "gid", "n", "at", "low", "high", "in_big"))
+    x, y = (marked.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("gid", "n", "at", "low", "high", "in_big"))) for k in ("a", "b"))
+    once = "(b_in_big or a_gid < b_gid) and a_gid <> b_gid"
+    apart = "not (a_low = a_high and b_low = b_high and a_low = b_low)"
+    pairs = x.where("not a_in_big").join(y, "token").where(f"{once} and {apart} and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)").where(_position_fits(percent))
+    return pairs.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid")).distinct()
+
+
+def _components_of_sets(texts: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+    """cls, root: of the sets that have partners, the components of their links."""
+    posted = texts.join(told, "block").groupBy("block").applyInArrow(_post(percent), "kind int, token long, gid long, n long, at long, cls binary, sig binary, data binary")
+    posted = _written(posted)
+    posts = posted.where("kind = 0").select("token", "gid", "n", "at").distinct()
+    posts = saved(posts.join(posts.groupBy("token").count().where("count > 1").select("token"), "token"))
+    sets = posted.where("kind = 1").select("cls", "gid", "n", "sig", "data").dropDuplicates(["cls"])
+    several = posted.where("kind = 1").groupBy("gid").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most")
+    sets = _written(sets.join(posts.select("gid").union(several.select("gid")).distinct(), "gid", "left_semi"))
+    leaders = saved(sets.groupBy("gid").agg(F.min("cls").alias("leader"), F.count("*").alias("sets")))
+    ga, gb = (leaders.select(F.col("gid").alias(f"{k}_gid"), F.col("leader").alias(k)) for k in ("a", "b"))
+
+    inside = sets.select("cls", "gid").join(leaders.where("sets > 1"), "gid").where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
+    links = saved(_verified(inside, sets, percent))
+    for draw in range(ROUNDS):
+        drawn = _drawn(_still_open(posts, _placed(sets, links)), draw, percent).join(ga, "a_gid").join(gb, "b_gid")
+        more = saved(_verified(drawn.select("a", "b").where("a <> b"), sets, percent))
+        if more.isEmpty():
+            break
+        links = saved(links.union(more))
+
+    # what is still open: all pairs across components, and those that the sets of one group give
+    placed = _placed(sets, links)
+    groups = _across(_still_open(posts, placed), percent)
+    x, y = (placed.select(F.col("gid").alias(f"{k}_gid"), F.col("cls").alias(k), F.col("part").alias(f"{k}_part")) for k in ("a", "b"))
+    rest = groups.join(x, "a_gid").join(y, "b_gid").where("a_part <> b_part").select("a", "b")
+    mixed = placed.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gid")
+    open_groups = placed.join(mixed, "gid")
+    x, y = (open_groups.select("gid", F.col("cls").alias(k), F.col("part").alias(f"{k}_part")) for k in ("a", "b"))
+    within = x.join(y, "gid").where("a_part < b_part").select("a", "b")
+    links = links.union(_verified(rest.union(within).distinct(), sets, percent))
+    return connected_components(links).select(F.col("node").alias("cls"), "root")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id; one row a document."""
-    spark = docs.sparkSession
     named = docs.select("doc_id", "text")
     kind = dict(named.dtypes)["doc_id"]
     doc_type = pa.schema(named.limit(0).toArrow().schema).field("doc_id").type
-    texts = named.select("text")
-    read = saved(named.mapInArrow(_read(doc_type), f"doc_id {kind}, n_shingles long, cls binary, slot int, data binary"))
-    rows = read.where("slot is null").select("doc_id", "n_shingles", "cls")
-    signs = read.where("slot is null and cls is not null").groupBy("cls").agg(F.any_value("data").alias("sig"))
-    levels = _levels(read.where("slot is not null").select("slot", "data"))
-
-    posted = texts.mapInArrow(_post(levels, percent, parts(spark)), "bucket int, kind int, data binary")
-    gathered = saved(posted.groupBy("bucket").applyInArrow(_gather(percent), "kind int, a long, b long, c long, n long, data binary"))
-    cls = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("b", "c")])
-    members = gathered.where("kind = 2").select(F.col("a").alias("gid"), cls.alias("cls"), "n")
-    leaders = members.groupBy("gid").agg(F.min("cls").alias("leader"), F.count("*").alias("sets"))
-
-    # every group that shares a shingle: star pairs may all fail a set that links with another
-    posts = gathered.where("kind = 0").select("data").mapInArrow(_open_posts, "token long, gid long, n long, at long")
-    shared = posts.select("gid").union(leaders.where("sets > 1").select("gid")).distinct()
-    star = gathered.where("kind = 1").select("a", "b").distinct()
-    members = saved(members.join(shared, "gid").join(signs, "cls"))
-    ga, gb = (leaders.select(F.col("gid").alias(g), F.col("leader").alias(f"{g}_leader")) for g in ("a", "b"))
-    across = star.join(ga, "a").join(gb, "b").select(F.col("a_leader").alias("a"), F.col("b_leader").alias("b"))
-    inside = members.join(leaders.where("sets > 1").select("gid", "leader"), "gid").where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
-    links = saved(_verified(across.union(inside).where("a <> b").distinct(), members, texts, percent))
-
-    # what is still in several components: of each shingle one group of each, drawn by hash
-    drawn = F.min(F.struct(F.xxhash64("token", "gid").alias("draw"), "gid")).alias("one")
-    ones = saved(_still_open(posts, _placed(members, links)).groupBy("token", "low").agg(drawn))
-    centres = ones.groupBy("token").agg(F.min("one").alias("centre"))
-    drawn_pairs = ones.join(centres, "token").where("one <> centre").select(F.least("one.gid", "centre.gid").alias("a"), F.greatest("one.gid", "centre.gid").alias("b")).distinct()
-    between = drawn_pairs.join(ga, "a").join(gb, "b").select(F.col("a_leader").alias("a"), F.col("b_leader").alias("b"))
-    links = saved(links.union(_verified(between.where("a <> b"), members, texts, percent)))
-
-    # and what then still is: all pairs across components
-    placed = _placed(members, links)
-    still_open = saved(_still_open(posts, placed))
-    x, y = (still_open.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("gid", "n", "at", "low", "high", *(f"m{i}" for i in range(SHORT // 8))))) for k in ("a", "b"))
-    apart = "a_gid < b_gid and not (a_low = a_high and b_low = b_high and a_low = b_low)"
-    fits = f"{100 + percent} * least(a_n - a_at, b_n - b_at) >= {percent} * (a_n + b_n)"
-    differ = " + ".join(f"bit_count(a_m{k} ^ b_m{k})" for k in range(SHORT // 8))
-    alike = f"coalesce({100 + percent} * ({differ}) <= {100 - percent} * (a_n + b_n), true)"
-    groups = x.join(y, "token").where(f"{apart} and {fits} and {alike}").select("a_gid", "b_gid").distinct()
-    pa_, pb_ = (placed.select(F.col("gid").alias(f"{k}_gid"), F.col("cls").alias(k), F.col("part").alias(f"{k}_part")) for k in ("a", "b"))
-    rest = groups.join(pa_, "a_gid").join(pb_, "b_gid").where("a_part <> b_part").select("a", "b")
-    within = placed.select("gid", F.col("cls").alias("a"), F.col("part").alias("a_part")).join(placed.select("gid", F.col("cls").alias("b"), F.col("part").alias("b_part")), "gid").where("a_part < b_part").select("a", "b")
-    more = _verified(rest.union(within).distinct(), members, texts, percent)
-    part_of = placed.select("cls", "part").distinct()
-    bridges = more.join(part_of.select(F.col("cls").alias("a"), F.col("part").alias("pa")), "a").join(part_of.select(F.col("cls").alias("b"), F.col("part").alias("pb")), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    bridged = connected_components(bridges)
-    final = part_of.join(bridged.withColumnRenamed("node", "part"), "part", "left").select("cls", F.coalesce("root", "part").alias("root"))
-
+    read = _written(named.mapInArrow(_read(doc_type), f"kind int, doc_id {kind}, n_shingles long, cls binary, block string, data binary"))
+    rows = read.where("kind = 0").select("doc_id", "n_shingles", "cls")
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(parts(docs.sparkSession), -(-total // BUCKET))
+    asked = read.where("kind = 2").select("block", "data").mapInArrow(_split(buckets), "bucket int, block string, data binary")
+    told = asked.groupBy("bucket").applyInArrow(_tell, "block string, bucket int, data binary")
+    told = told.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "data"))).alias("told"))
+    texts = read.where("kind = 1").select("block", F.col("data").alias("texts"))
+    final = _components_of_sets(texts, told, percent)
     out = rows.join(final, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = out.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return out.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
