@@ -1,12 +1,14 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 
 import corpus_pipeline
@@ -131,6 +133,55 @@ def test_html_names_of_many_sections_and_of_comments():
         assert html_extract.main_text(page) == LONG[:300]
 
 
+@pytest.mark.parametrize("name", ["social-history", "notice-period", "related-work", "search-results", "comment-on-the-text", "widget", "share-price"])
+def test_html_article_sections_keep_their_text(name):
+    for part in (f'<section class="{name}"><h2>Part</h2><p>{LONG}</p></section>', f'<div id="{name}"><h2>Part</h2><p>{LONG}</p></div>'):
+        page = f"<body><nav>Home</nav><article><h1>Title</h1><p>{LONG}</p>{part}<p>End.</p></article><footer>f</footer></body>"
+        assert html_extract.main_text(page) == f"Title\n{LONG}\nPart\n{LONG}\nEnd."
+
+
+def test_html_asides_in_an_article_are_judged_by_their_text():
+    for tag in ("aside", "menu"):
+        page = f"<body><{tag}><p>{LONG}</p></{tag}><article><p>{LONG}</p><{tag}><p>{LONG}</p></{tag}><{tag}>More</{tag}></article></body>"
+        assert html_extract.main_text(page) == f"{LONG}\n{LONG}"
+
+
+PLAIN = f"""<body><div><div><a href=a>Home</a> <a href=b>About</a> <a href=c>Contact</a> <a href=d>Login</a></div></div>
+<div>{{}}<h1>The title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>{{}}</div><div><div>Copyright 2024 all rights reserved</div></div></body>"""
+
+
+def test_html_clusters_decide_without_names(monkeypatch):
+    want = f"The title\n{LONG}\nShort.\n{LONG}"
+    bare = PLAIN.format("", "").replace("<div>", "").replace("</div>", "")
+    assert html_extract.main_text(PLAIN.format("", "")) == want
+    assert html_extract.main_text(bare.replace("Copyright", "<div>Copyright")) == want
+    full = html_extract.clusters
+    monkeypatch.setattr(html_extract, "clusters", lambda ratio, text, running: full(np.ones(len(ratio)), text, running))
+    flat = html_extract.main_text(PLAIN.format("", ""))
+    assert "Home About Contact Login" in flat and "Copyright 2024" in flat
+
+
+def test_html_smoothing_takes_short_lines_along():
+    ratio = np.array([2.0, 300.0, 20.0, 300.0, 2.0, 2.0, 2.0, 2.0, 2.0, 30.0])
+    yes = np.ones(len(ratio), bool)
+    seed, cluster = html_extract.clusters(ratio, yes, yes)
+    assert np.flatnonzero(seed).tolist() == [1, 3] and cluster[:5].all() and not cluster[6:].any()
+    _, apart = html_extract.clusters(ratio, yes, ~yes)
+    assert np.flatnonzero(apart).tolist() == [1, 3]  # only running text goes on
+    assert html_extract.smooth(np.ones(7)) == pytest.approx(np.ones(7))
+
+
+@pytest.mark.parametrize("page", ["<div><p>x", "<b>", "<p><div><span>", "<table><tr><td>x", "<i></b>x", "<li>x<ul>"])
+def test_html_is_linear_in_depth(page):
+    """Twice the page takes about twice the time, however deep it is."""
+    took = []
+    for n in (5000, 20000):
+        start = time.process_time()
+        html_extract.main_text(page * n + "<hr>" * n + "</i>" * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 0.2
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (2, None, None, "t"), (3, "v", "", "t")], "page_id bigint, url string, html string, text string")
     got = {(r.page_id, r.n_chars == len(r.text), r.text[:9]) for r in html_extract.extract_pages(pages).collect()}
@@ -247,6 +298,17 @@ def test_language_id(spark, docs, empty):
     assert language_id.keep_identified(docs).columns == docs.columns
 
 
+def test_language_sample_is_of_whole_texts(spark):
+    """Strips of every twentieth of a long text, all strips of a short one, whole characters or not."""
+    long = "".join(chr(97 + i % 26) * language_id.STRIP for i in range(400))
+    df = spark.createDataFrame([(1, long), (2, "é" * 100), (3, "x")], "doc_id bigint, text string")
+    got = {r.doc_id: [bytes(x) for x in r.strips] for r in df.select("doc_id", language_id._drawn_strips(F.col("text")).alias("strips")).collect()}
+    assert got[3] == [b"x"] and b"".join(got[2]) == ("é" * 100).encode()
+    places = [long.encode().index(x) // language_id.STRIP for x in got[1]]
+    assert len(got[1]) == language_id.SAMPLE_STRIPS and len(set(got[1])) > 10 and max(map(len, got[1])) == language_id.STRIP
+    assert sorted(places) != list(range(language_id.SAMPLE_STRIPS))
+
+
 def test_language_id_learns_every_language(spark):
     rng = np.random.default_rng(9)
     data = []

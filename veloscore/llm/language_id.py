@@ -7,9 +7,11 @@ probabilities, normalised again; no byte is left out.
 
 The network is trained by backpropagation through time on a bounded sample: for each language of
 the training rows, however many there are, about ``SAMPLE_DOCS`` documents, at least one, chosen
-by hash, and of each at most ``SAMPLE_BYTES`` bytes. The output layer and the steps grow with the
-languages. The weights (a few thousand numbers) travel in the function; texts are scored where
-they lie, without a shuffle. Training starts from a fixed seed on a sample in fixed order, so reruns agree.
+by hash, and of each about ``SAMPLE_STRIPS`` strips, drawn by hash from the whole text. The output
+layer grows with the languages, the steps too, up to ``MOST_TURNS`` times those of ``STEP_LANGS``
+languages; beyond, each language has fewer turns. The weights (a few thousand numbers) travel in the
+function; texts are scored where they lie, without a shuffle. Training starts from a fixed seed on a
+sample in fixed order, so reruns agree. Very long texts are scored whole, in slices of bounded size.
 
 Prediction sees the text alone. A null text, or one without a letter, gets ``und`` and score 0;
 so does everything if nothing can be learned. Repeated rows get equal predictions; extra columns
@@ -34,9 +36,12 @@ UNKNOWN = "und"
 HIDDEN = 8
 STRIP = 48
 SAMPLE_DOCS = 300
-SAMPLE_BYTES = 960
+#: Strips that training sees of one sampled text, drawn from all of it.
+SAMPLE_STRIPS = 20
 #: Languages that share a training step; more of them take as many more steps.
 STEP_LANGS = 64
+#: Times the steps of STEP_LANGS languages that training takes at most, however many there are.
+MOST_TURNS = 8
 #: Strips that go through the network together; keeps a step's arrays in a core's cache.
 ABREAST = 2048
 TRAINING_SHARE = 5
@@ -157,7 +162,7 @@ class ByteGru:
         first = {k: np.zeros_like(getattr(self, k)) for k in names}
         second = {k: np.zeros_like(getattr(self, k)) for k in names}
         by_label = [np.flatnonzero(label == k) for k in range(len(self.langs))]
-        steps = -(-steps * max(len(by_label), STEP_LANGS) // STEP_LANGS)
+        steps = min(MOST_TURNS * steps, -(-steps * max(len(by_label), STEP_LANGS) // STEP_LANGS))
         for step in range(1, steps + 1):
             turn = by_label if len(by_label) <= STEP_LANGS else [by_label[k] for k in rng.choice(len(by_label), STEP_LANGS, replace=False)]
             pick = np.concatenate([rng.choice(x, max(1, batch // len(turn))) for x in turn if len(x)])
@@ -245,10 +250,21 @@ class ByteGru:
         return p / p.sum(1, keepdims=True)
 
 
-def _strips(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Whole strips of the sampled texts, and the rest of each padded."""
-    raw = [t.encode()[:SAMPLE_BYTES] for t in texts]
-    cut = [(x[i:i + STRIP].ljust(STRIP, b"\0"), k) for x, k in zip(raw, labels, strict=True) for i in range(0, len(x), STRIP)]
+def _drawn_strips(text: Column) -> Column:
+    """SAMPLE_STRIPS strips of a text's bytes, drawn by a hash from all its strips; all if it has no
+    more."""
+    raw = F.encode(text, "UTF-8")
+    n = F.ceil(F.octet_length(text) / STRIP).cast("int")
+    # one strip of each of SAMPLE_STRIPS equal shares, so none is drawn twice
+    first = lambda k: F.floor(k.cast("bigint") * n / SAMPLE_STRIPS).cast("int")
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_STRIPS - 1)), lambda k: first(k) + F.pmod(F.xxhash64(text, k), (first(k + 1) - first(k)).cast("bigint")).cast("int"))
+    at = F.when(n > SAMPLE_STRIPS, drawn).otherwise(F.sequence(F.lit(0), n - 1))
+    return F.transform(at, lambda k: F.substring(raw, k * STRIP + 1, STRIP))
+
+
+def _strips(strips: list[list[bytes]], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All strips of the sampled texts, a text's last one padded."""
+    cut = [(bytes(x).ljust(STRIP, b"\0"), k) for own, k in zip(strips, labels, strict=True) for x in own]
     if not cut:
         return np.zeros((STRIP, 0), np.uint8), np.zeros(0, np.int64)
     return np.stack([np.frombuffer(x, np.uint8) for x, _ in cut], 1), np.array([k for _, k in cut])
@@ -264,13 +280,13 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, hidden: int = HIDDEN,
     # below its bar a language has about sample_docs rows, and its least draw
     bars = [(r.lang, max(r.least + 1, math.ceil(min(1.0, sample_docs / r.n) * (1 << 30)))) for r in counts]
     bars = docs.sparkSession.createDataFrame(bars, "lang string, bar long")
-    drawn = usable.join(F.broadcast(bars), "lang").where(draw < F.col("bar"))
+    drawn = usable.join(bars, "lang").where(draw < F.col("bar"))
     # rows that repeat draw alike, and count once
-    rows = drawn.select(F.xxhash64("doc_id", "text").alias("at"), F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang").distinct().collect()
-    rows.sort(key=lambda r: (r.at, r.text, r.lang))
+    rows = drawn.select(F.xxhash64("doc_id", "text").alias("at"), _drawn_strips(F.col("text")).alias("strips"), "lang").distinct().collect()
+    rows.sort(key=lambda r: (r.at, [bytes(x) for x in r.strips], r.lang))
     langs = sorted({r.lang for r in rows})
     place = {x: k for k, x in enumerate(langs)}
-    strips, label = _strips([r.text for r in rows], [place[r.lang] for r in rows])
+    strips, label = _strips([r.strips for r in rows], [place[r.lang] for r in rows])
     return ByteGru.fresh(langs, hidden).fit(strips, label, steps)
 
 
