@@ -5,17 +5,17 @@ rarest first, two sets that link share one of their first ``n - ceil(0.75 n) + 1
 
 1. Texts are read once into blocks of bounded size, and each block asks every bucket of the shingle
    space how frequent its shingles are. A shingle's level is 0 if one set of one block has it, else it
-   grows with the number; the order is by level, then hash. Buckets know a shingle by 40 bits: two that
+   grows with the number; the order is by level, then hash. Buckets know a shingle by 36 bits: two that
    they take for one share a level, which changes the order for all sets alike and no result.
 2. Documents with one prefix and one size are one group, and groups, not documents, are posted
    under their prefix shingles; a shingle of level 0 has no other group and is not posted. Sets with
    postings are stored once, the rest have no partner.
 3. Group pairs that pass the size and position filters are expanded to their distinct sets and
    verified: first by parity signatures, then by the sets. So are the distinct sets of a group.
-4. Only what links have not yet joined can change the components. In each of a few rounds, of every
-   posted shingle one group of each component, drawn by hash, is paired with a centre of its size.
-   Then, of the shingles whose groups still lie in several components, all pairs across components
-   that pass the filters are verified. Nothing that could join two components is left out.
+4. Every group is paired with drawn centres of each of its shingles, of its own size and the next.
+   Only what these links have not joined can change the components: of the shingles whose groups
+   still lie in several, all pairs across components that pass the filters are verified. Nothing that
+   could join two components is left out.
 
 Copies are one set with many documents, and a group of near copies costs its members, not its
 pairs, once its centres have joined it. A shingle that a third of all documents hold makes one posting
@@ -51,9 +51,9 @@ PERCENT = 75
 BLOCK = 1 << 20
 BUCKET = 4 << 20
 #: Bits by which buckets know a shingle.
-KEY_BITS = 40
-#: Rounds of drawn pairs before all pairs that are left.
-ROUNDS = 3
+KEY_BITS = 36
+#: Centres drawn for the groups of one shingle and size.
+CENTRES = 2
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -89,6 +89,19 @@ def _keys(s: np.ndarray) -> np.ndarray:
     return s >> np.uint64(64 - KEY_BITS)
 
 
+def _packed_keys(keys: np.ndarray, many: np.ndarray) -> bytes:
+    """Sorted keys as gaps, byte by byte: the upper bytes of small gaps are all zero and pack to nothing."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T)
+    return w.pack(many=many, **{f"b{k}": planes[k] for k in range(8)})
+
+
+def _unpacked_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    asked = w.unpack(data)
+    planes = np.stack([w.column(asked, f"b{k}") for k in range(8)], 1)
+    return np.cumsum(np.ascontiguousarray(planes).view(np.uint64).ravel()), w.column(asked, "many")
+
+
 def _written(df: DataFrame) -> DataFrame:
     """df as Parquet in the shared folder; no lost executor takes it away."""
     path = f"{checkpoint_root(df.sparkSession)}/ngram-join-{uuid.uuid4().hex}"
@@ -110,7 +123,7 @@ def _read(doc_type: pa.DataType):
         keys = np.sort(_keys(np.concatenate(sets)))
         new = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
         many = np.minimum(np.diff(np.append(new, len(keys))), 0xFFFF).astype(np.uint16)
-        asked = w.pack(gap=np.diff(keys[new], prepend=np.uint64(0)), many=many)
+        asked = _packed_keys(keys[new], many)
         return rows(kind=[1, 2], block=[name, name], data=[w.pack(text=pa.concat_arrays(texts)), asked])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +158,11 @@ def _split(buckets: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                asked = w.unpack(data)
-                keys, many = np.cumsum(w.column(asked, "gap")), w.column(asked, "many")
+                keys, many = _unpacked_keys(data)
                 bounds = np.array([-(-(b << KEY_BITS) // buckets) for b in range(buckets + 1)], np.uint64)
                 cut = np.searchsorted(keys, bounds)
                 some = np.flatnonzero(np.diff(cut))
-                pieces = [w.pack(gap=np.diff(keys[a:b], prepend=np.uint64(0)), many=many[a:b]) for a, b in zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True)]
+                pieces = [_packed_keys(keys[a:b], many[a:b]) for a, b in zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True)]
                 yield pa.record_batch([pa.array(some, pa.int32()), pa.array([name] * len(some)), pa.array(pieces, pa.binary())], names=["bucket", "block", "data"])
 
     return split
@@ -162,9 +174,8 @@ def _tell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         names += batch.column("block").to_pylist()
         for data in batch.column("data").to_pylist():
-            piece = w.unpack(data)
-            asked.append(np.cumsum(w.column(piece, "gap")))
-            many.append(w.column(piece, "many"))
+            for have, got in zip((asked, many), _unpacked_keys(data), strict=True):
+                have.append(got)
     keys, sets = np.concatenate(asked), np.concatenate(many)
     order = np.argsort(keys, kind="stable")
     new = np.diff(keys[order], prepend=keys[order[0]] + np.uint64(1)) != 0
@@ -288,16 +299,16 @@ def _still_open(posts: DataFrame, placed: DataFrame) -> DataFrame:
     return posts.join(mixed, "token")
 
 
-def _drawn(still_open: DataFrame, draw: int, percent: int) -> DataFrame:
-    """Pairs of groups, linear in the postings: of each shingle and component one group, with a centre
-    of its own size and one of the next."""
+def _drawn(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups, linear in the postings: each with the centres of its shingle that have its own
+    size and the next."""
     band = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")
-    one = F.min(F.struct(F.xxhash64(F.lit(draw), "gid").alias("draw"), "gid", "n", "at")).alias("one")
-    ones = saved(still_open.groupBy("token", "low", band.alias("band")).agg(one).select("token", "low", "band", "one.*"))
-    centre = ones.groupBy("token", "band").agg(F.min(F.struct("draw", "gid", "n", "at", "low")).alias("c"))
-    centre = centre.select("token", F.col("c.gid").alias("b_gid"), F.col("c.n").alias("b_n"), F.col("c.at").alias("b_at"), F.col("c.low").alias("b_low"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-    ones = ones.select("token", "band", F.col("gid").alias("a_gid"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("low").alias("a_low"))
-    pairs = ones.join(centre, ["token", "band"]).where("a_gid <> b_gid and a_low <> b_low").where(_position_fits(percent))
+    posts = posts.withColumn("band", band)
+    centre = posts.groupBy("token", "band").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), "gid").alias("draw"), "gid", "n", "at")).alias(f"c{k}") for k in range(CENTRES)))
+    centre = centre.withColumn("c", F.explode(F.array_distinct(F.array(*(F.struct(f"c{k}.gid", f"c{k}.n", f"c{k}.at") for k in range(CENTRES))))))
+    centre = centre.select("token", F.col("c.gid").alias("b_gid"), F.col("c.n").alias("b_n"), F.col("c.at").alias("b_at"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
+    own = posts.select("token", "band", F.col("gid").alias("a_gid"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
+    pairs = own.join(centre, ["token", "band"]).where("a_gid <> b_gid").where(_position_fits(percent))
     return pairs.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid")).distinct()
 
 
@@ -328,13 +339,8 @@ def _components_of_sets(texts: DataFrame, told: DataFrame, percent: int) -> Data
     ga, gb = (leaders.select(F.col("gid").alias(f"{k}_gid"), F.col("leader").alias(k)) for k in ("a", "b"))
 
     inside = sets.select("cls", "gid").join(leaders.where("sets > 1"), "gid").where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
-    links = saved(_verified(inside, sets, percent))
-    for draw in range(ROUNDS):
-        drawn = _drawn(_still_open(posts, _placed(sets, links)), draw, percent).join(ga, "a_gid").join(gb, "b_gid")
-        more = saved(_verified(drawn.select("a", "b").where("a <> b"), sets, percent))
-        if more.isEmpty():
-            break
-        links = saved(links.union(more))
+    drawn = _drawn(posts, percent).join(ga, "a_gid").join(gb, "b_gid").select("a", "b")
+    links = saved(_verified(inside.union(drawn.where("a <> b")).distinct(), sets, percent))
 
     # what is still open: all pairs across components, and those that the sets of one group give
     placed = _placed(sets, links)
