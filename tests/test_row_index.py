@@ -1,4 +1,6 @@
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from support import SF_MID
@@ -96,3 +98,26 @@ def test_many_buckets_and_key_types_match_brute_force(spark):
     w = Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys])
     exp = dict(df.select("id", F.row_number().over(w)).collect())
     assert got == exp
+
+
+@pytest.mark.parametrize("n, buckets", [(60_000, 16), (300_000, 600)])
+def test_bounds_come_from_a_sketch(spark, n, buckets):
+    """Composite keys with ties: bounds ascend, and each bucket is off by the stated error at most."""
+    from veloscore.operators import indexing as ix
+    df = spark.range(n, numPartitions=7).select((F.col("id") * 7919 % 1000).alias("a"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("b"))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    bounds = ix._sketched_bounds(df, ["a", "b"], types, n, buckets)
+    assert len(bounds) == buckets - 1
+    key = F.struct("a", "b")
+    sizes = [r["count"] for r in df.groupBy(ix._bucket_expr(key, bounds).alias("x")).count().orderBy("x").collect()]
+    assert len(sizes) == buckets and sum(sizes) == n
+    off = np.abs(np.cumsum(sizes) / n - np.arange(1, buckets + 1) / buckets).max()
+    assert off <= ix.rank_error(n, buckets) + 2 / n
+    assert ix._levels(n, buckets)  # it did thin
+
+
+def test_sketch_of_a_hot_key(spark):
+    from veloscore.operators import indexing as ix
+    df = spark.range(50_000).select(F.when(F.col("id") % 3 == 0, F.lit(5.0)).when(F.col("id") % 1000 == 1, F.lit(None)).otherwise(F.col("id") / 7).alias("a"))
+    bounds = ix._sketched_bounds(df, ["a"], {"a": df.schema["a"].dataType}, 50_000, 30)
+    assert 15 <= len(bounds) <= 29 and len(set(bounds)) == len(bounds)

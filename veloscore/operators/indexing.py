@@ -2,7 +2,7 @@
 
 ``Window.orderBy`` with no partition moves every row into one task. Instead:
 
-1. draw a bounded sample of the ordering key, sort it in Spark, take ``B - 1`` bounds;
+1. sketch the ordering key's quantiles as an aggregate that merges (below), take ``B - 1`` bounds;
 2. give each row a bucket with a binary search over those literal bounds: an unrolled
    ``CASE WHEN key < bound ...`` tree (whole-stage codegen) for up to 64 buckets, else
    log2(B) steps of ``aggregate`` over a literal array; deterministic either way;
@@ -19,6 +19,12 @@ largest possible bucket is about one input split's worth of a single row value.
 ``unique=True`` (the caller's key has no ties) the tie-breakers are left out; the bounds and
 counts passes then read the key columns only.
 
+The sketch is of composite keys of any type. A bounded sample of the keys is dealt into groups; each
+group is thinned to every so-many-th key in Spark's own order, which then stands for those before it;
+the thinned groups are dealt into fewer groups, until one holds all, and its ``B``-quantiles are the
+bounds. Only those reach the driver. A thinning to m keys moves a rank by 1/m of the rows at most:
+see :func:`rank_error`.
+
 Bounds, counts and the final numbering all see the same deterministic bucket expression, so the
 offsets always match the rows (unlike a bucket read from ``spark_partition_id`` after a range
 shuffle, which is only valid while both branches share one exchange). Index before scoring:
@@ -134,6 +140,51 @@ def _bucket_expr(key: Column, bounds: list[str]) -> Column:
     return _bucket_search(key, bounds)
 
 
+#: Keys that one group of the sketch holds, at least; a thinned group keeps a quarter.
+SKETCH_GROUP = 4_096
+
+
+def _group_size(n_buckets: int) -> int:
+    return max(SKETCH_GROUP, 8 * n_buckets)
+
+
+def _levels(size: int, n_buckets: int) -> list[int]:
+    """The number of groups in each thinning before the last."""
+    full, out = _group_size(n_buckets), []
+    while size > full:
+        out.append(math.ceil(size / full))
+        size = out[-1] * (full // 4)
+    return out
+
+
+def rank_error(sampled: int, n_buckets: int) -> float:
+    """The largest share of the sampled keys by which a bound's rank can be off: a share of one
+    thinned key for each thinning. (Sampling adds its own, about 1 / sqrt(sampled).)"""
+    return len(_levels(sampled, n_buckets)) * 4 / _group_size(n_buckets)
+
+
+def _thinned(keys: DataFrame, groups: int, keep: int, salt: int) -> DataFrame:
+    """keys(k, w): of each group those at which the weight passes another ``keep``-th of its total, with
+    the weight passed, and ``cum``, the weight up to there."""
+    group = F.pmod(F.xxhash64("k", F.lit(salt)), F.lit(groups))
+    w = Window.partitionBy("g")
+    upto = w.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = keys.withColumn("g", group).select("k", "w", F.sum("w").over(upto).alias("cum"), F.sum("w").over(w).alias("total"))
+    step = lambda c: F.floor(c * keep / F.col("total") + 1e-9)
+    passed = step(F.col("cum")) - step(F.col("cum") - F.col("w"))
+    return cum.select("k", (passed * F.col("total") / keep).alias("w"), "cum").where(F.col("w") > 0)
+
+
+def _sketched_bounds(sample: DataFrame, names: list[str], types: dict[str, T.DataType], size: int, n_buckets: int) -> list[str]:
+    """SQL texts of up to ``n_buckets - 1`` bounds, ascending."""
+    keys = sample.select(F.struct(*names).alias("k"), F.lit(1.0).alias("w"))
+    for salt, groups in enumerate(_levels(size, n_buckets)):
+        keys = _thinned(keys, groups, _group_size(n_buckets) // 4, salt).select("k", "w")
+    last = _thinned(keys, 1, n_buckets, 0).select("k.*", "cum").select(*[_to_driver(c, types[c]) for c in names], "cum")
+    rows = sorted(last.collect(), key=lambda r: r["cum"])  # n_buckets rows at most
+    return list(dict.fromkeys(_bound_sql(row, names, types) for row in rows[:-1]))
+
+
 def row_index(df: DataFrame, order_by: list[str] | tuple[str, ...], col: str = "row_no", *,
               unique: bool = False, rows_per_bucket: int = 2_000_000, max_buckets: int = 16384,
               sample_per_bucket: int = 40, max_sample: int = 300_000, seed: int = 7) -> DataFrame:
@@ -142,10 +193,10 @@ def row_index(df: DataFrame, order_by: list[str] | tuple[str, ...], col: str = "
 
     The number of buckets grows with the row count (``rows_per_bucket``) up to ``max_buckets``
     and is at least four per shuffle partition (unless that makes buckets smaller than
-    ``MIN_BUCKET_ROWS``), so buckets spread evenly over tasks. At most
-    ``max_sample`` sampled keys reach the driver (``sample_per_bucket`` per bucket below that).
-    Three small jobs run when this is called: a row count (metadata only for Parquet), the
-    bounded key sample, and the per-bucket counts.
+    ``MIN_BUCKET_ROWS``), so buckets spread evenly over tasks. About ``max_sample`` sampled keys
+    at most (``sample_per_bucket`` per bucket below that) are sketched on the executors; the driver
+    gets the bounds. Three small jobs run when this is called: a row count (metadata only for
+    Parquet), the sketch, and the per-bucket counts.
     """
     order_by = list(order_by)
     missing = [c for c in order_by if c not in df.columns]
@@ -174,19 +225,8 @@ def row_index(df: DataFrame, order_by: list[str] | tuple[str, ...], col: str = "
     if n_buckets > 1:
         target = min(max_sample, sample_per_bucket * n_buckets)
         fraction = min(1.0, target / n)
-        # Bounded: about sample_per_bucket * n_buckets keys reach the driver, sorted by Spark
-        # so the bounds follow Spark's own ordering of every key type. The sample alone is
-        # moved to one task and sorted there (no range-partitioning job for it).
-        sample = (keyed.select(*key_names).sample(False, fraction, seed)
-                  .repartition(1).sortWithinPartitions(*key_names)
-                  .select(*[_to_driver(c, key_types[c]) for c in key_names]).collect())
-        if len(sample) > 2 * target:  # Bernoulli overshoot; keep the driver's share bounded
-            sample = sample[::math.ceil(len(sample) / target)]
-        picks = sorted({min(len(sample) - 1, (i * len(sample)) // n_buckets)
-                        for i in range(1, n_buckets)}) if sample else []
-        for i in picks:
-            row = sample[i]
-            bounds.append(_bound_sql(row, key_names, key_types))
+        sample = keyed.select(*key_names).sample(False, fraction, seed)
+        bounds = _sketched_bounds(sample, key_names, key_types, target, n_buckets)
     key = F.struct(*[F.col(c) for c in key_names])
     keyed = keyed.withColumn(_B, _bucket_expr(key, bounds))
 

@@ -37,11 +37,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
     Read from the session (``SparkContext.getCheckpointDir`` or ``spark.checkpoint.dir``). Only
-    when neither is set (a bare test session) is a private folder created and registered.
+    when neither is set in local mode (a bare test session) is a private folder created and
+    registered; on a cluster, where executors would not see it, that is an error.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="veloscore-ckpt-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
