@@ -251,15 +251,115 @@ def test_class_lm_beats_its_base(spark):
     assert unseen and sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def _words(text):
+    return ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+
+
+def _plain_classes(texts, k):
+    """Exchange with dictionaries: the classes of the best sweep, the number of sweeps, the bigrams."""
+    times = Counter(x for t in texts for x in t)
+    cls = {x: k - 1 for x in times}
+    for c, x in enumerate(sorted(times, key=lambda x: (-times[x], x.encode()))[:k - 2]):
+        cls[x] = c + 1
+    n, best, sweeps = sum(times.values()) + len(texts), (-math.inf, None, None), 0
+    while True:
+        table, left, right = Counter(), Counter(), Counter()
+        for t in texts:
+            now = [0, *(cls[x] for x in t), 0]
+            table.update(zip(now, now[1:]))
+            left.update((x, now[i]) for i, x in enumerate(t))
+            right.update((x, now[i + 2]) for i, x in enumerate(t))
+        size = Counter()
+        for (_, c), m in table.items():
+            size[c] += m
+        p = lambda a, b: (table[a, b] + 4 * size[b] / n) / (size[a] + 4)
+        found = sum(m * math.log(m) for m in table.values()) - 2 * sum(m * math.log(m) for m in size.values())
+        gain = found - best[0]
+        if gain > 0:
+            best = (found, dict(cls), (dict(table), dict(size)))
+        if gain < class_lm.GAIN * n:
+            return best, sweeps, times
+        sweeps += 1
+        new = {}
+        for x in times:
+            value = {b: round(sum(m * math.log(p(c, b)) for (y, c), m in left.items() if y == x) + sum(m * math.log(p(b, c)) for (y, c), m in right.items() if y == x) - times[x] * math.log(size[b]), 6) for b in sorted(size) if b}
+            top = max(value.values())
+            new[x] = cls[x] if value[cls[x]] >= top else next(b for b in value if value[b] == top)
+        cls = new
+
+
+@pytest.mark.parametrize("seed, k", [(1, 4), (2, 6)])
+def test_class_lm_is_brute_force(spark, monkeypatch, seed, k):
+    """Classes, sweeps and scores of a small corpus, in many blocks and buckets."""
+    monkeypatch.setattr(class_lm, "BLOCK", 60)
+    monkeypatch.setattr(class_lm, "TOLD", 0 if seed == 2 else 1 << 20)  # joined, and broadcast
+    rng = np.random.default_rng(seed)
+    noun, verb, rare = [f"n{i}" for i in range(8)], [f"v{i}" for i in range(6)], [f"é{i}" for i in range(40)]
+    rows = []
+    for i in range(90):
+        text = " ".join(w for _ in range(rng.integers(0, 12)) for w in (rng.choice(noun), rng.choice(verb) if rng.random() < 0.8 else rng.choice(rare)))
+        rows.append((i if i % 11 else None, text if i % 13 else None))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    held = [i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    texts = [_words(t) for (_, t), h in zip(rows, held, strict=True) if not h]
+    (_, cls, (table, size)), sweeps, times = _plain_classes(texts, k)
+    model = class_lm.Classes(df, k)
+    assert {r[0]: (r[1], r[2]) for r in model.words().collect()} == {x: (times[x], cls[x]) for x in times}
+    assert model.sweeps == sweeps >= 1
+    n, once = sum(times.values()) + len(texts), sum(m == 1 for m in times.values())
+    unseen = (once + 1) / (n + once + 2)
+
+    def score(text):
+        before, total = 0, 0.0
+        for x in [*_words(text), None]:
+            c = 0 if x is None else cls.get(x, -1)
+            share = size.get(c, 0) / n
+            if c < 0:
+                p = unseen
+            else:
+                p = (1 - unseen) * (share if before < 0 else (table.get((before, c), 0) + 4 * share) / (size[before] + 4)) * (1 if x is None else times[x] / size[c])
+            total += math.log10(p)
+            before = c
+        return total
+
+    got = sorted((repr(r.doc_id), round(r.score, 6)) for r in model.scores().collect())
+    assert got == sorted((repr(i), round(score(t), 6)) for i, t in rows)
+
+
+def test_class_lm_probabilities_sum_to_one(spark):
+    """Over all known words, an unknown one and the end, after any word."""
+    train = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10)
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    words = "a b c a b d e a b f".split()
+    rows = [(train, " ".join(words))] + [(held, f"b {x}") for x in sorted(set(words))] + [(held, "b zzz"), (held, "b")]
+    got = class_lm.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), 4)
+    by_text = sorted((r.n_tokens, r.score) for r in got.where(f"doc_id = {held}").collect())
+    model = class_lm.Classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 4)
+    cls = {r[0]: r[2] for r in model.words().collect()}
+    assert set(cls.values()) <= {1, 2, 3} and len(by_text) == 8
+    t = model.table
+    share = t.sum(0) / t.sum()
+    u = (model.once + 1) / (model.n + model.once + 2)
+    p = (1 - u) * class_lm.transitions(t)[cls["b"]]
+    assert p.sum() + u == pytest.approx(1) and share.sum() == pytest.approx(1)
+
+
 def test_exchange_finds_classes():
+    """Words 0-9 and 10-19 alternate; all begin in one class, but for one of each kind."""
     rng = np.random.default_rng(0)
-    table = np.zeros((21, 21), np.int64)
-    for _ in range(20000):  # words 1-10 and 11-20 alternate
-        a, b = rng.integers(1, 11), rng.integers(11, 21)
-        table[a, b] += 1
-        table[b, a] += 1
-    cls = class_lm.exchange(table, 3, sweeps=10)
-    assert cls[0] == 0 and len(set(cls[1:11])) == len(set(cls[11:])) == 1 and cls[1] != cls[11]
+    follows = np.zeros((20, 20), np.int64)
+    for _ in range(20000):
+        a, b = rng.integers(0, 10), rng.integers(10, 20)
+        follows[a, b] += 1
+        follows[b, a] += 1
+    cls = np.full(20, 3)
+    cls[0], cls[10] = 1, 2
+    for _ in range(5):
+        hot = np.eye(4, dtype=np.int64)[cls]
+        table = hot.T @ follows @ hot
+        counts = np.concatenate([follows.T @ hot, follows @ hot], axis=1).astype(float)
+        cls = class_lm.best_classes(counts, follows.sum(0), cls, table)
+    assert len(set(cls[:10])) == len(set(cls[10:])) == 1 and cls[0] != cls[10]
 
 
 def test_gradients_are_right():

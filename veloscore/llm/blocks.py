@@ -7,6 +7,8 @@ costs one entry a block. A bucket answers all blocks; blocks read their own answ
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, for what is read more than once or in part."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_block(df: DataFrame, by: Column, n: int) -> DataFrame:
     return df.withColumn("block", F.pmod(by, F.lit(n)).cast("int"))
 

@@ -38,10 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veloscore.session import checkpoint_root
-
 from . import words as w
-from .blocks import parts, saved
+from .blocks import parts, saved, written
 from .components import connected_components
 
 SHINGLE = 5
@@ -89,26 +87,6 @@ def _keys(s: np.ndarray) -> np.ndarray:
     return s >> np.uint64(64 - KEY_BITS)
 
 
-def _packed_keys(keys: np.ndarray, many: np.ndarray) -> bytes:
-    """Sorted keys as gaps, byte by byte: the upper bytes of small gaps are all zero and pack to nothing."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T)
-    return w.pack(many=many, **{f"b{k}": planes[k] for k in range(8)})
-
-
-def _unpacked_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    asked = w.unpack(data)
-    planes = np.stack([w.column(asked, f"b{k}") for k in range(8)], 1)
-    return np.cumsum(np.ascontiguousarray(planes).view(np.uint64).ravel()), w.column(asked, "many")
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """df as Parquet in the shared folder; no lost executor takes it away."""
-    path = f"{checkpoint_root(df.sparkSession)}/ngram-join-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _read(doc_type: pa.DataType):
     """Kind 0: rows of documents. Kinds 1 and 2: a block's distinct texts, and the keys that it asks
     about with the number of its sets that hold each."""
@@ -123,7 +101,7 @@ def _read(doc_type: pa.DataType):
         keys = np.sort(_keys(np.concatenate(sets)))
         new = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
         many = np.minimum(np.diff(np.append(new, len(keys))), 0xFFFF).astype(np.uint16)
-        asked = _packed_keys(keys[new], many)
+        asked = w.pack_sorted(keys[new], many)
         return rows(kind=[1, 2], block=[name, name], data=[w.pack(text=pa.concat_arrays(texts)), asked])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,11 +136,11 @@ def _split(buckets: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                keys, many = _unpacked_keys(data)
+                keys, many = w.unpack_sorted(data)
                 bounds = np.array([-(-(b << KEY_BITS) // buckets) for b in range(buckets + 1)], np.uint64)
                 cut = np.searchsorted(keys, bounds)
                 some = np.flatnonzero(np.diff(cut))
-                pieces = [_packed_keys(keys[a:b], many[a:b]) for a, b in zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True)]
+                pieces = [w.pack_sorted(keys[a:b], many[a:b]) for a, b in zip(cut[some].tolist(), cut[some + 1].tolist(), strict=True)]
                 yield pa.record_batch([pa.array(some, pa.int32()), pa.array([name] * len(some)), pa.array(pieces, pa.binary())], names=["bucket", "block", "data"])
 
     return split
@@ -174,7 +152,7 @@ def _tell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         names += batch.column("block").to_pylist()
         for data in batch.column("data").to_pylist():
-            for have, got in zip((asked, many), _unpacked_keys(data), strict=True):
+            for have, got in zip((asked, many), w.unpack_sorted(data), strict=True):
                 have.append(got)
     keys, sets = np.concatenate(asked), np.concatenate(many)
     order = np.argsort(keys, kind="stable")
@@ -329,12 +307,12 @@ def _across(still_open: DataFrame, percent: int) -> DataFrame:
 def _components_of_sets(texts: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     """cls, root: of the sets that have partners, the components of their links."""
     posted = texts.join(told, "block").groupBy("block").applyInArrow(_post(percent), "kind int, token long, gid long, n long, at long, cls binary, sig binary, data binary")
-    posted = _written(posted)
+    posted = written(posted, "ngram-posted")
     posts = posted.where("kind = 0").select("token", "gid", "n", "at").distinct()
     posts = saved(posts.join(posts.groupBy("token").count().where("count > 1").select("token"), "token"))
     sets = posted.where("kind = 1").select("cls", "gid", "n", "sig", "data").dropDuplicates(["cls"])
     several = posted.where("kind = 1").groupBy("gid").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most")
-    sets = _written(sets.join(posts.select("gid").union(several.select("gid")).distinct(), "gid", "left_semi"))
+    sets = written(sets.join(posts.select("gid").union(several.select("gid")).distinct(), "gid", "left_semi"), "ngram-sets")
     leaders = saved(sets.groupBy("gid").agg(F.min("cls").alias("leader"), F.count("*").alias("sets")))
     ga, gb = (leaders.select(F.col("gid").alias(f"{k}_gid"), F.col("leader").alias(k)) for k in ("a", "b"))
 
@@ -360,7 +338,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = docs.select("doc_id", "text")
     kind = dict(named.dtypes)["doc_id"]
     doc_type = pa.schema(named.limit(0).toArrow().schema).field("doc_id").type
-    read = _written(named.mapInArrow(_read(doc_type), f"kind int, doc_id {kind}, n_shingles long, cls binary, block string, data binary"))
+    read = written(named.mapInArrow(_read(doc_type), f"kind int, doc_id {kind}, n_shingles long, cls binary, block string, data binary"), "ngram-read")
     rows = read.where("kind = 0").select("doc_id", "n_shingles", "cls")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(parts(docs.sparkSession), -(-total // BUCKET))

@@ -181,6 +181,20 @@ def unpack(blob: bytes) -> pa.RecordBatch:
         return r.read_next_batch()
 
 
+def pack_sorted(keys: np.ndarray, many: np.ndarray) -> bytes:
+    """Ascending keys with a number each. The keys go as gaps, byte by byte: the upper bytes of small
+    gaps are all zero and pack to nothing."""
+    gaps = np.diff(keys.astype(U64, copy=False), prepend=U64(0))
+    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T)
+    return pack(many=many, **{f"b{k}": planes[k] for k in range(8)})
+
+
+def unpack_sorted(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    have = unpack(blob)
+    planes = np.stack([column(have, f"b{k}") for k in range(8)], 1)
+    return np.cumsum(np.ascontiguousarray(planes).view(U64).ravel()), column(have, "many")
+
+
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
