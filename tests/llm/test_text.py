@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import math
 import re
@@ -218,6 +219,64 @@ def test_warc_folded_and_unknown_charset():
     assert warc.plain_text("<p>hi</p>") == "hi" and len(warc.derive(record)) == 2 and warc.derive(record) == warc.derive(record)
 
 
+def _response(head, payload):
+    return warc.build([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>")], b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + payload)
+
+
+def _conversion(head, payload):
+    found = {r["warc_type"]: r for r in warc.derive(_response(head, payload))}
+    if "conversion" not in found:
+        assert found["metadata"]["concurrent_to"] is None and b"Concurrent" not in found["metadata"]["record"]
+        return None
+    return warc.parse(found["conversion"]["record"])[1].decode()
+
+
+def test_warc_codings():
+    html = b"<p>h\xc3\xa9llo</p><p>there</p>"
+    want = "h\u00e9llo\nthere"
+    chunked = b"5\r\n" + html[:5] + b"\r\n%x;x=1\r\n" % (len(html) - 5) + html[5:] + b"\r\n0\r\n\r\n"
+    packed = gzip.compress(html[:9]) + gzip.compress(html[9:])
+    for head, body in ((b"Transfer-Encoding: chunked", chunked), (b"Content-Encoding: gzip", packed), (b"Content-Encoding: deflate", zlib.compress(html)), (b"Content-Encoding: deflate", zlib.compress(html)[2:-4]),
+                       (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", b"%x\r\n" % len(packed) + packed + b"\r\n0\r\n\r\n"), (b"Transfer-Encoding: chunked", html), (b"X: y", html)):
+        assert _conversion(head, body) == want, head
+    assert _conversion(b"Content-Encoding: br", html) is None
+    record = _response(b"Transfer-Encoding: chunked", chunked)
+    assert warc.derive(record)[0]["source_digest"] == warc.digest(html)
+    assert warc.unchunked(b"ff\r\nshort") == b"short" and warc.unchunked(b"") == b""
+    assert warc.uncoded(packed[:-12], "gzip") is not None and warc.uncoded(b"junk", "gzip") is None
+
+
+def test_warc_content_types():
+    png = b"\x89PNG\r\n\x1a\n\0\0"
+    assert _conversion(b"Content-Type: image/png", png) is None and _conversion(b"X: y", png) is None
+    assert _conversion(b"Content-Type: text/plain", b"a <x> b &amp;\n c") == "a <x> b &amp;\n c"
+    assert _conversion(b"Content-Type: application/ld+json", b'{"a": "<b>"}') == '{"a": "<b>"}'
+    assert _conversion(b"X: y", b"  <p>a</p>") == "a" and _conversion(b"X: y", b"a < b") == "a < b"
+    assert _conversion(b"Content-Type: text/html", b"<meta charset=latin-1><p>\xe9</p>") == "\u00e9"
+
+
+def test_warc_ids_of_pages_that_share_a_name(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>b</p>"), (1, "u", "<p>b</p>")], "page_id bigint, url string, html string").withColumn("record", F.lit("x")).withColumn("Made", F.lit(1))
+    got = warc.archive_of(pages).collect()
+    assert len(got) == 6 and len({r.record_id for r in got}) == 4 and len({r.refers_to for r in got}) == 2
+    assert warc.archive_of(pages.limit(0)).collect() == []
+
+
+def test_warc_page_text():
+    text, links = warc.read_page("<title>T</title><p>a<b>b</b> c<br>d<script>x<p></script><!-- <a href=no> --><a href='u&amp;v'>l</a><template><a href=no>t</a></template><a>n</a><noscript>y")
+    assert text == "T\nab c\nd l n" and links == ["u&v"]
+
+
+@pytest.mark.parametrize("page", ["<a ", "<div", "<a href=x>", "<script>", "<!--", "<p>&amp;"])
+def test_warc_is_linear(page):
+    took = []
+    for n in (10_000, 40_000):
+        start = time.process_time()
+        warc.read_page(page * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * took[0] + 0.3
+
+
 def test_mixing(docs, empty):
     got = mixing.curriculum(docs).collect()
     assert len(got) == docs.count() and mixing.curriculum(empty).collect() == []
