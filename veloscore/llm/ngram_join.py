@@ -50,6 +50,8 @@ BLOCK = 1 << 20
 BUCKET = 4 << 20
 #: Bits by which buckets know a shingle.
 KEY_BITS = 36
+#: Words of 64 bits in the map of a set that joins of groups compare.
+MAPS = 8
 #: Centres drawn for the groups of one shingle and size.
 CENTRES = 2
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -167,7 +169,7 @@ def _tell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _post(percent: int):
-    kinds = {"kind": pa.int32(), "token": pa.int64(), "gid": pa.int64(), "n": pa.int64(), "at": pa.int64(), "cls": pa.binary(), "sig": pa.binary(), "data": pa.binary()}
+    kinds = {"kind": pa.int32(), "token": pa.int64(), "gid": pa.int64(), "n": pa.int64(), "at": pa.int64(), "cls": pa.binary(), "sig": pa.binary(), "data": pa.binary(), **{f"m{k}": pa.int64() for k in range(MAPS)}}
 
     def post(key: tuple, table: pa.Table) -> pa.Table:
         """A block's postings (kind 0) and the sets that have any (kind 1)."""
@@ -175,7 +177,7 @@ def _post(percent: int):
         level = np.concatenate([w.column(w.unpack(x["data"]), "level") for x in table.column("told")[0].as_py()])
         sets = list(shingle_sets(texts))
         keys = np.unique(_keys(np.concatenate(sets)))
-        posted, kept = [np.zeros((4, 0), np.int64)], {"gid": [], "n": [], "cls": [], "sig": [], "data": []}
+        posted, kept = [np.zeros((4, 0), np.int64)], {c: [] for c in ("gid", "n", "cls", "sig", "data", *(f"m{k}" for k in range(MAPS)))}
         for s in sets:
             own = level[np.searchsorted(keys, _keys(s))]
             first = np.argsort(own, kind="stable")[:len(s) - -(-percent * len(s) // 100) + 1]
@@ -185,7 +187,7 @@ def _post(percent: int):
             group = w.mix(w.mix(s[first]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0]
             same = np.full(len(at), 1, np.int64)
             posted.append(np.stack([s[first][at].view(np.int64), same * group, same * len(s), at]))
-            for c, x in zip(kept, (group, len(s), _name(_fingerprint(s)), _signature(s), s.tobytes()), strict=True):
+            for c, x in zip(kept, (group, len(s), _name(_fingerprint(s)), _signature(s), s.tobytes(), *_map(s)), strict=True):
                 kept[c].append(x)
         token, gid, n, at = np.concatenate(posted, axis=1)
         p, q = len(token), len(kept["gid"])
@@ -210,6 +212,12 @@ def _signature(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def _map(s: np.ndarray) -> list[int]:
+    """A parity bit map of MAPS words, whatever the set's size."""
+    at = (w.mix(s + _SEED) % np.uint64(64 * MAPS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * MAPS) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def _may_link(percent: int):
     """Bits in which two parity maps differ are never more than the members in one set alone, of
     which linked sets have at most (100 - percent) / (100 + percent) of their sizes' sum."""
@@ -290,27 +298,32 @@ def _drawn(posts: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid")).distinct()
 
 
-def _across(still_open: DataFrame, percent: int) -> DataFrame:
-    """All pairs of groups that share a shingle, lie in several components and pass the filters. One
-    group of a pair is outside the shingle's largest component, so that is never paired with itself."""
+def _across(still_open: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of groups that share a shingle, lie in several components and pass the filters: of
+    size, position and, for groups of one set, of parity maps (see _may_link). One group of a pair is
+    outside the shingle's largest component, so that is never paired with itself."""
+    maps = [f"m{k}" for k in range(MAPS)]
+    still_open = still_open.join(sets.groupBy("gid").agg(*(F.when(F.count("*") == 1, F.min(m)).alias(m) for m in maps)), "gid")
     parts_of = still_open.groupBy("token", "low").agg(F.count("*").alias("m"))
     largest = parts_of.groupBy("token").agg(F.max(F.struct("m", "low")).alias("big")).select("token", F.col("big.low").alias("big"))
     marked = still_open.join(largest, "token").withColumn("in_big", F.expr("low = big and high = big"))
-    marked = saved(marked.select("token", "gid", "n", "at", "low", "high", "in_big"))
-    x, y = (marked.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("gid", "n", "at", "low", "high", "in_big"))) for k in ("a", "b"))
+    marked = saved(marked.select("token", "gid", "n", "at", "low", "high", "in_big", *maps))
+    x, y = (marked.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("gid", "n", "at", "low", "high", "in_big", *maps))) for k in ("a", "b"))
+    differ = " + ".join(f"bit_count(a_{m} ^ b_{m})" for m in maps)
+    alike = f"coalesce({100 + percent} * ({differ}) <= {100 - percent} * (a_n + b_n), true)"
     once = "(b_in_big or a_gid < b_gid) and a_gid <> b_gid"
     apart = "not (a_low = a_high and b_low = b_high and a_low = b_low)"
-    pairs = x.where("not a_in_big").join(y, "token").where(f"{once} and {apart} and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)").where(_position_fits(percent))
+    pairs = x.where("not a_in_big").join(y, "token").where(f"{once} and {apart} and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)").where(_position_fits(percent)).where(alike)
     return pairs.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid")).distinct()
 
 
 def _components_of_sets(texts: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     """cls, root: of the sets that have partners, the components of their links."""
-    posted = texts.join(told, "block").groupBy("block").applyInArrow(_post(percent), "kind int, token long, gid long, n long, at long, cls binary, sig binary, data binary")
+    posted = texts.join(told, "block").groupBy("block").applyInArrow(_post(percent), "kind int, token long, gid long, n long, at long, cls binary, sig binary, data binary, " + ", ".join(f"m{k} long" for k in range(MAPS)))
     posted = written(posted, "ngram-posted")
     posts = posted.where("kind = 0").select("token", "gid", "n", "at").distinct()
     posts = saved(posts.join(posts.groupBy("token").count().where("count > 1").select("token"), "token"))
-    sets = posted.where("kind = 1").select("cls", "gid", "n", "sig", "data").dropDuplicates(["cls"])
+    sets = posted.where("kind = 1").drop("kind", "token", "at").dropDuplicates(["cls"])
     several = posted.where("kind = 1").groupBy("gid").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most")
     sets = written(sets.join(posts.select("gid").union(several.select("gid")).distinct(), "gid", "left_semi"), "ngram-sets")
     leaders = saved(sets.groupBy("gid").agg(F.min("cls").alias("leader"), F.count("*").alias("sets")))
@@ -322,7 +335,7 @@ def _components_of_sets(texts: DataFrame, told: DataFrame, percent: int) -> Data
 
     # what is still open: all pairs across components, and those that the sets of one group give
     placed = _placed(sets, links)
-    groups = _across(_still_open(posts, placed), percent)
+    groups = _across(_still_open(posts, placed), sets, percent)
     x, y = (placed.select(F.col("gid").alias(f"{k}_gid"), F.col("cls").alias(k), F.col("part").alias(f"{k}_part")) for k in ("a", "b"))
     rest = groups.join(x, "a_gid").join(y, "b_gid").where("a_part <> b_part").select("a", "b")
     mixed = placed.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("gid")
