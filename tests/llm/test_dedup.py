@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 
 from veloscore.llm import cover_tree, line_dedup, ngram_join, substring_dedup
@@ -205,6 +206,21 @@ def test_cover_tree_prunes():
     assert (pairs == (x @ x.T >= 0.99)).all()
 
 
+def test_cover_tree_drops_far_blocks_before_vectors_travel(spark):
+    """Forty tight clusters: only blocks of near cells are paired, and no linked pair is lost."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 24))
+    data = [(i, (centres[i % 40] + rng.normal(scale=0.05, size=24)).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").withColumn("cls", F.lit("x")).withColumn("block", F.lit(1)).withColumn("links", F.lit(2)).withColumn("Vector", F.lit(3))
+    assert table(cover_tree.near_duplicates(df, block=20), "vec_id", "n_links", "component_id", "kept") == brute_vectors(data)
+    classes = df.select(F.col("vec_id").cast("string").alias("cls"), F.lit(1).cast("long").alias("n"), F.col("embedding").alias("vector"), F.lit(24).alias("width"))
+    limit = float(np.sqrt(2 - 2 * 0.9))
+    planted, near = cover_tree.planted_blocks(classes, 20, limit)
+    blocks, pairs = planted.count(), cover_tree.block_pairs(planted, near, limit).count()
+    assert blocks >= 80 and blocks <= pairs < 0.15 * blocks * (blocks + 1) / 2
+    assert len(near) < 0.3 * 80 * 81 / 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

@@ -2,16 +2,19 @@
 
 Vectors are scaled to length 1, where a cosine of ``c`` is a Euclidean distance of
 sqrt(2 - 2c). Equal vectors are one class, counted once with its number of rows. Classes are dealt
-into blocks of bounded size, and each block is a cover tree, built once: nested levels of centres, radii halved
-from level to level, every node with the true distance to its farthest member. Two trees (or one
-with itself) are searched from the root down: a pair of nodes whose balls lie farther apart than
+to cells by the nearest of a bounded number of pivots, and cells into blocks of bounded size. Each
+block is a cover tree, built once: nested levels of centres, radii halved from level to level, every
+node with the true distance to its farthest member. Pairs of cells, then pairs of blocks, whose balls
+lie farther apart than the threshold are dropped before any vector travels. Two trees (or one with
+itself) are searched from the root down: a pair of nodes whose balls lie farther apart than
 the threshold is pruned, a pair whose balls lie wholly within it links all its members at once, and
 the rest splits into pairs of children, down to single vectors, whose cosine is computed in double
 precision. Bounds are used only if they hold by more than rounding error.
 
 A pair of blocks gives back, for each class, how many rows it links with, and a spanning forest of
 its links, so a group of copies of any size costs rows in proportion to its members and not to its
-pairs. No set is broadcast and nothing is collected; the pairs of blocks are dealt over all tasks.
+pairs. The driver gets the pivots and the cells' radii, both of bounded size; the pairs of blocks are
+dealt over all tasks.
 Vectors in general position cannot be pruned above their own scale, which is why the work, though
 not the rows, grows with the number of block pairs that the bounds leave.
 
@@ -24,10 +27,11 @@ are null. Extra columns are never read, whatever their names; an empty table giv
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as w
@@ -37,6 +41,10 @@ from .components import connected_components
 COSINE = 0.9
 #: Distinct vectors in one tree.
 BLOCK = 4096
+#: Pivots for vectors of one length, which every task of one stage holds, and vectors drawn for each, of
+#: which the driver chooses.
+PIVOTS = 1024
+DRAWN = 8
 #: What rounding can add to a distance between vectors of length 1.
 SLACK = 1e-6
 #: Node pairs that are looked at together.
@@ -231,7 +239,7 @@ def _unit(values: np.ndarray) -> np.ndarray:
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
-_PLANTED = "width int, block int, data binary"
+_PLANTED = "width int, block long, data binary, centre array<double>, radius double"
 _FOUND = "cls string, links bigint, other string"
 
 
@@ -241,8 +249,86 @@ def _plant(key: tuple, table: pa.Table) -> pa.Table:
     vector = pa.concat_arrays(table.column("vector").chunks)
     order = np.argsort(names)
     values = vector.flatten().to_numpy().reshape(len(names), -1)[order]
-    data = pickle.dumps((names[order], table.column("n").to_numpy()[order], values, CoverTree(_unit(values))))
-    return pa.table({"width": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
+    unit = _unit(values)
+    tree = CoverTree(unit)
+    data = pickle.dumps((names[order], table.column("n").to_numpy()[order], values, tree))
+    centre, radius = unit[tree.centre[0][0]], float(tree.radius[0][0])
+    return pa.table({"width": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([data], pa.binary()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius])})
+
+
+def _cells(pivots: dict[int, np.ndarray]):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nearest pivot of each vector, and how far it is."""
+        for batch in batches:
+            width, vector = (batch.column(batch.schema.get_field_index(c)) for c in ("width", "vector"))
+            width = width.to_numpy()
+            cell, gap = np.zeros(len(width), np.int64), np.zeros(len(width))
+            for k in np.unique(width).tolist():
+                every = np.flatnonzero(width == k)
+                for at in (every[i:i + 2048] for i in range(0, len(every), 2048)):
+                    far = _distance(_unit(np.asarray(vector.take(pa.array(at)).flatten()).reshape(-1, k)), pivots[k])
+                    cell[at], gap[at] = far.argmin(1), far.min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(gap)], names=[*batch.schema.names, "cell", "gap"])
+
+    return deal
+
+
+def _spread(unit: np.ndarray, k: int) -> np.ndarray:
+    """k of some vectors, each the farthest from those before, so that no cluster is without one."""
+    chosen, far = [0], _distance(unit, unit[:1])[:, 0]
+    while len(chosen) < min(k, len(unit)):
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, _distance(unit, unit[chosen[-1:]])[:, 0])
+    return unit[chosen]
+
+
+def _near_cells(pivots: dict[int, np.ndarray], radius: dict[int, np.ndarray], limit: float) -> list[tuple[int, int, int]]:
+    """width, cell, cell of those whose balls come within the limit; a cell without vectors has radius -1."""
+    out = []
+    for k, p in pivots.items():
+        near = _distance(p, p) <= limit + radius[k][:, None] + radius[k][None] + SLACK
+        near &= (radius[k] >= 0)[:, None] & (radius[k] >= 0)[None]
+        i, j = np.nonzero(np.triu(near))
+        out += [(k, a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    return out
+
+
+def block_pairs(planted: DataFrame, near: list[tuple[int, int, int]], limit: float) -> DataFrame:
+    """width, lo, hi of the blocks in near cells whose own balls come within the limit."""
+    meta = planted.select("width", "block", (F.col("block") % PIVOTS).alias("cell"), "centre", "radius")
+    x, y = (meta.select("width", *(F.col(c).alias(f"{s}_{c}") for c in ("block", "cell", "centre", "radius"))) for s in ("a", "b"))
+    cells = planted.sparkSession.createDataFrame(near, "width int, a_cell long, b_cell long")
+    dot = F.aggregate(F.zip_with("a_centre", "b_centre", lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    gap = F.sqrt(F.greatest(2 - 2 * dot, F.lit(0.0)))
+    close = (gap <= limit + F.col("a_radius") + F.col("b_radius") + SLACK) & ((F.col("a_cell") < F.col("b_cell")) | (F.col("a_block") <= F.col("b_block")))
+    pairs = cells.join(x, ["width", "a_cell"]).join(y, ["width", "b_cell"]).where(close)
+    return pairs.select("width", F.least("a_block", "b_block").alias("lo"), F.greatest("a_block", "b_block").alias("hi"))
+
+
+def planted_blocks(classes: DataFrame, block: int, limit: float) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """The trees of classes(cls, n, vector, width), and the pairs of cells that the limit leaves."""
+    spark = classes.sparkSession
+    widths = classes.groupBy("width").agg(F.least(F.ceil(F.count("*") / block), F.lit(PIVOTS)).alias("pivots"))
+    draw = Window.partitionBy("width").orderBy(F.xxhash64("cls"), "cls")
+    drawn = classes.withColumn("place", F.row_number().over(draw)).where(F.col("place") <= DRAWN * PIVOTS).join(widths, "width").where(f"place <= {DRAWN} * pivots")
+    found: dict[int, list] = {}
+    many = {}
+    for r in drawn.select("width", "pivots", "place", "vector").orderBy("width", "place").collect():
+        found.setdefault(r.width, []).append(r.vector)
+        many[r.width] = r.pivots
+    units = {k: _spread(_unit(np.array(v, float)), many[k]) for k, v in found.items()}
+    fields = ", ".join(f"{c} {t}" for c, t in classes.dtypes)
+    dealt = saved(classes.mapInArrow(_cells(units), f"{fields}, cell long, gap double"))
+    cells = dealt.groupBy("width", "cell").agg(F.max("gap").alias("radius"), F.ceil(F.count("*") / block).alias("parts"))
+    radius = {k: np.full(len(u), -1.0) for k, u in units.items()}
+    for r in cells.collect():
+        radius[r.width][r.cell] = r.radius
+    number = F.col("cell") + PIVOTS * F.pmod(F.xxhash64("cls"), F.col("parts"))
+    dealt = dealt.join(cells.select("width", "cell", "parts"), ["width", "cell"]).withColumn("block", number)
+    # every tree is built once, however many pairs its block is in
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    planted = saved(dealt.repartition(tasks, "width", "block").groupBy("width", "block").applyInArrow(_plant, _PLANTED))
+    return planted, _near_cells(units, radius, limit)
 
 
 def _search(cosine: float):
@@ -307,14 +393,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     rows = saved(rows.select("vec_id", "vector", F.when(F.col("vector").isNotNull(), F.sha2(F.to_json(F.struct("vector")).cast("binary"), 256)).alias("cls")))
     classes = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.any_value("vector").alias("vector"))
     classes = saved(classes.withColumn("width", F.size("vector")))
-    widths = classes.groupBy("width").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    dealt = classes.join(widths, "width").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    # every tree is built once, however many pairs its block is in
+    limit = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    planted, near = planted_blocks(classes, block, limit)
+    pairs = saved(block_pairs(planted, near, limit))
+    either = pairs.select("width", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    pairs = either.join(planted.select("width", "block", "data"), ["width", "block"])
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    planted = saved(dealt.repartition(tasks, "width", "block").groupBy("width", "block").applyInArrow(_plant, _PLANTED))
-    planted = planted.join(widths.select("width", "blocks"), "width")
-    partner = planted.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = partner.select("width", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "data")
     search = _search(cosine)
     # dealt by pair: by width alone, as the join leaves them, all pairs would be one task
     pairs = pairs.repartition(tasks, "lo", "hi")
