@@ -1,12 +1,12 @@
 import hashlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-
 from veloscore.llm import cover_tree, line_dedup, ngram_join, substring_dedup
 from veloscore.llm.components import connected_components
 
@@ -69,6 +69,18 @@ def brute_windows(data, size=35):
     return sorted(out, key=repr)
 
 
+def test_line_dedup_of_repeated_rows_matches_sql(spark):
+    """Rows equal in doc_id and text are one document: each gets the same result."""
+    t = "alpha\nbeta\ngamma\ndelta"
+    rows = [(1, t), (1, t), (2, t), (None, "x\n" + t), (None, "x\n" + t), (3, None), (3, None), (4, ""), (5, "alpha\nbeta"), (6, "q\n" * 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    got = sorted(map(repr, map(tuple, line_dedup.line_dedup(df).select("doc_id", "n_lines", "n_removed", "text").collect())))
+    assert got == sorted(map(repr, con.sql(line_dedup.ORACLE).fetchall()))
+    assert got.count(repr((1, 4, 4, ""))) == 2
+
+
 def test_substring_dedup_is_brute_force(docs):
     data = [(r.doc_id, r.text) for r in docs.collect()]
     assert table(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_windows(data)

@@ -3,7 +3,7 @@
 A text is split at line feeds, and every three consecutive lines are a window, known by a 128-bit
 hash of its lines. Of the places where a window starts, the one with the smallest (doc_id, hash of
 the text, line number) is the first, null ids before others; the window's lines go at all other
-places. The line ranges of a document's later windows are merged, and what lies between them stays.
+places. Very long texts are taken whole. The line ranges of a document's later windows are merged, and what lies between them stays.
 
 Windows are counted with a partial aggregate and joined back by hash, a join whose skewed keys
 Spark splits; no list of a window's places is ever built. A document's own ranges, at most one a
@@ -100,18 +100,19 @@ def keep_first_lines(docs: DataFrame) -> DataFrame:
     return done.select(*fields)
 
 
-#: The same in DuckDB SQL.
+#: The same in DuckDB SQL, rows equal in doc_id and text being one document. (Of different texts under one
+#: id it takes the first by code point, not by hash.)
 ORACLE = """
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-w AS (SELECT doc_id, pos, list_slice(lines, pos + 1, pos + 3) AS win
-      FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM d WHERE len(lines) >= 3)),
-r AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY win) AS n,
-             row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k FROM w),
-gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS line FROM r WHERE n > 1 AND k > 1),
-l AS (SELECT doc_id, unnest(lines) AS line_text, unnest(range(0, len(lines))) AS line FROM d),
-k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed,
+WITH d AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, text, pos, list_slice(lines, pos + 1, pos + 3) AS win
+      FROM (SELECT doc_id, text, lines, unnest(range(0, len(lines) - 2)) AS pos FROM d WHERE len(lines) >= 3)),
+r AS (SELECT doc_id, text, pos, count(*) OVER (PARTITION BY win) AS n,
+             row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, text, pos) AS k FROM w),
+gone AS (SELECT DISTINCT doc_id, text, unnest([pos, pos + 1, pos + 2]) AS line FROM r WHERE n > 1 AND k > 1),
+l AS (SELECT doc_id, text, unnest(lines) AS line_text, unnest(range(0, len(lines))) AS line FROM d),
+k AS (SELECT l.doc_id, l.text AS whole, count(*) AS n_lines, count(g.line) AS n_removed,
              coalesce(string_agg(line_text, chr(10) ORDER BY l.line) FILTER (g.line IS NULL), '') AS text
-      FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id)
+      FROM l LEFT JOIN gone g ON g.doc_id IS NOT DISTINCT FROM l.doc_id AND g.text = l.text AND g.line = l.line GROUP BY l.doc_id, l.text)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, k.text
-FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+FROM documents d LEFT JOIN k ON k.doc_id IS NOT DISTINCT FROM d.doc_id AND k.whole = d.text
 """
