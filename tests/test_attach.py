@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 
 from support import SF_SMALL
-from veloscore.operators import attach as at
-from veloscore.operators.attach import attach, held, score_attached
+from veloscore.operators import attaching as at
+from veloscore.operators.attaching import attach, held, score_attached
 from veloscore.operators.normalise import fit_normaliser
 from veloscore.operators.scoring import score
 from veloscore.plans.jobs import scored, timed_partitions, timed_stage

@@ -1,7 +1,7 @@
 """Row operators: feature split, normalisers, class labels and key (P1, P2), scoring (M1, M2) as
 columns, batches, joins or sequences, row index (P5), report."""
 
-from veloscore.operators.attach import attach, score_attached
+from veloscore.operators.attaching import attach, score_attached
 from veloscore.operators.features import split_features, tag_key
 from veloscore.operators.indexing import row_index
 from veloscore.operators.labels import decode_labels, encode_labels, label_dictionary

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from veloscore.functions.columns import to_int
 from veloscore.functions.sequence_sql import sequence_sql
 from veloscore.functions.sql import network_sql
-from veloscore.operators.attach import attach, score_attached
+from veloscore.operators.attaching import attach, score_attached
 from veloscore.operators.features import split_features, tag_key
 from veloscore.operators.indexing import row_index
 from veloscore.operators.labels import encode_labels, label_dictionary
