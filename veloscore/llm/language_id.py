@@ -40,6 +40,8 @@ SAMPLE_DOCS = 300
 SAMPLE_STRIPS = 20
 #: Languages that share a training step; more of them take as many more steps.
 STEP_LANGS = 64
+#: Languages whose bars are broadcast, some 50 bytes each; beyond, they are joined by language.
+BROADCAST_LANGS = 100_000
 #: Times the steps of STEP_LANGS languages that training takes at most, however many there are.
 MOST_TURNS = 8
 #: Strips that go through the network together; keeps a step's arrays in a core's cache.
@@ -280,6 +282,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, hidden: int = HIDDEN,
     # below its bar a language has about sample_docs rows, and its least draw
     bars = [(r.lang, max(r.least + 1, math.ceil(min(1.0, sample_docs / r.n) * (1 << 30)))) for r in counts]
     bars = docs.sparkSession.createDataFrame(bars, "lang string, bar long")
+    bars = F.broadcast(bars) if len(counts) <= BROADCAST_LANGS else bars
     drawn = usable.join(bars, "lang").where(draw < F.col("bar"))
     # rows that repeat draw alike, and count once
     rows = drawn.select(F.xxhash64("doc_id", "text").alias("at"), _drawn_strips(F.col("text")).alias("strips"), "lang").distinct().collect()
