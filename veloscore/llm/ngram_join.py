@@ -12,7 +12,8 @@ rarest first, two sets that link share one of their first ``n - ceil(0.75 n) + 1
    postings are stored once, the rest have no partner.
 3. Group pairs that pass the size and position filters are expanded to their distinct sets and
    verified: first by parity signatures, then by the sets. So are the distinct sets of a group.
-4. Every group is paired with drawn centres of each of its shingles, of its own size and the next.
+4. Every group is paired with drawn centres of each of its shingles, of its own size and the next, and
+   those that are outside a shingle's largest component with a few drawn groups of each other one.
    Only what these links have not joined can change the components: of the shingles whose groups
    still lie in several, all pairs across components that pass the filters are verified. Nothing that
    could join two components is left out.
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as w
@@ -50,6 +51,8 @@ BLOCK = 1 << 20
 BUCKET = 4 << 20
 #: Bits by which buckets know a shingle.
 KEY_BITS = 36
+#: Groups of a component that the others of a shingle are tried with before all.
+TRIED = 8
 #: Words of 64 bits in the map of a set that joins of groups compare.
 MAPS = 8
 #: Centres drawn for the groups of one shingle and size.
@@ -298,8 +301,9 @@ def _drawn(posts: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid")).distinct()
 
 
-def _across(still_open: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of groups that share a shingle, lie in several components and pass the filters: of
+def _across(still_open: DataFrame, sets: DataFrame, percent: int, tried: int | None = None) -> DataFrame:
+    """All pairs of groups (or, of each component of a shingle, only its first ``tried`` by hash, paired with the groups
+    outside the largest) that share a shingle, lie in several components and pass the filters: of
     size, position and, for groups of one set, of parity maps (see _may_link). One group of a pair is
     outside the shingle's largest component, so that is never paired with itself."""
     maps = [f"m{k}" for k in range(MAPS)]
@@ -312,6 +316,10 @@ def _across(still_open: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     differ = " + ".join(f"bit_count(a_{m} ^ b_{m})" for m in maps)
     alike = f"coalesce({100 + percent} * ({differ}) <= {100 - percent} * (a_n + b_n), true)"
     once = "(b_in_big or a_gid < b_gid) and a_gid <> b_gid"
+    if tried is not None:  # the same groups of a component for all its shingles, as far as they hold them
+        few = marked.withColumn("nth", F.row_number().over(Window.partitionBy("token", "low").orderBy(F.xxhash64("gid"), "gid"))).where(F.col("nth") <= tried)
+        y = few.select("token", *(F.col(c).alias(f"b_{c}") for c in ("gid", "n", "at", "low", "high", "in_big", *maps)))
+        once = "a_gid <> b_gid"
     apart = "not (a_low = a_high and b_low = b_high and a_low = b_low)"
     pairs = x.where("not a_in_big").join(y, "token").where(f"{once} and {apart} and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)").where(_position_fits(percent)).where(alike)
     return pairs.select(F.least("a_gid", "b_gid").alias("a_gid"), F.greatest("a_gid", "b_gid").alias("b_gid")).distinct()
@@ -333,6 +341,9 @@ def _components_of_sets(texts: DataFrame, told: DataFrame, percent: int) -> Data
     drawn = _drawn(posts, percent).join(ga, "a_gid").join(gb, "b_gid").select("a", "b")
     links = saved(_verified(inside.union(drawn.where("a <> b")).distinct(), sets, percent))
 
+    tried = _across(_still_open(posts, _placed(sets, links)), sets, percent, TRIED).join(ga, "a_gid").join(gb, "b_gid").select("a", "b")
+    links = saved(links.union(_verified(tried.where("a <> b"), sets, percent)))
+
     # what is still open: all pairs across components, and those that the sets of one group give
     placed = _placed(sets, links)
     groups = _across(_still_open(posts, placed), sets, percent)
