@@ -261,3 +261,28 @@ def test_small_tables_match_sql(spark):
         mine = sorted((tuple(r[n] for n in names) for r in got.collect()), key=repr)
         theirs = sorted((tuple(dict(zip(want.columns, r, strict=True))[n] for n in names) for r in want.fetchall()), key=repr)
         assert mine == theirs, name
+
+
+def test_cover_tree_search_holds_few_pairs_at_once():
+    # no bound prunes these: all lie at nearly one distance, on both sides of the threshold
+    import tracemalloc
+
+    draw = np.random.default_rng(7)
+    x = np.concatenate([np.full((1600, 1), 2.9), draw.normal(0, 0.125, (1600, 63))], 1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = cover_tree.CoverTree(x)
+    links = np.zeros(len(x), np.int64)
+    tracemalloc.start()
+    for kind, p, q in cover_tree.dual_traversal(x, tree, x, tree, 0.9, True):
+        if kind == "vectors":
+            np.add.at(links, p, 1)
+        else:
+            for a, b in zip(p[1], q[1], strict=True):
+                a0, a1 = tree.first[p[0]][a:a + 2]
+                b0, b1 = tree.first[q[0]][b:b + 2]
+                links[tree.order[a0:a1]] += b1 - b0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    exact = (np.einsum("ik,jk->ij", x, x) >= 0.9).sum(1)
+    assert links.sum() > len(x) and abs(links - exact).max() <= 1
+    assert peak < 120e6

@@ -47,8 +47,9 @@ PIVOTS = 1024
 DRAWN = 8
 #: What rounding can add to a distance between vectors of length 1.
 SLACK = 1e-6
-#: Node pairs that are looked at together.
-ABREAST = 1 << 20
+#: Node pairs that are expanded together, and those whose vectors are held side by side.
+ABREAST = 1 << 18
+BESIDE = 1 << 13
 
 
 class CoverTree:
@@ -134,8 +135,13 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
-def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.einsum("ij,ij->i", a, b)
+def _paired(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The cosines of x[i] and y[j], pair by pair; of all pairs, few vectors are copied at once."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), BESIDE):
+        s = slice(at, at + BESIDE)
+        np.einsum("ij,ij->i", x[i[s]], y[j[s]], out=out[s])
+    return out
 
 
 def dual_traversal(x: np.ndarray, tx: CoverTree, y: np.ndarray, ty: CoverTree, cosine: float, same: bool):
@@ -145,30 +151,34 @@ def dual_traversal(x: np.ndarray, tx: CoverTree, y: np.ndarray, ty: CoverTree, c
     limit = np.sqrt(max(0.0, 2 - 2 * cosine))
     depth = max(len(tx.centre), len(ty.centre))
     at = lambda tree, k: min(k, len(tree.centre) - 1)
-    stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64), False)]
     while stack:
-        level, a, b = stack.pop()
+        level, a, b, kept = stack.pop()
         la, lb = at(tx, level), at(ty, level)
-        ca, cb = x[tx.centre[la][a]], y[ty.centre[lb][b]]
-        gap = np.sqrt(np.maximum(2 - 2 * _paired(ca, cb), 0))
-        reach = tx.radius[la][a] + ty.radius[lb][b]
-        keep = gap <= limit + reach + SLACK
-        whole = keep & (gap + reach < limit - SLACK) & (reach > 0)
-        if whole.any():
-            yield "nodes", (la, a[whole]), (lb, b[whole])
-        a, b = a[keep & ~whole], b[keep & ~whole]
-        if level == depth - 1:
-            exact = _paired(x[tx.centre[la][a]], y[ty.centre[lb][b]]) >= cosine
-            yield "vectors", tx.centre[la][a[exact]], ty.centre[lb][b[exact]]
-            continue
-        if la == at(tx, level + 1) and lb == at(ty, level + 1):
-            stack.append((depth - 1, a, b))
-            continue
-        _split(stack, level, a, b, tx, ty, x, y, la, lb, limit, at)
+        if not kept:
+            dots = _paired(x, tx.centre[la][a], y, ty.centre[lb][b])
+            gap = np.sqrt(np.maximum(2 - 2 * dots, 0))
+            reach = tx.radius[la][a] + ty.radius[lb][b]
+            keep = gap <= limit + reach + SLACK
+            whole = keep & (gap + reach < limit - SLACK) & (reach > 0)
+            if whole.any():
+                yield "nodes", (la, a[whole]), (lb, b[whole])
+            keep &= ~whole
+            a, b = a[keep], b[keep]
+            if level == depth - 1:
+                exact = dots[keep] >= cosine
+                yield "vectors", tx.centre[la][a[exact]], ty.centre[lb][b[exact]]
+                continue
+            if la == at(tx, level + 1) and lb == at(ty, level + 1):
+                stack.append((depth - 1, a, b, False))
+                continue
+        if len(a):
+            _split(stack, level, a, b, tx, ty, x, y, la, lb, limit, at)
 
 
 def _split(stack, level, a, b, tx, ty, x, y, la, lb, limit, at):
-    """Pairs of children of pairs (a, b), pruned with one matrix product if a pair has many."""
+    """Pairs of children of the first of pairs (a, b), some ABREAST, pruned with one matrix product if a pair has many; the
+    other pairs wait as they are, so the stack holds no more than that for a level."""
     def children(tree, k, nodes):
         if k == at(tree, level + 1):
             return nodes, np.ones(len(nodes), np.int64)
@@ -177,6 +187,10 @@ def _split(stack, level, a, b, tx, ty, x, y, la, lb, limit, at):
     fa, na = children(tx, la, a)
     fb, nb = children(ty, lb, b)
     many = na * nb
+    stop = max(1, int(np.searchsorted(np.cumsum(many), ABREAST, "right")))
+    if stop < len(a):
+        stack.append((level, a[stop:], b[stop:], True))
+        a, b, fa, na, fb, nb, many = (v[:stop] for v in (a, b, fa, na, fb, nb, many))
     big = many > 4096
     ra, rb = tx.radius[at(tx, level + 1)], ty.radius[at(ty, level + 1)]
     # two balls are near enough if their centres' cosine is at least that of limit + radii
@@ -193,17 +207,12 @@ def _split(stack, level, a, b, tx, ty, x, y, la, lb, limit, at):
                 p, q = ka[found // len(kb)], kb[found % len(kb)]
                 own = dots[found] >= near(ra[p] + rb[q])
                 if own.any():
-                    stack.append((level + 1, p[own], q[own]))
-    a, b, fa, na, fb, nb, many = (v[~big] for v in (a, b, fa, na, fb, nb, many))
-    start = 0
-    ends = np.cumsum(many)
-    while start < len(a):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + ABREAST, "right")))
-        s = slice(start, stop)
-        pair = np.repeat(np.arange(start, stop), many[s])
-        inner = w.ranges(np.zeros(stop - start, np.int64), many[s])
-        stack.append((level + 1, fa[pair] + inner // nb[pair], fb[pair] + inner % nb[pair]))
-        start = stop
+                    stack.append((level + 1, p[own], q[own], False))
+    fa, na, fb, nb, many = (v[~big] for v in (fa, na, fb, nb, many))
+    if len(many):
+        pair = np.repeat(np.arange(len(many)), many)
+        inner = w.ranges(np.zeros(len(many), np.int64), many)
+        stack.append((level + 1, fa[pair] + inner // nb[pair], fb[pair] + inner % nb[pair], False))
 
 
 def _by_radius(radius: np.ndarray, nodes: np.ndarray) -> list[np.ndarray]:
