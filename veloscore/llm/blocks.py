@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from veloscore.session import checkpoint_root
 
+#: Narrow rows that a partition holds at least.
+PACKED = 1 << 14
+
 
 def parts(spark: SparkSession) -> int:
     """As many blocks, and buckets, as the session has shuffle partitions: one holds what the
@@ -29,6 +32,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than so many rows fill; each of them would be files of every shuffle."""
+    return df.coalesce(max(1, -(-rows // PACKED)))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, saved, and packed by its number of rows: for tables that may be small, of narrow rows."""
+    df = saved(df)
+    return packed(df, df.count())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, for what is read more than once or in part."""
     path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

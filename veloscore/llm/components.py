@@ -3,7 +3,8 @@
 Each round points every node at its smallest neighbour, follows the pointers once, replaces nodes
 by what they point at and drops edges inside a component. Edges at least halve their components
 each round, and a hub of many edges is a partial aggregate and a join that Spark can split, never
-a collected list.
+a collected list. Edges become few long before they are none, so every step is packed into the
+partitions that its rows fill: else each round would leave a set of files for every shuffle partition.
 """
 
 from __future__ import annotations
@@ -11,29 +12,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import saved
+from .blocks import packed, saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of any one orderable type -> (node, root): for each node that has an edge to
     another, one node of its component, the same for all of it. Empty edges give no rows."""
     edges = saved(edges.select("a", "b").where("a <> b").distinct())
-    found = None
-    while not edges.isEmpty():
+    found, rows = None, edges.count()
+    while rows:
+        edges = packed(edges, rows)
         both = edges.union(edges.select("b", "a"))
-        up = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root"))
+        # nodes are at most twice the edges
+        up = saved(packed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), 2 * rows))
         for _ in range(2):
             over = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            up = up.join(over, "root").select("node", F.col("next").alias("root"))
-        up = saved(up)
+            up = saved(packed(up.join(over, "root").select("node", F.col("next").alias("root")), 2 * rows))
         a = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = saved(edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        half = packed(edges.join(a, "a").select("b", "ra"), rows)
+        edges = saved(packed(half.join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), rows))
         if found is None:
-            found = up
+            found, nodes = up, 2 * rows
         else:
             later = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            found = saved(found.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+            found = saved(packed(found.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root")), nodes))
+        rows = edges.count()
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found

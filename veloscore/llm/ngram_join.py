@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as w
-from .blocks import parts, saved, written
+from .blocks import parts, saved, settled, written
 from .components import connected_components
 
 SHINGLE = 5
@@ -277,7 +277,7 @@ def _position_fits(percent: int) -> str:
 def _placed(sets: DataFrame, links: DataFrame) -> DataFrame:
     """cls, gid, part: sets with the component that these links give them."""
     joined = connected_components(links).withColumnRenamed("node", "cls")
-    return saved(sets.select("cls", "gid").join(joined, "cls", "left").select("cls", "gid", F.coalesce("root", "cls").alias("part")))
+    return settled(sets.select("cls", "gid").join(joined, "cls", "left").select("cls", "gid", F.coalesce("root", "cls").alias("part")))
 
 
 def _still_open(posts: DataFrame, placed: DataFrame) -> DataFrame:
@@ -334,15 +334,15 @@ def _components_of_sets(texts: DataFrame, told: DataFrame, percent: int) -> Data
     sets = posted.where("kind = 1").drop("kind", "token", "at").dropDuplicates(["cls"])
     several = posted.where("kind = 1").groupBy("gid").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most")
     sets = written(sets.join(posts.select("gid").union(several.select("gid")).distinct(), "gid", "left_semi"), "ngram-sets")
-    leaders = saved(sets.groupBy("gid").agg(F.min("cls").alias("leader"), F.count("*").alias("sets")))
+    leaders = settled(sets.groupBy("gid").agg(F.min("cls").alias("leader"), F.count("*").alias("sets")))
     ga, gb = (leaders.select(F.col("gid").alias(f"{k}_gid"), F.col("leader").alias(k)) for k in ("a", "b"))
 
     inside = sets.select("cls", "gid").join(leaders.where("sets > 1"), "gid").where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
     drawn = _drawn(posts, percent).join(ga, "a_gid").join(gb, "b_gid").select("a", "b")
-    links = saved(_verified(inside.union(drawn.where("a <> b")).distinct(), sets, percent))
+    links = settled(_verified(inside.union(drawn.where("a <> b")).distinct(), sets, percent))
 
     tried = _across(_still_open(posts, _placed(sets, links)), sets, percent, TRIED).join(ga, "a_gid").join(gb, "b_gid").select("a", "b")
-    links = saved(links.union(_verified(tried.where("a <> b"), sets, percent)))
+    links = settled(links.union(_verified(tried.where("a <> b"), sets, percent)))
 
     # what is still open: all pairs across components, and those that the sets of one group give
     placed = _placed(sets, links)
