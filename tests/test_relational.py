@@ -100,3 +100,34 @@ def test_broken_tables_are_refused(spark, change, message):
         score_relational(df, broken)
     with pytest.raises(ValueError, match="several"):
         score_relational(df, table.union(table.withColumn("model_id", F.lit("other"))))
+
+
+def test_small_layers_deal_whole_rows_once(spark, monkeypatch):
+    """However many small layers and blocks, rows are shuffled three times: dealt, and joined back."""
+    acts = ("relu", "tanh", "linear", "sigmoid")
+    model = _network(seed=4, widths=(7, 5, 6, 4, 1), acts=acts)
+    df, x = _rows(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = score_relational(df, model.to_frame(spark), block=2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sum("Exchange hashpartitioning(__" in line for line in plan.splitlines()) == 2
+        assert sum("Exchange hashpartitioning(salt" in line for line in plan.splitlines()) == 1 + len(acts)
+        got = _values(out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for (i, _, p), (_, _, q) in zip(got, _values(score(df, model)), strict=True):
+        assert (p is None) == (q is None) and (p is None or np.allclose([p, p], [q, model.forward(x[i][None])[0][0]], atol=1e-12))
+
+
+def test_small_layers_have_the_sums_of_blocks(spark, monkeypatch):
+    from veloscore.operators import relational
+
+    model = _network(seed=5, widths=(9, 4, 3, 5, 2), acts=("tanh", "relu", "sigmoid", "linear"))
+    df, _ = _rows(spark, width=9)
+    got = {}
+    for tile, chained in ((relational.TILE, 8), (relational.TILE, 1), (13, 8), (0, 8)):
+        monkeypatch.setattr(relational, "TILE", tile)
+        monkeypatch.setattr(relational, "CHAINED", chained)
+        got[tile, chained] = _values(score_relational(df, model.to_frame(spark), block=2))
+    assert all(v == got[0, 8] for v in got.values())

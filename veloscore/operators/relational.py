@@ -10,10 +10,15 @@ is a blocked matrix product:
 * bias and activation follow, layer-wide ones (softmax, normalise) from sums for each row, and the
   units are put together into blocks for the next layer.
 
+The first layers need less if each has at most TILE weights and no layer-wide activation: such a layer
+is one record, which goes to every salt, and a row's blocks stay together, so that its partial sums
+are added where they are made, in the same order, and only whole rows are dealt, once for all these
+layers up to CHAINED.
+
 Input blocks are few, so they alone would be hot keys: rows are dealt over as many salts as the
 shuffle has partitions, and each weight block goes to every salt. A layer of n rows, U units and I
 inputs moves n * U * I / BLOCK partial sums; the rows' own columns wait beside it and are joined
-back by row number at the end. Every layer's values are written to the shared scratch folder, so a lost
+back by row number at the end. Every layer's values (of such first layers, every CHAINED) are written to the shared scratch folder, so a lost
 executor repeats one layer at most.
 """
 
@@ -32,6 +37,11 @@ from veloscore.sources.model_table import (MAX_UNITS, MAX_WEIGHTS, NORMALISER_LA
 
 #: Inputs in one block of weights or values.
 BLOCK = 256
+#: Weights of a layer that is one record, and salts that it goes to for each shuffle partition.
+TILE = 1 << 14
+SPREAD = 4
+#: Layers of one record each that are computed between two writes.
+CHAINED = 8
 #: Layers that one network may have: the driver plans a few jobs for each.
 MAX_LAYERS = 1000
 
@@ -118,6 +128,22 @@ def _product(values: DataFrame, weights: DataFrame, salts: int, block: int) -> D
     return parts.select(_ROW, "unit", "activation", (F.aggregate("ps", F.lit(0.0), lambda acc, x: acc + x["p"]) + F.col("bias")).alias("z"))
 
 
+def _tiled(rows: DataFrame, weights: DataFrame, salts: int, block: int) -> DataFrame:
+    """(row, salt, x) of one layer whose weights are one record, from (row, salt, x): the same products, sums and
+    activations as _product and _activated, all of a row where the row is."""
+    blocks = weights.select("layer", "unit", "bias", "activation", F.inline(_blocks_of(F.col("weights"), block)))
+    units = blocks.groupBy("layer", "unit", "bias", "activation").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("ws"))
+    unit = F.struct("unit", "bias", "activation", F.transform("ws", lambda b: b["part"]).alias("w"))
+    tile = units.groupBy("layer").agg(F.sort_array(F.collect_list(unit)).alias("units"))
+    tile = tile.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cut = rows.select(_ROW, "salt", F.transform(_blocks_of(F.col("x"), block), lambda b: b["part"]).alias("xs"))
+    total = lambda ps: F.aggregate(ps, F.lit(0.0), lambda acc, p: acc + p)
+    z = F.transform("units", lambda u: F.struct(u["activation"].alias("act"), (total(F.zip_with("xs", u["w"], _dot)) + u["bias"]).alias("z")))
+    kinds = " ".join(f"WHEN u.act = '{name}' THEN {a.unit('u.z')}" for name, a in ACTIVATIONS.items() if not a.wide)
+    joined = cut.hint("merge").join(tile, "salt").select(_ROW, "salt", z.alias("zs"))
+    return joined.select(_ROW, "salt", F.expr(f"transform(zs, u -> CASE {kinds} END)").alias("x"))
+
+
 def _normalised(values: DataFrame, table: DataFrame, block: int, width: int) -> DataFrame:
     """values(row, at, part) with each feature shifted and scaled. The numbers, three a feature, are
     broadcast up to MAX_UNITS features."""
@@ -156,10 +182,20 @@ def score_relational(df: DataFrame, model: DataFrame | str, features_col: str =
     if vector:
         message = F.concat(F.lit(f"feature vector width differs from the model input width {width}: got "), F.size(x).cast("string"))
         x = F.when(x.isNotNull() & (F.size(x) != width), F.raise_error(message)).otherwise(x)
-    values = rows.select(_ROW, x.alias("x")).where(~any_missing(F.col("x"))).select(_ROW, F.inline(_blocks_of(F.col("x"), block)))
+    whole = rows.select(_ROW, x.alias("x")).where(~any_missing(F.col("x")))
+    first = 0
+    while normaliser is None and first < len(layers) and not layers[first]["wide"] and layers[first]["units"] * layers[first]["inputs"] <= TILE:
+        if first % CHAINED == 0:
+            whole = _written(whole.select(_ROW, "x"), f"relational-layer-{first - 1}") if first else whole
+            whole = whole.withColumn("salt", F.pmod(F.xxhash64(_ROW), F.lit(SPREAD * salts)).cast("int"))
+        whole = _tiled(whole, table.where(F.col("layer") == first), SPREAD * salts, block)
+        first += 1
+    values = whole.select(_ROW, F.inline(_blocks_of(F.col("x"), block)))
+    if 0 < first < len(layers):
+        values = _written(values, f"relational-layer-{first - 1}")
     if normaliser is not None:
         values = _normalised(values, table, block, width)
-    for k, r in enumerate(layers):
+    for k, r in list(enumerate(layers))[first:]:
         z = _product(values, table.where(F.col("layer") == k), salts, block)
         if r["wide"]:
             z = _written(z, f"relational-sums-{k}")
@@ -167,7 +203,9 @@ def score_relational(df: DataFrame, model: DataFrame | str, features_col: str =
         if k + 1 < len(layers):
             packed = h.groupBy(_ROW, F.floor(F.col("unit") / block).cast("int").alias("at")).agg(F.sort_array(F.collect_list(F.struct("unit", "h"))).alias("us"))
             values = _written(packed.select(_ROW, "at", F.transform("us", lambda u: u["h"]).alias("part")), f"relational-layer-{k}")
-    if layers[-1]["units"] == 1:
+    if first == len(layers):
+        out = whole.select(F.col(_ROW).alias(_DATA), (F.get("x", F.lit(0)) if layers[-1]["units"] == 1 else F.col("x")).alias("__out"))
+    elif layers[-1]["units"] == 1:
         out = h.select(F.col(_ROW).alias(_DATA), F.col("h").alias("__out"))
     else:
         out = h.groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct("unit", "h"))).alias("us")).select(F.col(_ROW).alias(_DATA), F.transform("us", lambda u: u["h"]).alias("__out"))
