@@ -286,3 +286,19 @@ def test_cover_tree_search_holds_few_pairs_at_once():
     exact = (np.einsum("ik,jk->ij", x, x) >= 0.9).sum(1)
     assert links.sum() > len(x) and abs(links - exact).max() <= 1
     assert peak < 120e6
+
+
+def test_small_components_fill_few_partitions(spark):
+    # each partition of each step is files of a shuffle, however few rows there are
+    have = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b").where("a % 20 <> 19")
+        found = connected_components(edges)
+        assert found.rdd.getNumPartitions() == 1
+        roots = dict(table(found, "node", "root"))
+    finally:
+        for k, v in have.items():
+            spark.conf.set(k, v)
+    assert [len({roots[i] for i in range(a, a + 20)}) for a in (0, 20, 40)] == [1, 1, 1] and len(set(roots.values())) == 3
