@@ -288,6 +288,41 @@ def test_cover_tree_search_holds_few_pairs_at_once():
     assert peak < 120e6
 
 
+def size_bits(df):
+    """Binary digits of the size that Spark estimates of df."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length()
+
+
+def test_estimated_sizes_do_not_grow_with_the_rounds(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(24)], "a bigint, b bigint")
+    found = connected_components(edges, last=0)
+    assert size_bits(found) < 64
+    assert dict(table(found, "node", "root")) == dict.fromkeys(range(25), 0)
+
+
+def test_sizes_of_links_are_those_of_their_files(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = [(k, " ".join(words[:30 + k % 9] + [f"x{k}"])) for k in range(30)]
+    found = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert size_bits(found) < 1000
+
+
+def test_components_of_rounds_and_of_the_last_edges(spark):
+    rng = np.random.default_rng(3)
+    pairs = [tuple(f"n{k}" for k in p) for p in rng.integers(0, 60, (40, 2)).tolist()]
+    edges = spark.createDataFrame(pairs, "a string, b string")
+    whole, rounds, mixed = (dict(table(connected_components(edges, last=n), "node", "root")) for n in (1 << 14, 0, 12))
+    up = {x: {x} for p in pairs for x in p if p[0] != p[1]}
+    for a, b in pairs:
+        if a != b and up[a] is not up[b]:
+            up[a] |= up[b]
+            for x in up[b]:
+                up[x] = up[a]
+    for got in (whole, rounds, mixed):
+        assert got.keys() == up.keys()
+        assert all((got[x] == got[y]) == (up[x] is up[y]) for x in up for y in up)
+
+
 def test_small_components_fill_few_partitions(spark):
     # each partition of each step is files of a shuffle, however few rows there are
     have = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}

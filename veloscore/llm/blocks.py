@@ -37,14 +37,16 @@ def packed(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // PACKED)))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, saved, and packed by its number of rows: for tables that may be small, of narrow rows."""
-    df = saved(df)
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df, written, and packed by its number of rows: for tables that may be small, of narrow rows."""
+    df = written(df, name)
     return packed(df, df.count())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder, for what is read more than once or in part."""
+    """df as Parquet in the shared folder, for what is read more than once or in part, or goes into
+    later rounds: a checkpoint keeps the size that was estimated of its joins, the product of their
+    sides, and the product of a loop's products has millions of digits; files have the size they have."""
     path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

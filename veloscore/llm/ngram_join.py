@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as w
-from .blocks import parts, saved, settled, written
+from .blocks import parts, settled, written
 from .components import connected_components
 
 SHINGLE = 5
@@ -259,7 +259,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs left travel."""
     sides = [sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in ("a", "b")]
     near = pairs.join(sides[0], "a").join(sides[1], "b").where(_sizes_fit(F.col("na"), F.col("nb"), percent))
-    near = saved(near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_may_link(percent), "a binary, b binary"))
+    near = written(near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_may_link(percent), "a binary, b binary"), "ngram-near")
     left, right = (sets.select(F.col("cls").alias(k), F.col("data").alias(f"d{k}")) for k in ("a", "b"))
     return near.join(left, "a").join(right, "b").select("a", "b", "da", "db").mapInArrow(_check(percent), "a binary, b binary")
 
@@ -277,7 +277,7 @@ def _position_fits(percent: int) -> str:
 def _placed(sets: DataFrame, links: DataFrame) -> DataFrame:
     """cls, gid, part: sets with the component that these links give them."""
     joined = connected_components(links).withColumnRenamed("node", "cls")
-    return settled(sets.select("cls", "gid").join(joined, "cls", "left").select("cls", "gid", F.coalesce("root", "cls").alias("part")))
+    return settled(sets.select("cls", "gid").join(joined, "cls", "left").select("cls", "gid", F.coalesce("root", "cls").alias("part")), "ngram-placed")
 
 
 def _still_open(posts: DataFrame, placed: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def _across(still_open: DataFrame, sets: DataFrame, percent: int, tried: int | N
     parts_of = still_open.groupBy("token", "low").agg(F.count("*").alias("m"))
     largest = parts_of.groupBy("token").agg(F.max(F.struct("m", "low")).alias("big")).select("token", F.col("big.low").alias("big"))
     marked = still_open.join(largest, "token").withColumn("in_big", F.expr("low = big and high = big"))
-    marked = saved(marked.select("token", "gid", "n", "at", "low", "high", "in_big", *maps))
+    marked = written(marked.select("token", "gid", "n", "at", "low", "high", "in_big", *maps), "ngram-marked")
     x, y = (marked.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("gid", "n", "at", "low", "high", "in_big", *maps))) for k in ("a", "b"))
     differ = " + ".join(f"bit_count(a_{m} ^ b_{m})" for m in maps)
     alike = f"coalesce({100 + percent} * ({differ}) <= {100 - percent} * (a_n + b_n), true)"
@@ -330,19 +330,19 @@ def _components_of_sets(texts: DataFrame, told: DataFrame, percent: int) -> Data
     posted = texts.join(told, "block").groupBy("block").applyInArrow(_post(percent), "kind int, token long, gid long, n long, at long, cls binary, sig binary, data binary, " + ", ".join(f"m{k} long" for k in range(MAPS)))
     posted = written(posted, "ngram-posted")
     posts = posted.where("kind = 0").select("token", "gid", "n", "at").distinct()
-    posts = saved(posts.join(posts.groupBy("token").count().where("count > 1").select("token"), "token"))
+    posts = written(posts.join(posts.groupBy("token").count().where("count > 1").select("token"), "token"), "ngram-posts")
     sets = posted.where("kind = 1").drop("kind", "token", "at").dropDuplicates(["cls"])
     several = posted.where("kind = 1").groupBy("gid").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most")
     sets = written(sets.join(posts.select("gid").union(several.select("gid")).distinct(), "gid", "left_semi"), "ngram-sets")
-    leaders = settled(sets.groupBy("gid").agg(F.min("cls").alias("leader"), F.count("*").alias("sets")))
+    leaders = settled(sets.groupBy("gid").agg(F.min("cls").alias("leader"), F.count("*").alias("sets")), "ngram-leaders")
     ga, gb = (leaders.select(F.col("gid").alias(f"{k}_gid"), F.col("leader").alias(k)) for k in ("a", "b"))
 
     inside = sets.select("cls", "gid").join(leaders.where("sets > 1"), "gid").where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
     drawn = _drawn(posts, percent).join(ga, "a_gid").join(gb, "b_gid").select("a", "b")
-    links = settled(_verified(inside.union(drawn.where("a <> b")).distinct(), sets, percent))
+    links = settled(_verified(inside.union(drawn.where("a <> b")).distinct(), sets, percent), "ngram-links")
 
     tried = _across(_still_open(posts, _placed(sets, links)), sets, percent, TRIED).join(ga, "a_gid").join(gb, "b_gid").select("a", "b")
-    links = settled(links.union(_verified(tried.where("a <> b"), sets, percent)))
+    links = settled(links.union(_verified(tried.where("a <> b"), sets, percent)), "ngram-links")
 
     # what is still open: all pairs across components, and those that the sets of one group give
     placed = _placed(sets, links)
