@@ -323,6 +323,34 @@ def test_components_of_rounds_and_of_the_last_edges(spark):
         assert all((got[x] == got[y]) == (up[x] is up[y]) for x in up for y in up)
 
 
+def test_levels_that_hardly_differ_are_skipped():
+    rng = np.random.default_rng(5)
+    limit = float(np.sqrt(0.2))
+    x = rng.normal(size=(1500, 64))
+    x[1200:] = x[:300] + 0.2 * rng.normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = cover_tree.CoverTree(x).thinned(limit)
+    paired = []
+    def count(x, i, y, j, real=cover_tree._paired):
+        paired.append(len(i))
+        return real(x, i, y, j)
+    have, cover_tree._paired = cover_tree._paired, count
+    try:
+        links = np.zeros((len(x), len(x)), bool)
+        for kind, p, q in cover_tree.dual_traversal(x, tree, x, tree, 0.9, True):
+            if kind == "vectors":
+                links[p, q] = links[q, p] = True
+                continue
+            for a, b in zip(p[1].tolist(), q[1].tolist(), strict=True):
+                u, v = (tree.order[tree.first[k][n]:tree.first[k][n + 1]] for k, n in ((p[0], a), (q[0], b)))
+                links[np.ix_(u, v)] = links[np.ix_(v, u)] = True
+    finally:
+        cover_tree._paired = have
+    assert (links == (x @ x.T >= 0.9)).all() and links.sum() > len(x)
+    # of 2.25 million pairs few more than those that link are taken one by one
+    assert sum(paired) < 30_000
+
+
 def test_small_components_fill_few_partitions(spark):
     # each partition of each step is files of a shuffle, however few rows there are
     have = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}

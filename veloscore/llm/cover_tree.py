@@ -26,6 +26,7 @@ are null. Extra columns are never read, whatever their names; an empty table giv
 
 from __future__ import annotations
 
+import copy
 import pickle
 from collections.abc import Iterator
 
@@ -47,6 +48,8 @@ PIVOTS = 1024
 DRAWN = 8
 #: What rounding can add to a distance between vectors of length 1.
 SLACK = 1e-6
+#: A level has hardly fewer nodes than the next if that has no more than so many times as many.
+THIN = 1.25
 #: Node pairs that are expanded together, and those whose vectors are held side by side.
 ABREAST = 1 << 18
 BESIDE = 1 << 13
@@ -88,6 +91,20 @@ class CoverTree:
                 below = own[levels[k + 1][0]]
                 self.child.append(np.searchsorted(below, np.arange(len(c) + 1)))
 
+    def thinned(self, limit: float) -> CoverTree:
+        """The tree without the levels that hardly have fewer nodes than the next, with balls too wide
+        to be told apart by the limit: the next level's bounds cost no more and hold."""
+        tree = copy.copy(self)
+        tree.centre, tree.first, tree.radius, tree.child = [], [], [], []
+        for k in range(len(self.centre)):
+            below = len(self.centre[k + 1]) if k + 1 < len(self.centre) else np.inf
+            if k and self.radius[k].max() > limit / 2 and below <= THIN * len(self.centre[k]):
+                tree.child[-1] = self.child[k][tree.child[-1]]
+                continue
+            for have, of in ((tree.centre, self.centre), (tree.first, self.first), (tree.radius, self.radius), (tree.child, self.child)):
+                have += of[k:k + 1]
+        return tree
+
 
 def _cover(unit: np.ndarray, above: np.ndarray, owner: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """Within each node, centres more than radius apart that reach every member, the node's own
@@ -195,17 +212,19 @@ def _split(stack, level, a, b, tx, ty, x, y, la, lb, limit, at):
     ra, rb = tx.radius[at(tx, level + 1)], ty.radius[at(ty, level + 1)]
     # two balls are near enough if their centres' cosine is at least that of limit + radii
     near = lambda r: 1 - np.minimum(limit + 2 * SLACK + r, 2.0) ** 2 / 2
+    # single precision is enough to drop pairs: its rounding is allowed for, and what is left is taken exactly
+    rough = (x.shape[1] + 8) * float(np.finfo(np.float32).eps)
     for i in np.flatnonzero(big).tolist():
         wide = _by_radius(ra, np.arange(fa[i], fa[i] + na[i]))
         for kb in _by_radius(rb, np.arange(fb[i], fb[i] + nb[i])):
-            cb = y[ty.centre[at(ty, level + 1)][kb]]
+            cb = y[ty.centre[at(ty, level + 1)][kb]].astype(np.float32)
             step = max(1, ABREAST // len(kb))
             for ka in (k[s:s + step] for k in wide for s in range(0, len(k), step)):
-                dots = (x[tx.centre[at(tx, level + 1)][ka]] @ cb.T).ravel()
+                dots = (x[tx.centre[at(tx, level + 1)][ka]].astype(np.float32) @ cb.T).ravel()
                 # one bound for all, then for those left their own
-                found = np.flatnonzero(dots >= near(ra[ka].max() + rb[kb].max()))
+                found = np.flatnonzero(dots >= np.float32(near(ra[ka].max() + rb[kb].max()) - rough))
                 p, q = ka[found // len(kb)], kb[found % len(kb)]
-                own = dots[found] >= near(ra[p] + rb[q])
+                own = dots[found] >= near(ra[p] + rb[q]) - rough
                 if own.any():
                     stack.append((level + 1, p[own], q[own], False))
     fa, na, fb, nb, many = (v[~big] for v in (fa, na, fb, nb, many))
@@ -260,7 +279,10 @@ def _plant(key: tuple, table: pa.Table) -> pa.Table:
     values = vector.flatten().to_numpy().reshape(len(names), -1)[order]
     unit = _unit(values)
     tree = CoverTree(unit)
-    data = pickle.dumps((names[order], table.column("n").to_numpy()[order], values, tree))
+    with np.errstate(over="ignore"):
+        short = values.astype(np.float32)
+    exact = bool((short == values).all())  # then vectors travel in half the bytes
+    data = pickle.dumps((names[order], table.column("n").to_numpy()[order], short if exact else values, tree))
     centre, radius = unit[tree.centre[0][0]], float(tree.radius[0][0])
     return pa.table({"width": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([data], pa.binary()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius])})
 
@@ -341,6 +363,8 @@ def planted_blocks(classes: DataFrame, block: int, limit: float) -> tuple[DataFr
 
 
 def _search(cosine: float):
+    limit = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+
     def search(key: tuple, table: pa.Table) -> pa.Table:
         """One pair of blocks, of vectors of one length: links of each class with rows of the other block (or the same), and
         the edges of a spanning forest."""
@@ -349,9 +373,9 @@ def _search(cosine: float):
         if lo not in held or hi not in held:  # a block that no class was dealt to
             return pa.table({"cls": pa.array([], pa.string()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.string())})
         names_x, wx, x, tx = pickle.loads(held[lo])
-        x, same = _unit(x), lo == hi
+        x, tx, same = _unit(x.astype(float)), tx.thinned(limit), lo == hi
         names_y, wy, y, ty = (names_x, wx, x, tx) if same else pickle.loads(held[hi])
-        y = x if same else _unit(y)
+        y, ty = (x, tx) if same else (_unit(y.astype(float)), ty.thinned(limit))
         offset = 0 if same else len(x)
         link_x, link_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
         forest = Forest(len(x) + (0 if same else len(y)))
