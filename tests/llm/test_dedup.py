@@ -249,7 +249,7 @@ def test_small_tables_match_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF_SMALL}/{t}.parquet'")
     from veloscore.llm.queries import ORACLES, QUERIES
 
