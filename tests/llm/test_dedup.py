@@ -1,5 +1,6 @@
 import hashlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -365,3 +366,83 @@ def test_small_components_fill_few_partitions(spark):
         for k, v in have.items():
             spark.conf.set(k, v)
     assert [len({roots[i] for i in range(a, a + 20)}) for a in (0, 20, 40)] == [1, 1, 1] and len(set(roots.values())) == 3
+
+
+def on_disk(spark):
+    """Bytes of shuffles and of what is written to the checkpoint folder."""
+    from veloscore.session import checkpoint_root
+
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    folders.append(checkpoint_root(spark).removeprefix("file:"))
+    return sum(p.stat().st_size for top in folders for p in Path(top).rglob("*") if p.is_file())
+
+
+def test_cover_tree_disk_grows_with_the_vectors(spark):
+    """Seventy blocks in general position, which no bound prunes: pairs of blocks are searched, not copied."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2800, 48))
+    x[2500:] = x[:300] + 0.05 * rng.normal(size=(300, 48))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>").repartition(4).localCheckpoint()
+    before = on_disk(spark)
+    got = table(cover_tree.near_duplicates(df, block=40), "vec_id", "n_links", "kept")
+    assert on_disk(spark) - before < 6 * x.nbytes
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    first = near.argmax(1)  # of these clusters of at most two
+    assert got == sorted([(i, int(near[i].sum()) - 1, bool(first[i] == i)) for i in range(2800)], key=repr)
+
+
+@pytest.mark.parametrize("repeated", [0, 30, 160])
+def test_cover_tree_repeats_of_some_cells_and_of_all(spark, repeated):
+    """Cells of which every vector is there often are joined by class before they are dealt, the others are not."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(8, 10))
+    data = [(i, (centres[i // 20] + rng.normal(scale=0.3, size=10)).tolist()) for i in range(160)]
+    data += [(1000 * k + i, v) for k in range(1, 5) for i, v in data[:repeated]] + [(7, data[150][1])] * 2
+    # one vector in each batch, so that no task can join its copies
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    have = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        got = table(cover_tree.near_duplicates(df, block=6), "vec_id", "n_links", "component_id", "kept")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", have)
+    assert got == brute_vectors(data)
+
+
+def test_nearest_pivot_is_one_in_any_batch():
+    rng = np.random.default_rng(13)
+    pivots = cover_tree._unit(rng.normal(size=(40, 16)))
+    pivots[20:] = -pivots[:20]
+    x = cover_tree._unit(rng.normal(size=(500, 16)))
+    x[:250] -= (x[:250] @ pivots[0])[:, None] * pivots[0]  # as near to pivot 0 as to pivot 20, but for rounding
+    pivots = pivots[[0, 20]]
+    whole = cover_tree._nearest(x, pivots)[0]
+    for size in (1, 3, 7, 64):
+        assert (np.concatenate([cover_tree._nearest(x[i:i + size], pivots)[0] for i in range(0, 500, size)]) == whole).all()
+
+
+def test_pairs_of_wide_balls_are_not_taken_one_by_one():
+    # an upper level of wide balls with few children each, which no bound drops
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(1200, 24))
+    x[600:900] = x[:300] + 0.2 * rng.normal(size=(300, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree, taken = cover_tree.CoverTree(x), []
+    def count(x, i, y, j, real=cover_tree._paired):
+        taken.append(len(i))
+        return real(x, i, y, j)
+    have, cover_tree._paired = cover_tree._paired, count
+    try:
+        links = np.zeros((len(x), len(x)), int)
+        for kind, p, q in cover_tree.dual_traversal(x, tree, x, tree, 0.9, True):
+            if kind == "vectors":
+                np.add.at(links, (p, q), 1)
+                continue
+            for a, b in zip(p[1].tolist(), q[1].tolist(), strict=True):
+                u, v = (tree.order[tree.first[k][n]:tree.first[k][n + 1]] for k, n in ((p[0], a), (q[0], b)))
+                links[np.ix_(u, v)] += 1
+    finally:
+        cover_tree._paired = have
+    assert (links == (x @ x.T >= 0.9)).all()
+    assert sum(taken) < 50_000
